@@ -183,6 +183,12 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n:
     return df.withColumn("rn", rank).filter(F.col("rn") <= n)
 
 
+def last_row_where(df: DataFrame, keys: Sequence[str], order: str, predicate: Column, value: str) -> DataFrame:
+    """Per group: ``value`` of the last row that satisfies the predicate; groups without one are left out."""
+    kept = df.filter(predicate)
+    return kept.groupBy(*keys).agg(F.max(order).alias(order), F.max_by(value, order).alias(value))
+
+
 def islands(
     df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
