@@ -48,15 +48,19 @@ def _relist(lists: pa.Array, values: pa.Array) -> pa.Array:
 
 
 def word_ids(vocab: list[str]) -> Callable[[Column], Column]:
-    """words -> ids, one hashed look-up per Arrow batch; a word outside the vocabulary is unknown."""
+    """Stripped text -> ids, split and looked up per Arrow batch; a word outside the vocabulary is unknown.
+
+    The split is that of ``functions.text.words``.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = pa.array(vocab, pa.string())
         for batch in batches:
-            flat = batch.flatten()
-            found = pc.index_in(pc.cast(flat, pa.string()), value_set=known)
-            yield _relist(batch, pc.fill_null(pc.add(found, FIRST_WORD_ID), UNKNOWN_ID).cast(pa.int32()))
+            texts = pc.if_else(pc.equal(batch, ""), None, batch)
+            lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+            found = pc.index_in(lists.flatten(), value_set=known)
+            yield _relist(lists, pc.fill_null(pc.add(found, FIRST_WORD_ID), UNKNOWN_ID).cast(pa.int32()))
 
     return ids
 
@@ -86,7 +90,7 @@ def tokenizer_ids(load: Callable[[], Callable[[str], list[int]]]) -> Callable[[C
 
 
 def encode(df: DataFrame, text: str, vocab: list[str], out: str = "tokens") -> DataFrame:
-    return df.withColumn(out, word_ids(vocab)(words(text)))
+    return df.withColumn(out, word_ids(vocab)(strip(text)))
 
 
 def decode(df: DataFrame, tokens: str, vocab: list[str], out: str = "text", task: str | None = None) -> DataFrame:

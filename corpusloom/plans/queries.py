@@ -25,7 +25,7 @@ from corpusloom.operators import (
 from corpusloom.operators.adapters import adapt, union_corpus
 from corpusloom.operators.blocks import ordinals
 from corpusloom.plans.views import epochs, table, view
-from corpusloom.session import fresh_path
+from corpusloom.session import fresh_path, spread
 from corpusloom.sources import catalog, tables
 from corpusloom.streaming import streams
 
@@ -168,7 +168,7 @@ def src_manifest(spark, sf_dir):
 
 @query
 def vocab_topk(spark, sf_dir):
-    return tokens.vocabulary(table(spark, sf_dir, "documents"), "text", VOCABULARY_SIZE)
+    return tokens.vocabulary(spread(table(spark, sf_dir, "documents").select("text")), "text", VOCABULARY_SIZE)
 
 
 # --- projections and filters -------------------------------------------------------------------------------------
@@ -538,7 +538,7 @@ def _vocabulary(spark, sf_dir) -> list[str]:
 
 
 def _encoded(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.encode(docs, "text", _vocabulary(spark, sf_dir)).select("doc_id", "tokens")
 
 

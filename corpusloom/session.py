@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_roots: dict[str, str] = {}
 
@@ -54,3 +57,16 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table from a fixed list of rows. It enters the plan as a local relation, so Spark knows its size."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = [pa.array([row[i] for row in rows]) for i in range(len(schema))]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan to all cores before costly row work; a scan with enough splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

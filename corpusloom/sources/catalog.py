@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from corpusloom.session import local_table
 
 CATALOG_SCHEMA = (
     "seq int, name string, repo string, split string, config string, trust_remote_code boolean, "
@@ -158,11 +159,11 @@ def catalog(spark: SparkSession) -> DataFrame:
         (seq, *entry, "json" if entry[0] in JSON_DATASETS else "parquet", ROW_CAPS.get(entry[0]))
         for seq, entry in enumerate(CATALOG)
     ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return local_table(spark, rows, CATALOG_SCHEMA)
 
 
 def name_list(spark: SparkSession, names: Sequence[str], column: str = "name") -> DataFrame:
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"{column} string, pos int")
+    return local_table(spark, [(n, i) for i, n in enumerate(names)], f"{column} string, pos int")
 
 
 def benchmark_order(spark: SparkSession) -> DataFrame:
@@ -170,15 +171,14 @@ def benchmark_order(spark: SparkSession) -> DataFrame:
 
 
 def evaluation_splits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EVALUATION_SPLITS.items()), "name string, eval_split string")
+    return local_table(spark, list(EVALUATION_SPLITS.items()), "name string, eval_split string")
 
 
 def published_scores(spark: SparkSession) -> DataFrame:
     rows = [(d, m, s) for d, scores in PUBLISHED_SCORES.items() for m, s in scores.items()]
-    return spark.createDataFrame(rows, "dataset string, model string, score double")
+    return local_table(spark, rows, "dataset string, model string, score double")
 
 
 def ordered_subset(df: DataFrame, names: Sequence[str], column: str = "name") -> DataFrame:
     """Rows whose name is listed, in the order of the list."""
-    listed = F.broadcast(name_list(df.sparkSession, names, column))
-    return df.join(listed, column).orderBy("pos")
+    return df.join(name_list(df.sparkSession, names, column), column).orderBy("pos")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
+from corpusloom.session import local_table
 
 log = logging.getLogger(__name__)
 
@@ -89,7 +90,7 @@ def load_all(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
         except Exception as error:  # noqa: BLE001 - a broken dataset must not stop the rest
             log.warning("skipping %s: %s", name, error)
             rows.append((name, "failed", None, type(error).__name__))
-    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    return local_table(spark, rows, MANIFEST_SCHEMA)
 
 
 def save(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "split"), mode: str = "errorifexists") -> None:
