@@ -5,65 +5,57 @@ group is cut into blocks by its integer order column: ``order div block_rows``.
 group, so a block holds at most ``block_rows`` rows whatever the group. Each block is summarised with an
 ordinary (map-side combined) aggregate, the few summaries are folded per group, and the fold is joined back
 as the block's starting state. Only (group, block) is ever one task's work.
+
+The group columns are packed into one struct: a struct of nulls equals another, so a plain equi join treats null
+groups as a grouping does and shares the hash partitioning of the windows. Windows inside a block come before
+the join, whose sort order they then already have: one shuffle and one sort of the rows in all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+KEY = "_key"
 BLOCK = "_block"
 BLOCK_ROWS = 65_536
 
 
-def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(BLOCK, F.expr(f"`{order}` div {int(block_rows)}"))
+def with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    key = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({KEY: key, BLOCK: F.expr(f"`{order}` div {int(block_rows)}")})
 
 
-def in_block(keys: Sequence[str], order: str) -> WindowSpec:
-    return Window.partitionBy(*keys, BLOCK).orderBy(order)
+def in_block(order: str | Column) -> WindowSpec:
+    return Window.partitionBy(KEY, BLOCK).orderBy(order)
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join on equally named columns where null matches null, as it does in a grouping."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_right_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+def up_to_here(order: str) -> WindowSpec:
+    return in_block(order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def summarise(blocked: DataFrame, **partials: Column) -> DataFrame:
+    return blocked.groupBy(KEY, BLOCK).agg(*[c.alias(n) for n, c in partials.items()])
 
 
 def fold(
-    summary: DataFrame,
-    keys: Sequence[str],
-    before: dict[str, Column] | None = None,
-    overall: dict[str, Column] | None = None,
+    summary: DataFrame, before: dict[str, Column] | None = None, overall: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Per group and block: aggregates over the earlier blocks' rows of ``summary`` and over all of them."""
-    whole = Window.partitionBy(*keys)
+    """Per group and block: aggregates over the summaries of the earlier blocks and of all blocks."""
+    whole = Window.partitionBy(KEY)
     prior = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
-        *keys,
+        KEY,
         BLOCK,
         *[c.over(prior).alias(n) for n, c in (before or {}).items()],
         *[c.over(whole).alias(n) for n, c in (overall or {}).items()],
     )
 
 
-def carry(
-    df: DataFrame,
-    keys: Sequence[str],
-    partials: dict[str, Column],
-    before: dict[str, Column] | None = None,
-    overall: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Add to every row the state its block starts from (``before``) and group totals (``overall``)."""
-    summary = df.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in partials.items()])
-    return join_on(df, fold(summary, keys, before, overall), [*keys, BLOCK])
+def join_blocks(rows: DataFrame, states: DataFrame) -> DataFrame:
+    return rows.join(states, [KEY, BLOCK], "left")
 
 
 def ordinals(
@@ -75,12 +67,12 @@ def ordinals(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group and, on request, the group's row count."""
-    carried = carry(
-        with_block(df, order, block_rows),
-        keys,
-        {"_rows": F.count(F.lit(1))},
+    blocked = with_block(df, keys, order, block_rows)
+    states = fold(
+        summarise(blocked, _rows=F.count(F.lit(1))),
         before={"_start": F.sum("_rows")},
         overall={total: F.sum("_rows")} if total else None,
     )
-    local = F.row_number().over(in_block(keys, order)) - 1
-    return carried.withColumn(position, F.coalesce("_start", F.lit(0)) + local).drop("_start", BLOCK)
+    rows = blocked.withColumn("_local", F.row_number().over(in_block(order)) - 1)
+    placed = join_blocks(rows, states).withColumn(position, F.coalesce("_start", F.lit(0)) + F.col("_local"))
+    return placed.drop("_start", "_local", KEY, BLOCK)

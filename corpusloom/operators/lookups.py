@@ -38,12 +38,13 @@ def pair(prediction: DataFrame, gold: DataFrame, on: Sequence[str]) -> DataFrame
     return gold.join(prediction, list(on), "left")
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
-    """Keys holding more than ``floor`` rows and more than 1/share of all rows: at most ``share`` of them."""
+def hot_keys(df: DataFrame, key: str, n_rows: int, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
+    """Keys holding more than ``floor`` rows and more than 1/share of the ``n_rows`` rows: under ``share`` of them."""
+    least = max(floor, n_rows // share)
+    if n_rows <= least:
+        return []
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > floor)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return [r[0] for r in large.filter(F.col("_n") * share > total).select(key).take(share)]
+    return [r[0] for r in counts.filter(F.col("_n") > least).select(key).take(share)]
 
 
 def salted_lookup(
@@ -52,16 +53,17 @@ def salted_lookup(
     key: str,
     reference_key: str,
     spread_by: str,
+    n_rows: int,
     salts: int = SALTS,
     share: int = HOT_SHARE,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Left join to a reference with unique keys, where a few keys may hold most of ``df``.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread_by``; the reference row of a hot
+    ``n_rows`` is the row count of ``df``. Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread_by``; the reference row of a hot
     key (one row each, under ``share`` keys) is copied once per salt. All other rows join as usual.
     """
-    hot = hot_keys(df, key, share, floor)
+    hot = hot_keys(df, key, n_rows, share, floor)
     if not hot:
         return df.join(reference, F.col(key) == F.col(reference_key), "left")
     salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0))

@@ -59,10 +59,11 @@ def thread_paths(
     rounds = math.ceil(math.log2(max(longest, 1) + 1)) + 1
     for _ in range(rounds):
         unfinished = state.filter(F.col("next").isNotNull())
-        if unfinished.isEmpty():
+        waiting = unfinished.count()
+        if waiting == 0:
             break
         hop = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
-        joined = salted_lookup(unfinished, hop, "next", "_id", spread_by="id", **salting)
+        joined = salted_lookup(unfinished, hop, "next", "_id", spread_by="id", n_rows=waiting, **salting)
         found = F.col("_id").isNotNull()
         step = joined.select(
             "id",

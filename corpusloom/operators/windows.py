@@ -11,9 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import as_column, strip
-from corpusloom.operators.blocks import BLOCK, BLOCK_ROWS, carry, fold, in_block, join_on, ordinals, with_block
+from corpusloom.operators.blocks import (
+    BLOCK,
+    BLOCK_ROWS,
+    KEY,
+    fold,
+    in_block,
+    join_blocks,
+    ordinals,
+    summarise,
+    up_to_here,
+    with_block,
+)
 
 TEXT_BLOCK_ROWS = 4_096
+PREFIX_BLOCK_ROWS = 256
 CONTEXT_ROWS = 3
 PATIENCE = 10
 ACCUMULATION = 16
@@ -36,74 +48,62 @@ def sliding_context(
 ) -> DataFrame:
     """For each row after the first ``k`` of its group: the ``k`` texts before it, joined by a space, as ``context``.
 
-    A block's first rows take the missing texts from the tail of the blocks before it.
+    A block's first rows take the missing texts from the tails of the blocks before it; ``k`` blocks hold enough.
     """
-    keys = list(keys)
-    blocked = with_block(df, order, block_rows)
-    recent = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
-    tails = (
-        blocked.select(*keys, BLOCK, order, text, F.row_number().over(recent).alias("_back"))
+    blocked = with_block(df, keys, order, block_rows)
+    last_rows = (
+        blocked.select(KEY, BLOCK, order, text, F.row_number().over(in_block(F.desc(order))).alias("_back"))
         .filter(F.col("_back") <= k)
-        .groupBy(*keys, BLOCK)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text)))).alias("_tail"))
     )
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-k, -1)
-    carried = tails.select(*keys, BLOCK, F.flatten(F.collect_list("_tail").over(before)).alias("_earlier"))
-    rows = join_on(blocked, carried, [*keys, BLOCK])
-    inside = F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(in_block(keys, order).rowsBetween(-k, -1))
-    earlier = F.transform(F.col("_earlier"), lambda r: F.coalesce(r[text], F.lit("")))
+    tail = F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(text), F.lit("")).alias("_text"))))
+    recent = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(-k, -1)
+    states = summarise(last_rows, _tail=tail).select(
+        KEY, BLOCK, F.flatten(F.collect_list("_tail").over(recent)).alias("_earlier")
+    )
+    inside = F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(in_block(order).rowsBetween(-k, -1))
+    rows = join_blocks(blocked.withColumn("_inside", inside), states)
+    earlier = F.transform(F.col("_earlier"), lambda r: r["_text"])
+    texts = F.when(F.size("_inside") >= k, F.col("_inside")).otherwise(F.concat(earlier, F.col("_inside")))
     return (
-        rows.withColumn("_inside", inside)
-        .withColumn(
-            "_texts",
-            F.when(F.size("_inside") >= k, F.col("_inside")).otherwise(F.concat(earlier, F.col("_inside"))),
-        )
+        rows.withColumn("_texts", texts)
         .filter(F.size("_texts") >= k)
         .withColumn("context", F.array_join(F.slice(F.col("_texts"), F.size("_texts") - k + 1, k), " "))
-        .drop("_inside", "_texts", "_earlier", BLOCK)
+        .drop("_inside", "_texts", "_earlier", KEY, BLOCK)
     )
 
 
+def _joined(order: str, text: str, separator: str) -> Column:
+    """A block's texts in order as one text."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(text), F.lit("")).alias("_text"))))
+    return F.array_join(F.transform(parts, lambda p: p["_text"]), separator)
+
+
 def ordered_concat(
     df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str = "", block_rows: int = TEXT_BLOCK_ROWS
 ) -> DataFrame:
     """One text per group: the rows' texts in order, null as empty. Blocks are joined first, then their texts."""
-    blocks = _block_texts(with_block(df, order, block_rows), keys, order, text, separator)
-    return blocks.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(BLOCK, "_joined"))), lambda b: b["_joined"]), separator
-        ).alias(text)
-    )
-
-
-def _block_texts(blocked: DataFrame, keys: Sequence[str], order: str, text: str, separator: str) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce(F.col(text), F.lit("")).alias("_part"))))
-    return blocked.groupBy(*keys, BLOCK).agg(
-        F.array_join(F.transform(parts, lambda p: p["_part"]), separator).alias("_joined")
-    )
+    blocks = summarise(with_block(df, keys, order, block_rows), _text=_joined(order, text, separator))
+    whole = blocks.groupBy(KEY).agg(_joined(BLOCK, "_text", separator).alias(text))
+    return whole.select(*[F.col(KEY)[k].alias(k) for k in keys], text)
 
 
 def prefix_context(
-    df: DataFrame, keys: Sequence[str], order: str, text: str, block_rows: int = 256
+    df: DataFrame, keys: Sequence[str], order: str, text: str, block_rows: int = PREFIX_BLOCK_ROWS
 ) -> DataFrame:
     """For each row but a group's first: all texts before it, joined by a space and stripped, as ``context``.
 
     The result grows with the square of a group by definition. A row takes the text of earlier blocks from
     the fold, so one task writes the contexts of one block only.
     """
-    keys = list(keys)
-    blocked = with_block(df, order, block_rows)
-    summary = _block_texts(blocked, keys, order, text, " ")
-    carried = fold(summary, keys, before={"_earlier": F.collect_list("_joined")})
-    rows = join_on(blocked, carried, [*keys, BLOCK])
-    inside = F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(
-        in_block(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    blocked = with_block(df, keys, order, block_rows)
+    states = fold(summarise(blocked, _text=_joined(order, text, " ")), before={"_earlier": F.collect_list("_text")})
+    prior = in_block(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(prior)
     return (
-        rows.withColumn("_inside", inside)
+        join_blocks(blocked.withColumn("_inside", inside), states)
         .filter(F.size("_earlier") + F.size("_inside") > 0)
         .withColumn("context", strip(F.array_join(F.concat("_earlier", "_inside"), " ")))
-        .drop("_inside", "_earlier", BLOCK)
+        .drop("_inside", "_earlier", KEY, BLOCK)
     )
 
 
@@ -116,17 +116,21 @@ def running_avg(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Average of ``value`` over the group's rows up to and including this one."""
-    keys = list(keys)
-    rows = carry(
-        with_block(df, order, block_rows),
-        keys,
-        {"_sum": F.sum(value), "_n": F.count(value)},
+    blocked = with_block(df, keys, order, block_rows)
+    states = fold(
+        summarise(blocked, _sum=F.sum(value), _n=F.count(value)),
         before={"_sum0": F.sum("_sum"), "_n0": F.sum("_n")},
     )
-    upto = in_block(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.coalesce("_sum0", F.lit(0)) + F.coalesce(F.sum(value).over(upto), F.lit(0))
-    n = F.coalesce("_n0", F.lit(0)) + F.count(value).over(upto)
-    return rows.withColumn(name, F.when(n > 0, total.cast("double") / n)).drop("_sum0", "_n0", BLOCK)
+    rows = blocked.withColumns(
+        {"_sum1": F.sum(value).over(up_to_here(order)), "_n1": F.count(value).over(up_to_here(order))}
+    )
+    total = F.coalesce("_sum0", F.lit(0)) + F.coalesce("_sum1", F.lit(0))
+    n = F.coalesce("_n0", F.lit(0)) + F.col("_n1")
+    return (
+        join_blocks(rows, states)
+        .withColumn(name, F.when(n > 0, total.cast("double") / n))
+        .drop("_sum0", "_n0", "_sum1", "_n1", KEY, BLOCK)
+    )
 
 
 def early_stop(
@@ -144,30 +148,25 @@ def early_stop(
     epoch that reached the running minimum, so one running minimum of (loss, epoch) gives both. An epoch whose
     loss is not finite counts as waited. Epochs are consecutive numbers from ``first_epoch``.
     """
-    keys = list(keys)
     point = F.when(finite(loss), F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch")))
-    rows = carry(
-        with_block(df.withColumn("_point", point), epoch, block_rows),
-        keys,
-        {"_low": F.min("_point")},
-        before={"_low0": F.min("_low")},
-    )
-    upto = in_block(keys, epoch).rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.min("_point").over(upto)
-    rows = (
-        rows.withColumn("_inside", inside)
-        .withColumn("_best", F.least("_low0", "_inside"))
+    blocked = with_block(df.withColumn("_point", point), keys, epoch, block_rows)
+    states = fold(summarise(blocked, _low=F.min("_point")), before={"_low0": F.min("_low")})
+    rows = join_blocks(blocked.withColumn("_low1", F.min("_point").over(up_to_here(epoch))), states)
+    best = F.least("_low0", "_low1")
+    waited = (
+        rows.withColumn("_best", best)
         .withColumn("best_loss", F.col("_best.loss"))
         .withColumn("wait", F.col(epoch) - F.coalesce(F.col("_best.epoch"), F.lit(first_epoch - 1)))
         .withColumn("improved", F.col("wait") == 0)
-        .drop("_inside", "_best", "_point", "_low0")
+        .drop("_low0", "_low1", "_best", "_point")
     )
-    stop = F.when(F.col("wait") >= patience, F.col(epoch))
-    rows = carry(rows, keys, {"_stop": F.min(stop)}, overall={"_first_stop": F.min("_stop")})
+    stop = F.min(F.when(F.col("wait") >= patience, F.col(epoch)))
+    stops = fold(summarise(waited, _stop=stop), overall={"_first_stop": F.min("_stop")})
     return (
-        rows.filter(F.col("_first_stop").isNull() | (F.col(epoch) <= F.col("_first_stop")))
+        join_blocks(waited, stops)
+        .filter(F.col("_first_stop").isNull() | (F.col(epoch) <= F.col("_first_stop")))
         .withColumn("stopped", F.coalesce(F.col(epoch) == F.col("_first_stop"), F.lit(False)))
-        .drop("_first_stop", BLOCK)
+        .drop("_first_stop", KEY, BLOCK)
     )
 
 
@@ -193,44 +192,30 @@ def islands(
     df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Number the runs of adjacent rows with equal labels: ``island`` counts from 0 within a group."""
-    keys = list(keys)
-    window = in_block(keys, order)
-    label = F.struct(*labels)
-    rows = (
-        with_block(df, order, block_rows)
-        .withColumn("_label", label)
-        .withColumn("_previous", F.lag("_label").over(window))
-        .withColumn(
-            "_change",
-            F.when(F.col("_previous").isNotNull() & ~F.col("_previous").eqNullSafe(F.col("_label")), 1).otherwise(0),
-        )
-    )
-    summary = rows.groupBy(*keys, BLOCK).agg(
-        F.sum("_change").alias("_inner"),
-        F.min_by("_label", order).alias("_first"),
-        F.max_by("_label", order).alias("_last"),
-    )
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    summary = summary.withColumn("_prior_last", F.lag("_last").over(across)).withColumn(
-        "_border",
-        F.when(F.col("_prior_last").isNotNull() & ~F.col("_prior_last").eqNullSafe(F.col("_first")), 1).otherwise(0),
-    )
-    starts = summary.select(
-        *keys,
-        BLOCK,
-        (
-            F.sum("_border").over(across.rowsBetween(Window.unboundedPreceding, 0))
-            + F.coalesce(F.sum("_inner").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).alias("_start"),
-    )
-    inside = F.sum("_change").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    blocked = with_block(df.withColumn("_label", F.struct(*labels)), keys, order, block_rows)
+    changed = _differs(F.lag("_label").over(in_block(order)), F.col("_label"))
+    rows = blocked.withColumn("_change", changed)
+    summary = summarise(
+        rows, _inner=F.sum("_change"), _first=F.min_by("_label", order), _last=F.max_by("_label", order)
+    )
+    across = Window.partitionBy(KEY).orderBy(BLOCK)
+    borders = summary.withColumn("_border", _differs(F.lag("_last").over(across), F.col("_first")))
+    entered = F.sum("_border").over(across.rowsBetween(Window.unboundedPreceding, 0))
+    passed = F.sum("_inner").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    states = borders.select(KEY, BLOCK, (entered + F.coalesce(passed, F.lit(0))).alias("_start"))
+    numbered = rows.withColumn("_inside", F.sum("_change").over(up_to_here(order)))
     return (
-        join_on(rows, starts, [*keys, BLOCK])
-        .withColumn("island", F.col("_start") + inside)
-        .drop("_label", "_previous", "_change", "_start", BLOCK)
+        join_blocks(numbered, states)
+        .withColumn("island", F.col("_start") + F.col("_inside"))
+        .drop("_label", "_change", "_inside", "_start", KEY, BLOCK)
     )
 
 
+def _differs(previous: Column, current: Column) -> Column:
+    """1 where there is a previous label and it is another one; labels are structs, so null labels compare too."""
+    return F.when(previous.isNotNull() & (previous != current), 1).otherwise(0)
+
+
 def island_summary(df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], **options) -> DataFrame:
     numbered = islands(df, keys, order, labels, **options)
     return numbered.groupBy(*keys, "island").agg(
