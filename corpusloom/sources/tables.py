@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,7 +76,7 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str)
     """Open the dataset if it is there and readable, build and write it otherwise."""
     try:
         return spark.read.parquet(path)
-    except (AnalysisException, PySparkException) as error:
+    except (PySparkException, Py4JJavaError) as error:
         log.info("building %s: %s", path, type(error).__name__)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
