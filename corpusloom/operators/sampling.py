@@ -1,15 +1,16 @@
 """Seeded samples, first-N and exact splits without sorting the data.
 
-The seeded order is a hash, so its leading digits cut the rows into buckets of equal expected size. A count per
-bucket (at most 16**BUCKET_DIGITS rows, whatever the data) tells where the wanted position lies; only rows of
-that bucket are ever ranked, and the data itself is filtered or labelled where it is, without a shuffle.
+A wanted position is found on the id column alone: the rows are counted per bucket (at most 16**BUCKET_DIGITS
+buckets of a hash, or of a value range), the counts tell the bucket that holds the position, and only the ids of
+that bucket are ranked. The cut found this way then filters or labels the full rows where they are, so the rows
+themselves are never sorted or shuffled beyond those that are returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import SEED, bucket, seeded_hash, share_bound
@@ -18,7 +19,7 @@ from corpusloom.functions.text import as_column
 TEST_SHARE = 0.2
 VALIDATION_SHARE = 0.25
 LAST_BUCKET = "g"  # sorts after every hex digit
-FIRST_N_GROUPS = 256
+N_RANGES = 65_536
 
 
 def _cumulated(buckets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -28,45 +29,57 @@ def _cumulated(buckets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("_upto", F.sum("_n").over(order))
 
 
+def _last_bucket(n: int) -> Column:
+    """The bucket that holds the n-th row, or one behind all others where there are fewer rows."""
+    return F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_bucket"))), F.lit(LAST_BUCKET))
+
+
+def _place(id_col: str, seed: int) -> Column:
+    """A row's place in seeded order."""
+    return F.struct(seeded_hash(id_col, seed).alias("_hash"), F.col(id_col).alias("_id"))
+
+
 def sample_seeded(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
     """The first min(n, rows) rows in seeded order."""
-    hashed = seeded_hash(id_col, seed)
-    last = (
-        _cumulated(df.select(bucket(hashed).alias("_bucket")))
-        .filter(F.col("_upto") >= n)
-        .agg(F.coalesce(F.min("_bucket"), F.lit(LAST_BUCKET)))
-        .scalar()
-    )
-    return df.filter(bucket(hashed) <= last).orderBy(hashed, id_col).limit(n)
+    ids = df.select(_place(id_col, seed).alias("_place"), bucket(seeded_hash(id_col, seed)).alias("_bucket"))
+    last = _cumulated(ids.select("_bucket")).agg(_last_bucket(n)).scalar()
+    first = ids.filter(F.col("_bucket") <= last).orderBy("_place").limit(n)
+    cut = first.agg(F.max("_place")).scalar()
+    return df.filter(_place(id_col, seed) <= cut).orderBy(_place(id_col, seed)).limit(n)
 
 
 def sample_per_group(
     df: DataFrame, group: str, groups: Sequence[str], id_col: str, cap: int, seed: int = SEED
 ) -> DataFrame:
     """The first min(cap, rows) rows in seeded order of each of the listed groups."""
-    hashed = seeded_hash(id_col, seed)
-    rows = df.filter(F.col(group).isin(list(groups))).withColumn("_bucket", bucket(hashed))
-    last = (
-        _cumulated(rows.select(group, "_bucket"), [group])
-        .groupBy(group)
-        .agg(F.coalesce(F.min(F.when(F.col("_upto") >= cap, F.col("_bucket"))), F.lit(LAST_BUCKET)).alias("_last"))
+    rows = df.filter(F.col(group).isin(list(groups)))
+    ids = rows.select(
+        group, _place(id_col, seed).alias("_place"), bucket(seeded_hash(id_col, seed)).alias("_bucket")
     )
-    # One row per listed group, so the broadcast is bounded by the list.
-    near = rows.join(F.broadcast(last), group).filter(F.col("_bucket") <= F.col("_last"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(hashed, id_col))
-    return near.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank", "_bucket", "_last")
+    # Both broadcasts have one row per listed group.
+    last = _cumulated(ids.select(group, "_bucket"), [group]).groupBy(group).agg(_last_bucket(cap).alias("_last"))
+    near = ids.join(F.broadcast(last), group).filter(F.col("_bucket") <= F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
+    cuts = near.withColumn("_rank", rank).filter(F.col("_rank") <= cap).groupBy(group).agg(F.max("_place").alias("_cut"))
+    return rows.join(F.broadcast(cuts), group).filter(_place(id_col, seed) <= F.col("_cut")).drop("_cut")
 
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest values of the unique column ``order``.
+    """The ``n`` rows with the smallest values of the unique, numeric column ``order``.
 
-    The n-th value is found on that column alone, in two steps (per group of tasks, then over the groups), and
-    then filters the full rows, which lets the scan skip row groups by their statistics.
+    The n-th value is found on that column alone and then filters the full rows, which lets the scan skip row
+    groups by their statistics.
     """
-    near = df.select(order).withColumn("_group", F.spark_partition_id() % FIRST_N_GROUPS)
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy(order))
-    smallest = near.withColumn("_rank", rank).filter(F.col("_rank") <= n).orderBy(order).limit(n)
-    return df.filter(F.col(order) <= smallest.agg(F.max(order)).scalar()).orderBy(order).limit(n)
+    ids = df.select(F.col(order).alias("_id")).filter(F.col("_id").isNotNull())
+    low, high = (ids.agg(f("_id").cast("double")).scalar() for f in (F.min, F.max))
+    ranges = ids.select("_id", F.width_bucket(F.col("_id").cast("double"), low, high + 1, F.lit(N_RANGES)).alias("_bucket"))
+    counted = ranges.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_high"))
+    upto = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    bound = counted.withColumn("_upto", upto).agg(
+        F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_high"))), F.max("_high"))
+    )
+    smallest = ids.filter(F.col("_id") <= bound.scalar()).orderBy("_id").limit(n)
+    return df.filter(F.col(order) <= smallest.agg(F.max("_id")).scalar()).orderBy(order).limit(n)
 
 
 def take_first(df: DataFrame, predicate, order: str, n: int = 1_000) -> DataFrame:
@@ -99,9 +112,8 @@ def split_exact(
     seed: int = SEED,
 ) -> DataFrame:
     """Label rows train/val/test with exact sizes: test = ceil(test * n), then val = ceil(validation * rest)."""
-    hashed = seeded_hash(id_col, seed)
-    ids = df.select(F.col(id_col).alias("_id"), hashed.alias("_hash"), bucket(hashed).alias("_bucket"))
-    counts = _cumulated(ids).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    ids = df.select(_place(id_col, seed).alias("_at"), bucket(seeded_hash(id_col, seed)).alias("_bucket"))
+    counts = _cumulated(ids.select("_bucket")).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
     n_test = F.ceil(F.col("_total") * F.lit(test))
     n_validation = F.ceil((F.col("_total") - n_test) * F.lit(validation))
     ends = F.array(
@@ -114,20 +126,15 @@ def split_exact(
         .select("_bucket", "_cut", (F.col("_end") - F.col("_upto") + F.col("_n")).alias("_place"))
     )
     # ``wanted`` has two rows, so this joins two buckets' ids at most.
-    place = F.row_number().over(Window.partitionBy("_cut").orderBy("_hash", "_id"))
-    cuts = (
-        ids.join(F.broadcast(wanted), "_bucket")
-        .withColumn("_rank", place)
-        .filter(F.col("_rank") == F.col("_place"))
-        .groupBy()
-        .agg(
-            *[
-                F.max(F.when(F.col("_cut") == cut, F.struct("_hash", "_id"))).alias(cut)
-                for cut in ("test", "val")
-            ]
-        )
+    rank = F.row_number().over(Window.partitionBy("_cut").orderBy("_at"))
+    found = (
+        ids.join(F.broadcast(wanted), "_bucket").withColumn("_rank", rank).filter(F.col("_rank") == F.col("_place"))
+    )
+    cuts = found.agg(
+        F.max(F.when(F.col("_cut") == "test", F.col("_at"))).alias("test"),
+        F.max(F.when(F.col("_cut") == "val", F.col("_at"))).alias("val"),
     )
-    here = F.struct(hashed.alias("_hash"), F.col(id_col).alias("_id"))
+    here = _place(id_col, seed)
     return df.withColumn(
         "split",
         F.when(here <= cuts.select("test").scalar(), "test")

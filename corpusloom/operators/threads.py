@@ -9,6 +9,7 @@ start of a text that is put in front of another is all the cut result needs.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,15 @@ def thread_paths(
     )
     longest = max_depth or state.count()
     rounds = math.ceil(math.log2(max(longest, 1) + 1)) + 1
+    finished: list[DataFrame] = []  # each round rewrites only the messages that still have a way to go
     for _ in range(rounds):
         unfinished = state.filter(F.col("next").isNotNull())
         waiting = unfinished.count()
         if waiting == 0:
             break
-        hop = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
+        whole = reduce(DataFrame.unionByName, finished, state)
+        finished.append(state.filter(F.col("next").isNull()))
+        hop = whole.select(*[F.col(c).alias(f"_{c}") for c in whole.columns])
         joined = salted_lookup(unfinished, hop, "next", "_id", spread_by="id", n_rows=waiting, **salting)
         found = F.col("_id").isNotNull()
         step = joined.select(
@@ -75,9 +79,9 @@ def thread_paths(
             .otherwise(F.col("above"))
             .alias("above"),
         )
-        state = cut_lineage(state.filter(F.col("next").isNull()).unionByName(step), "thread")
+        state = cut_lineage(step, "thread")
     cyclic = F.col("next").isNotNull()
-    return state.select(
+    return reduce(DataFrame.unionByName, finished, state).select(
         F.col("id").alias(message_id),
         F.when(~cyclic, F.col("root")).alias("root_id"),
         F.when(~cyclic, F.col("depth")).alias("depth"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from corpusloom.functions.text import strip, words
 CHUNK_SIZE = 128
 CHUNK_STRIDE = 64
 MIN_CHUNKS = 2
+SHARD_ROWS = 100_000
 
 # A vocabulary travels to every task, so its size is bounded here and checked in ``vocabulary_words``.
 MAX_VOCABULARY = 262_144
@@ -140,18 +142,23 @@ def next_token_pairs(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
+def shard_digits(n_rows: int, rows_per_shard: int = SHARD_ROWS) -> int:
+    """Hex digits of the hash that give shards of at most about ``rows_per_shard`` rows."""
+    return max(1, math.ceil(math.log(max(n_rows / rows_per_shard, 1), 16)))
+
+
 def padded_batches(
-    df: DataFrame, id_col: str, tokens: str = "tokens", batch_size: int = 16, shard_digits: int = 2, pad_id: int = PAD_ID
+    df: DataFrame, id_col: str, tokens: str = "tokens", batch_size: int = 16, digits: int = 2, pad_id: int = PAD_ID
 ) -> DataFrame:
     """Group rows into batches of ``batch_size`` and pad their tokens to the longest of the batch.
 
-    Rows are dealt to 16**shard_digits shards by the hash of their id and are ordered inside their shard only;
-    raise ``shard_digits`` with the data so that a shard stays one task's work. A shard's last batch may be short.
+    Rows are dealt to 16**digits shards by the hash of their id and are ordered inside their shard only, so a
+    shard is one task's work whatever the data; see ``shard_digits``. A shard's last batch may be short.
     """
     shard = Window.partitionBy("shard").orderBy(id_col)
     batch = Window.partitionBy("shard", "batch_no")
     return (
-        df.withColumn("shard", bucket(seeded_hash(id_col), shard_digits))
+        df.withColumn("shard", bucket(seeded_hash(id_col), digits))
         .withColumn("_place", F.row_number().over(shard) - 1)
         .withColumn("batch_no", F.expr(f"int(_place div {int(batch_size)})"))
         .withColumn("pos", F.col("_place") % batch_size)

@@ -24,7 +24,7 @@ from corpusloom.operators.blocks import (
     with_block,
 )
 
-TEXT_BLOCK_ROWS = 4_096
+TEXT_BLOCK_ROWS = 16_384
 PREFIX_BLOCK_ROWS = 256
 CONTEXT_ROWS = 3
 PATIENCE = 10
@@ -44,7 +44,7 @@ def sliding_context(
     order: str,
     text: str,
     k: int = CONTEXT_ROWS,
-    block_rows: int = TEXT_BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For each row after the first ``k`` of its group: the ``k`` texts before it, joined by a space, as ``context``.
 

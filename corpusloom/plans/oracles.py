@@ -286,6 +286,23 @@ O["fn_list_normalize"] = f"""
                 WHEN 'VARCHAR' THEN answer::JSON ->> '$' ELSE '' END AS items
     FROM ({view_sql("v_union")}) AS v"""
 
+O["rpt_empty_lists"] = f"""
+    SELECT CASE WHEN len(solutions) = 0 THEN 'no solution' WHEN {strip("problem")} = '' THEN 'no problem'
+                ELSE 'accepted' END AS reason, count(*) AS n_rows
+    FROM ({view_sql("v_nested_dialog")}) AS v GROUP BY 1"""
+O["rpt_adapters"] = " UNION ALL ".join(
+    f"""
+    SELECT '{name}' AS dataset, n_rows, n_accepted, n_rows - n_accepted AS n_rejected, n_samples
+    FROM (SELECT count(*) AS n_rows FROM ({view_sql(shape)}) AS v) AS r,
+         (SELECT count(DISTINCT source_id) AS n_accepted, count(*) AS n_samples FROM ({O[key]}) AS s) AS a"""
+    for name, shape, key in [
+        ("hellaswag", "v_mcq", "ad_hellaswag"),
+        ("sciq", "v_qa", "ad_sciq"),
+        ("gsm8k", "v_marked", "ad_gsm8k"),
+        ("daily_dialog", "v_nested_dialog", "ad_dialog"),
+    ]
+)
+
 # --- joins ---
 O["jn_thread_context"] = f"""
     WITH RECURSIVE {thread_cte()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,6 +229,24 @@ def rpt_rejects(spark, sf_dir):
     return filters.rejects(view("v_mcq")(spark, sf_dir), rules)
 
 
+@query
+def rpt_empty_lists(spark, sf_dir):
+    rules = {"no solution": F.size("solutions") == 0, "no problem": ~has_text(strip("problem"))}
+    return filters.rejects(view("v_nested_dialog")(spark, sf_dir), rules)
+
+
+@query
+def rpt_adapters(spark, sf_dir):
+    """What each adapter makes of its raw rows: accepted + rejected = rows."""
+    shapes = {"hellaswag": "v_mcq", "sciq": "v_qa", "gsm8k": "v_marked", "daily_dialog": "v_nested_dialog"}
+    renamed = {"hellaswag": {"question": "ctx", "choices": "endings"}}
+    reports = []
+    for name, shape in shapes.items():
+        raw = view(shape)(spark, sf_dir).withColumnsRenamed(renamed.get(name, {}))
+        reports.append(filters.adapter_report(raw, adapt(name, raw)).withColumn("dataset", F.lit(name)))
+    return reduce(DataFrame.unionByName, reports)
+
+
 @query
 def flt_finite(spark, sf_dir):
     rows = view("v_loss")(spark, sf_dir).filter(windows.finite("loss"))

@@ -106,7 +106,7 @@ def test_padded_batches(spark, size):
     rng = random.Random(4)
     lists = {i: [rng.randrange(5, 99) for _ in range(rng.randrange(12))] for i in range(150)}
     df = spark.createDataFrame(list(lists.items()), "id int, tokens array<int>")
-    got = tokens.padded_batches(df, "id", batch_size=size, shard_digits=1).collect()
+    got = tokens.padded_batches(df, "id", batch_size=size, digits=1).collect()
     assert {r["id"]: r["tokens"][: r["n_tokens"]] for r in got} == lists
     batches = {}
     for r in got:
@@ -119,3 +119,7 @@ def test_padded_batches(spark, size):
         assert len(members) == size or number == shards[shard] - 1
         for r in members:
             assert set(r["tokens"][r["n_tokens"] :]) <= {PAD_ID}
+
+
+def test_shard_digits():
+    assert [tokens.shard_digits(n, 100) for n in (0, 100, 1_600, 1_601, 25_600, 25_601)] == [1, 1, 1, 2, 2, 3]
