@@ -51,11 +51,17 @@ def text(df: DataFrame, name: str) -> Column:
 
 
 def samples(
-    df: DataFrame, context: Column, target: Column, task: Column | str, sample_no: Column | None = None
+    df: DataFrame,
+    context: Column,
+    target: Column,
+    task: Column | str,
+    sample_no: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     task = F.lit(task) if isinstance(task, str) else task
     number = F.lit(0) if sample_no is None else sample_no
     return df.select(
+        *keep,
         SOURCE_ID,
         number.cast("int").alias("sample_no"),
         context.alias("context"),
@@ -268,8 +274,13 @@ def verses(df: DataFrame) -> DataFrame:
 @register_adapter("open_assistant")
 def threads(df: DataFrame) -> DataFrame:
     """Assistant messages with the texts above them; ``source_id`` is the message id."""
+    return thread_samples(df).drop("root_id")
+
+
+def thread_samples(df: DataFrame) -> DataFrame:
+    """Thread samples with the id of their root message."""
     answers = thread_targets(df).withColumn(SOURCE_ID, F.col("message_id"))
-    return samples(answers, F.col("context"), F.col("target"), "chat")
+    return samples(answers, F.col("context"), F.col("target"), "chat", keep=["root_id"])
 
 
 def row_adapter(generate: Callable[[dict], Iterable[dict]]) -> Adapter:

@@ -217,9 +217,9 @@ def _differs(previous: Column, current: Column) -> Column:
 
 
 def island_summary(df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], **options) -> DataFrame:
-    numbered = islands(df, keys, order, labels, **options)
-    return numbered.groupBy(*keys, "island").agg(
-        *[F.min(c).alias(c) for c in labels],
+    numbered = islands(df.select(*keys, order, *labels), keys, order, labels, **options)
+    # The labels are the same throughout an island; as grouping columns they keep the aggregate in a hash map.
+    return numbered.groupBy(*keys, "island", *labels).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min(order).alias("first_row"),
         F.max(order).alias("last_row"),

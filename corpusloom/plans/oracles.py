@@ -324,6 +324,15 @@ O["jn_eval_split"] = f"""
         JOIN {values([(i, n) for i, n in enumerate(BENCHMARK_ORDER)], "pos, name")} ON substr(source, 4)::INT = t.pos
         GROUP BY t.name
     ) AS d LEFT JOIN (SELECT * FROM {values(list(EVALUATION_SPLITS.items()), "name, eval_split")}) AS e ON d.name = e.name"""
+_REPOS = [(n, r) for n, r, *_ in CATALOG]
+O["jn_evaluation_plan"] = f"""
+    SELECT o.pos, o.name, c.repo, coalesce(e.eval_split, 'none') AS eval_split,
+           CASE WHEN c.repo IS NULL THEN 'no configuration' WHEN e.eval_split IS NULL THEN 'no evaluation split'
+                ELSE 'ok' END AS status, d.n_rows
+    FROM (SELECT substr(source, 4)::INT AS pos, count(*) AS n_rows FROM documents GROUP BY 1) AS d
+    JOIN (SELECT * FROM {values([(i, n) for i, n in enumerate(BENCHMARK_ORDER)], "pos, name")}) AS o ON o.pos = d.pos
+    LEFT JOIN (SELECT * FROM {values(_REPOS, "name, repo")}) AS c ON c.name = o.name
+    LEFT JOIN (SELECT * FROM {values(list(EVALUATION_SPLITS.items()), "name, eval_split")}) AS e ON e.name = o.name"""
 O["jn_pair_predictions"] = f"""
     SELECT g.source_id, g.sample_no, g.target, coalesce(p.target, '') AS prediction
     FROM ({O["ad_mmlu"]}) AS g LEFT JOIN ({O["ad_first_positive"]}) AS p
@@ -447,6 +456,24 @@ O["corpus_slice"] = f"""
            count(DISTINCT conv_id) AS n_conversations, round(avg(len(context)), 6) AS mean_context_chars
     FROM (SELECT *, {strip("text")} AS target FROM {_PREFIX} AS p) AS s WHERE context <> '' AND target <> '' GROUP BY 1, 2"""
 
+_BUILT = [("alpaca", "ad_instruction"), ("mmlu", "ad_mmlu"), ("gsm8k", "ad_gsm8k")]
+O["corpus_build"] = (
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS dataset, 'ok' AS status, {split('source_id')} AS split, task, count(*) AS n_rows "
+        f"FROM ({O[key]}) AS s GROUP BY ALL"
+        for name, key in _BUILT
+    )
+    + f"""
+    UNION ALL
+    SELECT 'open_assistant', 'ok', {split("root_id")}, 'chat', count(*) FROM (
+        WITH RECURSIVE {thread_cte()}
+        SELECT root_id FROM idx JOIN paths USING (message_id)
+        WHERE role = 'assistant' AND context <> '' AND {strip("text")} <> ''
+    ) AS t GROUP BY ALL
+    UNION ALL
+    SELECT 'unknown', 'no adapter', 'none', 'none', 0"""
+)
+
 # --- tokens ---
 O["tok_encode"] = with_tokens(f"SELECT doc_id, len(tokens) AS n_tokens, {spaced('tokens')} AS tokens FROM enc")
 O["tok_decode"] = with_tokens("""
@@ -488,6 +515,23 @@ O["bat_padded"] = with_tokens(f"""
         ) AS c
     ) AS d""")
 
+O["bat_samples"] = with_tokens(f"""
+    SELECT shard, batch_no, pos, source_id, task,
+           {spaced("list_concat(c, list_transform(range(width - len(c)), lambda i: 1))")} AS context_tokens,
+           {spaced("list_concat([2, t, 3], list_transform(range(509), lambda i: 1))")} AS target_tokens
+    FROM (
+        SELECT *, max(len(c)) OVER (PARTITION BY shard, batch_no) AS width FROM (
+            SELECT *, place // 4 AS batch_no, place % 4 AS pos FROM (
+                SELECT *, row_number() OVER (PARTITION BY shard ORDER BY source_id) - 1 AS place FROM (
+                    SELECT s.source_id, s.task, left({h("s.source_id")}, 2) AS shard, e.tokens[1:512] AS c,
+                           coalesce(v.token_id, 4) AS t
+                    FROM ({O["ad_pair"]}) AS s JOIN enc AS e ON e.doc_id = s.source_id
+                    LEFT JOIN vocab AS v ON v.word = s.target
+                ) AS a
+            ) AS b
+        ) AS c1
+    ) AS d""")
+
 # --- vectors ---
 _PLACED = "SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings"
 O["emb_tree"] = f"""

@@ -25,6 +25,7 @@ from corpusloom.operators import (
 )
 from corpusloom.operators.adapters import adapt, union_corpus
 from corpusloom.operators.blocks import ordinals
+from corpusloom.plans import corpus
 from corpusloom.plans.views import epochs, table, view
 from corpusloom.session import fresh_path, spread
 from corpusloom.sources import catalog, tables
@@ -169,6 +170,12 @@ def src_manifest(spark, sf_dir):
 
 @query
 def vocab_topk(spark, sf_dir):
+    path = fresh_path(spark, "vocabulary")
+    tables.save(_vocabulary_table(spark, sf_dir), path, by=())
+    return tables.open_dataset(spark, path)
+
+
+def _vocabulary_table(spark, sf_dir) -> DataFrame:
     return tokens.vocabulary(spread(table(spark, sf_dir, "documents").select("text")), "text", VOCABULARY_SIZE)
 
 
@@ -363,6 +370,13 @@ def jn_eval_split(spark, sf_dir):
     )
 
 
+@query
+def jn_evaluation_plan(spark, sf_dir):
+    docs = metrics.counts(table(spark, sf_dir, "documents").select(_dataset_no().alias("pos")), "pos")
+    planned = lookups.lookup(docs, corpus.evaluation_plan(spark), "pos")
+    return planned.select("pos", "name", "repo", F.coalesce("eval_split", F.lit("none")).alias("eval_split"), "status", "n_rows")
+
+
 @query
 def jn_pair_predictions(spark, sf_dir):
     on = ["source_id", "sample_no"]
@@ -536,6 +550,23 @@ def set_corpus_union(spark, sf_dir):
     return union_corpus([(name, adapt(name, view(shape)(spark, sf_dir))) for name, shape in shapes])
 
 
+@query
+def corpus_build(spark, sf_dir):
+    """Every dataset adapted, split and written; one without an adapter is only reported."""
+    shapes = {"alpaca": "v_instruction", "mmlu": "v_mcq", "gsm8k": "v_marked", "open_assistant": "v_thread", "unknown": "v_pair"}
+    out = fresh_path(spark, "corpus")
+    sources = {name: lambda shape=shape: view(shape)(spark, sf_dir) for name, shape in shapes.items()}
+    manifest = corpus.build_corpus(spark, sources, out).select(F.col("name").alias("dataset"), "status")
+    counts = metrics.counts(tables.open_dataset(spark, out), "dataset", "split", "task")
+    return manifest.join(counts, "dataset", "left").select(
+        "dataset",
+        "status",
+        F.coalesce("split", F.lit("none")).alias("split"),
+        F.coalesce("task", F.lit("none")).alias("task"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+
+
 @query
 def corpus_slice(spark, sf_dir):
     """Dialogue prefixes -> samples -> split by conversation -> size and mean context length."""
@@ -553,7 +584,7 @@ def corpus_slice(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir) -> list[str]:
-    return tokens.vocabulary_words(vocab_topk(spark, sf_dir))
+    return tokens.vocabulary_words(_vocabulary_table(spark, sf_dir))
 
 
 def _encoded(spark, sf_dir) -> DataFrame:
@@ -613,6 +644,23 @@ def bat_padded(spark, sf_dir):
     return rows.withColumn("tokens", joined("tokens"))
 
 
+@query
+def bat_samples(spark, sf_dir):
+    """Samples to padded batches: contexts padded to the longest of their batch, targets of fixed length."""
+    pairs = adapt("bbh", spread(view("v_pair")(spark, sf_dir)))
+    rows = corpus.tokenise(pairs, _vocabulary(spark, sf_dir))
+    batches = tokens.padded_batches(rows, "source_id", "context_tokens", batch_size=4)
+    return batches.select(
+        "shard",
+        "batch_no",
+        "pos",
+        "source_id",
+        "task",
+        joined("context_tokens").alias("context_tokens"),
+        joined("target_tokens").alias("target_tokens"),
+    )
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------
 
 

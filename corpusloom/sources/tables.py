@@ -72,13 +72,15 @@ def page_texts(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame
     return ordered_concat(pages, [doc], page_no, text)
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
+def materialize(
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, partition_by: Sequence[str] = ()
+) -> DataFrame:
     """Open the dataset if it is there and readable, build and write it otherwise."""
     try:
         return spark.read.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         log.info("building %s: %s", path, type(error).__name__)
-    build().write.mode("overwrite").parquet(path)
+    save(build(), path, partition_by, "overwrite")
     return spark.read.parquet(path)
 
 
