@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -11,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.unions import list_normalize
+from corpusloom.operators.adapters import SOURCE_ID
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
 from corpusloom.session import local_table
+from corpusloom.sources.catalog import JSON_DATASETS, ROW_CAPS
+from corpusloom.sources.schemas import RAW
 
 log = logging.getLogger(__name__)
 
+ROWS_PER_FILE = 1 << 40
 MANIFEST_SCHEMA = "name string, status string, n_rows long, error string"
 
 
@@ -25,11 +31,12 @@ def read_source(
     path: str,
     schema: T.StructType | str | None = None,
     format: str = "parquet",
+    config: str | None = None,
     split: str | None = None,
     id_col: str | None = None,
     row_cap: int | None = None,
 ) -> DataFrame:
-    """One dataset, optionally one split (a partition column), optionally a seeded sample of ``row_cap`` rows."""
+    """One dataset; optionally one configuration and split (partition columns) and a seeded sample of its rows."""
     reader = spark.read.format(format)
     if schema is not None:
         reader = reader.schema(schema)
@@ -38,11 +45,44 @@ def read_source(
     if format == "json":
         reader = reader.option("multiLine", True)
     df = reader.load(path)
-    if split is not None:
-        df = df.filter(F.col("split") == split)
+    for column, value in (("config", config), ("split", split)):
+        if value is not None:
+            df = df.filter(F.col(column) == value)
     return sample_seeded(df, id_col, row_cap) if row_cap and id_col else df
 
 
+def with_source_id(df: DataFrame, name: str = SOURCE_ID) -> DataFrame:
+    """Number the rows of a parquet dataset by file and place in the file.
+
+    The ids rise in file order and are the same in every run over the same files.
+    """
+    files = sorted({_plain_path(f) for f in df.inputFiles()})
+    numbers = local_table(df.sparkSession, [(f, i) for i, f in enumerate(files)] or [("", 0)], "_file string, _no long")
+    path = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
+    placed = df.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    numbered = placed.join(numbers, F.col("_path") == F.col("_file"))
+    return numbered.withColumn(name, F.col("_no") * F.lit(ROWS_PER_FILE) + F.col("_row")).drop(
+        "_path", "_row", "_file", "_no"
+    )
+
+
+def _plain_path(uri: str) -> str:
+    return re.sub("^([^:/]+):/+", r"\1:/", uri)
+
+
+def open_catalogued(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A dataset of the catalogue as its adapter reads it: by its format, with source ids, capped where listed."""
+    path = f"{root}/{name}"
+    if name in JSON_DATASETS:
+        rows = read_json_array(spark, path, RAW[name])
+        rows = rows.withColumn("evidence", list_normalize("evidence")).withColumnRenamed("qid", SOURCE_ID)
+    else:
+        rows = spark.read.parquet(path)
+        rows = rows if SOURCE_ID in rows.columns else with_source_id(rows)
+    cap = ROW_CAPS.get(name)
+    return sample_seeded(rows, SOURCE_ID, cap) if cap else rows
+
+
 def open_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
+from corpusloom.operators.adapters import ADAPTERS, adapt
 from corpusloom.sources import tables
+from corpusloom.sources.schemas import RAW
 from tests.conftest import rows
 
 
@@ -39,7 +41,7 @@ def test_json_array(spark, tmp_path):
 def test_json_and_text_sinks(spark, tmp_path):
     df = spark.createDataFrame([("é", None)], "q string, a string")
     tables.save_json(df, str(tmp_path / "j"))
-    line = next((tmp_path / "j").glob("part-*")).read_text(encoding="utf-8").strip()
+    line = "".join(f.read_text(encoding="utf-8") for f in (tmp_path / "j").glob("part-*")).strip()
     assert line == '{"q":"é","a":null}'
     tables.save_text(df.select("q"), str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).first()["value"] == "é"
@@ -109,3 +111,46 @@ def test_spread_only_small_scans(spark, tmp_path):
     assert session.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     large = spark.range(1_000, numPartitions=40)
     assert session.spread(large) is large
+
+
+def test_source_ids_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "raw files")
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 5).coalesce(1).write.mode("append").parquet(path)
+    once, again = (rows(tables.with_source_id(spark.read.parquet(path))) for _ in range(2))
+    assert once == again and len(once) == 15 == len({r[1] for r in once})
+    by_file = {}
+    for value, source_id in once:
+        by_file.setdefault(source_id // tables.ROWS_PER_FILE, []).append((source_id % tables.ROWS_PER_FILE, value))
+    assert sorted(by_file) == [0, 1, 2]
+    assert all([v - min(m)[1] for _, v in sorted(m)] == list(range(5)) for m in by_file.values())
+
+
+def test_catalogued_json(spark, tmp_path):
+    data = [
+        {"qid": "a", "question": "q", "answer": True, "evidence": ["x", 1]},
+        {"qid": "b", "question": "r", "answer": False, "evidence": None},
+        {"qid": "c", "question": "s", "evidence": "one"},
+    ]
+    (tmp_path / "strategyqa").write_text(json.dumps(data))
+    raw = tables.open_catalogued(spark, str(tmp_path), "strategyqa")
+    assert rows(raw.select("source_id", "evidence")) == [("a", ["x", "1"]), ("b", []), ("c", ["one"])]
+    assert [r[3] for r in rows(adapt("strategyqa", raw))] == ["True", "False"]
+
+
+def test_catalogued_parquet_is_capped(spark, tmp_path):
+    answers = spark.range(5_600).select(F.concat(F.lit("q"), "id").alias("question"), F.array(F.lit("a")).alias("answer"))
+    answers.write.parquet(str(tmp_path / "nq_open"))
+    raw = tables.open_catalogued(spark, str(tmp_path), "nq_open")
+    assert adapt("nq_open", raw).count() == 5_000
+
+
+@pytest.mark.parametrize("name", sorted(RAW))
+def test_adapters_accept_their_schema(spark, name):
+    ddl = RAW[name] if name == "open_assistant" else f"source_id long, {RAW[name]}"
+    got = adapt(name, spark.createDataFrame([], ddl))
+    assert got.columns == ["source_id", "sample_no", "context", "target", "task"]
+
+
+def test_every_adapter_has_a_schema():
+    assert set(RAW) <= set(ADAPTERS) and len(RAW) == 33
