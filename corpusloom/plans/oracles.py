@@ -152,19 +152,28 @@ O["vocab_topk"] = with_tokens("SELECT token_id, word, n FROM vocab")
 
 _MODELS = [(d, m, s) for d, scores in PUBLISHED_SCORES.items() for m, s in scores.items()]
 _SCORED = ", ".join(text(d) for d in EXACT_MATCH_DATASETS)
-O["jn_scorecard"] = f"""
-    WITH own AS (
+_OWN = f"""
+    own AS (
         SELECT t.name AS dataset,
                round(CASE WHEN t.name IN ({_SCORED}) THEN avg(CASE WHEN toxic = quality THEN 1.0::DOUBLE ELSE 0.0 END)
                      ELSE 0.0 END, 6) AS score
         FROM labels JOIN documents USING (doc_id)
         JOIN {values([(i, n) for i, n in enumerate(BENCHMARK_ORDER)], "pos, name")} ON substr(source, 4)::INT = t.pos
         GROUP BY t.name
-    )
+    ),
+    models AS (SELECT t.dataset, t.model, t.score::DOUBLE AS score FROM {values(_MODELS, "dataset, model, score")})"""
+O["jn_scorecard"] = f"""
+    WITH {_OWN}
     SELECT dataset, 'own' AS model, score FROM own
     UNION ALL
-    SELECT t.dataset, t.model, t.score::DOUBLE FROM {values(_MODELS, "dataset, model, score")}
-    WHERE t.dataset IN (SELECT dataset FROM own)"""
+    SELECT dataset, model, score FROM models WHERE dataset IN (SELECT dataset FROM own)"""
+O["snk_scorecard_lines"] = f"""
+    WITH {_OWN}
+    SELECT concat(o.dataset, ': own: ', o.score, ', Top models: {{"own":', o.score, m.listed, '}}') AS value
+    FROM own AS o LEFT JOIN (
+        SELECT dataset, string_agg(concat(',"', model, '":', score), '' ORDER BY model) AS listed
+        FROM models GROUP BY dataset
+    ) AS m ON o.dataset = m.dataset"""
 
 # --- projections and filters ---
 O["prj_strip"] = f"SELECT doc_id, {strip('text')} AS text FROM documents"

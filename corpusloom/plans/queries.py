@@ -138,7 +138,7 @@ def _scores(spark, sf_dir) -> DataFrame:
     answers = named.select(
         "dataset", F.col("toxic").cast("string").alias("prediction"), F.col("quality").cast("string").alias("gold")
     )
-    return metrics.exact_match(answers, "prediction", "gold", "dataset")
+    return metrics.exact_match(answers, "prediction", "gold", "dataset").withColumn("score", F.round("score", 6))
 
 
 def _card(spark, sf_dir) -> DataFrame:
@@ -147,7 +147,7 @@ def _card(spark, sf_dir) -> DataFrame:
 
 @query
 def jn_scorecard(spark, sf_dir):
-    return scorecard.scorecard_rows(_card(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return scorecard.scorecard_rows(_card(spark, sf_dir))
 
 
 @query

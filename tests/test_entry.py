@@ -24,8 +24,7 @@ def test_entry_has_rows(spark):
 
 
 def test_sql_belongs_to_queries():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"snk_scorecard_lines"}
+    assert set(oracle_sql()) == set(queries())
 
 
 @pytest.mark.parametrize("name", list(queries()))
