@@ -88,10 +88,8 @@ def instruction_adapter(context_field: str = "context", target_field: str = "res
 
     def adapter(df: DataFrame) -> DataFrame:
         instruction, extra = text(df, "instruction"), text(df, context_field)
-        context = F.when((instruction != "") & (extra != ""), F.concat_ws(" ", instruction, extra)).otherwise(instruction)
-        return samples(
-            df, F.when(instruction != "", context), text(df, target_field), task_of(instruction)
-        )
+        context = F.when(extra != "", F.concat_ws(" ", instruction, extra)).otherwise(instruction)
+        return samples(df, F.when(instruction != "", context), text(df, target_field), task_of(instruction))
 
     return adapter
 
@@ -174,11 +172,9 @@ def lettered_option(df: DataFrame) -> DataFrame:
     options = field(df, "options", "array<string>")
     if "options" in df.columns and not isinstance(df.schema["options"].dataType, T.ArrayType):
         options = F.lit(None).cast("array<string>")
-    parsed = F.transform(
-        F.filter(F.transform(options, strip), lambda o: (F.length(o) > 2) & F.lower(o).rlike("^[a-e]")),
-        lambda o: F.struct(F.lower(F.substring(o, 1, 1)).alias("letter"), strip(F.substring(o, 3, 1 << 30)).alias("text")),
-    )
-    found = last_where(parsed, lambda o: o["letter"] == correct)["text"]
+    parsed = F.filter(F.transform(options, strip), lambda o: (F.length(o) > 2) & F.lower(o).rlike("^[a-e]"))
+    wanted = last_where(parsed, lambda o: F.lower(F.substring(o, 1, 1)) == correct)
+    found = strip(F.substring(wanted, 3, 1 << 30))
     usable = F.coalesce(F.size(parsed), F.lit(0)) > 0
     target = F.when(correct != "", F.when(usable, found).otherwise(correct))
     return samples(df, text(df, "Problem"), target, "chat")

@@ -60,8 +60,9 @@ def salted_lookup(
 ) -> DataFrame:
     """Left join to a reference with unique keys, where a few keys may hold most of ``df``.
 
-    ``n_rows`` is the row count of ``df``. Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread_by``; the reference row of a hot
-    key (one row each, under ``share`` keys) is copied once per salt. All other rows join as usual.
+    ``n_rows`` is the row count of ``df``. Rows of a hot key are spread over ``salts`` tasks by a hash of
+    ``spread_by``; the reference row of a hot key (one row each, under ``share`` keys) is copied once per salt.
+    All other rows join as usual.
     """
     hot = hot_keys(df, key, n_rows, share, floor)
     if not hot:

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import SEED, bucket, seeded_hash, share_bound
-from corpusloom.functions.text import as_column
 
 TEST_SHARE = 0.2
 VALIDATION_SHARE = 0.25
+LOWER = "_lower"
 LAST_BUCKET = "g"  # sorts after every hex digit
 N_RANGES = 65_536
 
@@ -64,7 +64,8 @@ def sample_per_group(
     last = _cumulated(ids.select(group, "_bucket"), [group]).groupBy(group).agg(_last_bucket(cap).alias("_last"))
     near = ids.join(F.broadcast(last), group).filter(F.col("_bucket") <= F.col("_last"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_place"))
-    cuts = near.withColumn("_rank", rank).filter(F.col("_rank") <= cap).groupBy(group).agg(F.max("_place").alias("_cut"))
+    first = near.withColumn("_rank", rank).filter(F.col("_rank") <= cap)
+    cuts = first.groupBy(group).agg(F.max("_place").alias("_cut"))
     return rows.join(F.broadcast(cuts), group).filter(_place(id_col, seed) <= F.col("_cut")).drop("_cut")
 
 
@@ -154,6 +155,14 @@ def split_threads(samples: DataFrame, id_col: str, root: str, leaky: bool = Fals
     return split_hash(samples, id_col if leaky else root, **options)
 
 
+def with_lower(df: DataFrame, column: str) -> DataFrame:
+    """Add the column in lower case at ingest, so that later filters on it reach the scan."""
+    return df.withColumn(f"{column}{LOWER}", F.lower(column))
+
+
 def where_ci(df: DataFrame, column: str, value: str | None) -> DataFrame:
-    """Case-insensitive equality; no value, no filter."""
-    return df.filter(F.lower(as_column(column)) == value.lower()) if value else df
+    """Case-insensitive equality; no value, no filter. Uses the lower-case column where the table has one."""
+    if not value:
+        return df
+    stored = f"{column}{LOWER}"
+    return df.filter((F.col(stored) if stored in df.columns else F.lower(column)) == value.lower())

@@ -601,6 +601,7 @@ O["str_filter_take"] = O["lim_first_n"]
 O["str_adapt"] = f"""
     SELECT doc_id AS source_id, 0 AS sample_no, {strip("text")} AS context, {strip("source")} AS target, 'chat' AS task
     FROM documents WHERE {strip("text")} <> '' AND {strip("source")} <> ''"""
+O["str_adapt_groups"] = O["ad_thread"]
 O["str_running_loss"] = """
     SELECT user_id AS run, sum(value::DECIMAL(18, 2))::DOUBLE / count(value) AS avg_loss, count(value) AS n_batches
     FROM events GROUP BY user_id"""

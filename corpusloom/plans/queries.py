@@ -26,7 +26,7 @@ from corpusloom.operators import (
 from corpusloom.operators.adapters import adapt, union_corpus
 from corpusloom.operators.blocks import ordinals
 from corpusloom.plans import corpus
-from corpusloom.plans.views import epochs, table, view
+from corpusloom.plans.views import SHAPES, epochs, table, view
 from corpusloom.session import fresh_path, spread
 from corpusloom.sources import catalog, tables
 from corpusloom.streaming import streams
@@ -741,6 +741,16 @@ def str_adapt(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query
+def str_adapt_groups(spark, sf_dir):
+    out = fresh_path(spark, "threads")
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    turns = streams.read_stream(spark, sf_dir, schema, "conversations.parquet")
+    messages = turns.selectExpr(*SHAPES["v_thread"][1])
+    streams.adapt_group_stream(messages, "open_assistant", out, fresh_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 @query
 def str_running_loss(spark, sf_dir):
     out = fresh_path(spark, "losses")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local_roots: dict[str, str] = {}
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}  # removed when Python ends
 
 
 def get_spark(app: str = "corpusloom", master: str | None = None, **conf: object) -> SparkSession:
@@ -43,8 +43,8 @@ def work_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="corpusloom-")
-    return _local_roots[app]
+        _local_roots[app] = tempfile.TemporaryDirectory(prefix="corpusloom-", ignore_cleanup_errors=True)
+    return _local_roots[app].name
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

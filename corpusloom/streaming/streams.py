@@ -63,6 +63,23 @@ def adapt_stream(rows: DataFrame, name: str) -> DataFrame:
     return adapt(name, rows)
 
 
+def adapt_group_stream(rows: DataFrame, name: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Run an adapter that needs whole groups (chapters, threads) on every micro-batch.
+
+    A group must land in one micro-batch, as it does when each file holds complete groups.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        adapt(name, batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        rows.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_to_table(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (
         rows.writeStream.format("parquet")

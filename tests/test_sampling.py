@@ -71,3 +71,17 @@ def test_where_ci(spark):
     df = spark.createDataFrame([("Python",), ("java",), (None,)], "lang string")
     assert rows(sampling.where_ci(df, "lang", "PYTHON")) == [("Python",)]
     assert sampling.where_ci(df, "lang", "").count() == 3
+
+
+def test_lower_case_column_reaches_the_scan(spark, tmp_path):
+    df = spark.createDataFrame([("Python", 1), ("java", 2)], "lang string, id int")
+    sampling.with_lower(df, "lang").write.parquet(str(tmp_path / "code"))
+    found = sampling.where_ci(spark.read.parquet(str(tmp_path / "code")), "lang", "PYTHON")
+    assert rows(found.select("id")) == [(1,)]
+    assert "EqualTo(lang_lower,python)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_n_filters_the_scan(spark, tmp_path):
+    spark.range(1_000).withColumn("t", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    plan = sampling.first_n(spark.read.parquet(str(tmp_path / "t")), "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(id,4)" in plan

@@ -150,6 +150,8 @@ def test_adapters_accept_their_schema(spark, name):
     ddl = RAW[name] if name == "open_assistant" else f"source_id long, {RAW[name]}"
     got = adapt(name, spark.createDataFrame([], ddl))
     assert got.columns == ["source_id", "sample_no", "context", "target", "task"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_every_adapter_has_a_schema():

@@ -64,3 +64,16 @@ def test_running_loss_equals_batch(spark, landed):
     batch = spark.read.schema(SCHEMA).parquet(landed).groupBy((F.col("source_id") % 7).alias("run"))
     expected = batch.agg(F.avg("value").alias("a"), F.count("value").alias("n"))
     assert rows(streams.latest_loss(spark, out, "run")) == rows(expected)
+
+
+def test_group_adapters_run_per_batch(spark, tmp_path):
+    folder, out = str(tmp_path / "verses"), fresh_path(spark, "out")
+    ddl = "source_id long, Book string, Chapter int, Text string"
+    for book in range(2):
+        data = [(book * 100 + i, f"b{book}", i // 6, f"v{i}") for i in range(18)]
+        spark.createDataFrame(data, ddl).coalesce(1).write.mode("append").parquet(folder)
+    verses = streams.read_stream(spark, folder, ddl, files_per_batch=1)
+    streams.adapt_group_stream(verses, "kjv_bible", out, fresh_path(spark, "cp")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert {r["batch"] for r in got.collect()} == {0, 1}
+    assert rows(got.drop("batch")) == rows(adapt("kjv_bible", spark.read.schema(ddl).parquet(folder)))

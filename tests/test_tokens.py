@@ -123,3 +123,9 @@ def test_padded_batches(spark, size):
 
 def test_shard_digits():
     assert [tokens.shard_digits(n, 100) for n in (0, 100, 1_600, 1_601, 25_600, 25_601)] == [1, 1, 1, 2, 2, 3]
+
+
+def test_batches_need_no_global_order(spark):
+    df = spark.createDataFrame([(1, [5])], "id int, tokens array<int>")
+    plan = tokens.padded_batches(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Exchange") == 1
