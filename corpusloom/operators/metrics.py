@@ -58,9 +58,11 @@ def epoch_mean(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def duplicates(df: DataFrame, key: str, digest: bool = False) -> DataFrame:
-    """Keys that occur more than once. ``digest`` groups long texts by their SHA-256, so texts are not shuffled."""
-    grouped = F.sha2(F.col(key), 256) if digest else F.col(key)
-    return df.groupBy(grouped.alias(key)).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    """Keys that occur more than once. ``digest`` groups long texts by their SHA-256 (32 bytes), so no text is
+    shuffled, and returns it in hex."""
+    grouped = F.unhex(F.sha2(F.col(key), 256)) if digest else F.col(key)
+    counted = df.groupBy(grouped.alias(key)).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+    return counted.withColumn(key, F.lower(F.hex(key))) if digest else counted
 
 
 def component_of(name: str) -> Column:

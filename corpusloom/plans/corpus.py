@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,27 +34,32 @@ def split_samples(name: str, raw: DataFrame, leaky: bool = False) -> DataFrame:
     return labelled.select(F.col(SOURCE_ID).cast("string").alias(SOURCE_ID), *SAMPLE_COLUMNS[1:])
 
 
-def build_corpus(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], out: str) -> DataFrame:
+def build_corpus(
+    spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], out: str, parallel: int = 4
+) -> DataFrame:
     """Adapt, split and write every dataset to ``out`` as partitions (dataset, split); returns the manifest.
 
-    Datasets run in benchmark order, others after them. One that is there already is kept, one without an
-    adapter or with an error is reported, and the rest go on.
+    Datasets start in benchmark order, others after them, ``parallel`` at a time, so that small ones do not
+    leave the cluster idle. One that is there already is kept, one without an adapter or with an error is
+    reported, and the rest go on.
     """
     order = {name: i for i, name in enumerate(catalog.BENCHMARK_ORDER)}
-    rows = []
-    for name in sorted(sources, key=lambda n: (order.get(n, len(order)), n)):
+
+    def build(name: str) -> tuple:
         if name not in ADAPTERS:
-            rows.append((name, "no adapter", None, None))
-            continue
-        path = f"{out}/dataset={name}"
+            return (name, "no adapter", None, None)
         try:
             written = tables.materialize(
-                spark, lambda name=name: split_samples(name, sources[name]()), path, partition_by=["split"]
+                spark, lambda: split_samples(name, sources[name]()), f"{out}/dataset={name}", ["split"]
             )
-            rows.append((name, "ok", written.count(), None))
+            return (name, "ok", written.count(), None)
         except Exception as error:  # noqa: BLE001 - a broken dataset must not stop the rest
             log.warning("skipping %s: %s", name, error)
-            rows.append((name, "failed", None, type(error).__name__))
+            return (name, "failed", None, type(error).__name__)
+
+    names = sorted(sources, key=lambda n: (order.get(n, len(order)), n))
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(build), names))
     return local_table(spark, rows, tables.MANIFEST_SCHEMA)
 
 

@@ -23,6 +23,7 @@ from corpusloom.sources.schemas import RAW
 log = logging.getLogger(__name__)
 
 ROWS_PER_FILE = 1 << 40
+MAX_FILES = 1_000_000
 MANIFEST_SCHEMA = "name string, status string, n_rows long, error string"
 
 
@@ -57,12 +58,18 @@ def with_source_id(df: DataFrame, name: str = SOURCE_ID) -> DataFrame:
     The ids rise in file order and are the same in every run over the same files.
     """
     files = sorted({_plain_path(f) for f in df.inputFiles()})
-    numbers = local_table(df.sparkSession, [(f, i) for i, f in enumerate(files)] or [("", 0)], "_file string, _no long")
+    if len(files) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files; give the rows an id column")
+    listed = local_table(df.sparkSession, [(f, i) for i, f in enumerate(files)] or [("", 0)], "_file string, _no long")
+    numbers = listed.select(F.xxhash64("_file").alias("_hash"), "_no")
+    if numbers.agg(F.count_distinct("_hash")).first()[0] != max(len(files), 1):
+        raise ValueError("two file names share a hash; give the rows an id column")
     path = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
-    placed = df.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    numbered = placed.join(numbers, F.col("_path") == F.col("_file"))
+    placed = df.select("*", F.xxhash64(path).alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    # Two integers per file, at most MAX_FILES of them.
+    numbered = placed.join(F.broadcast(numbers), F.col("_path") == F.col("_hash"))
     return numbered.withColumn(name, F.col("_no") * F.lit(ROWS_PER_FILE) + F.col("_row")).drop(
-        "_path", "_row", "_file", "_no"
+        "_path", "_row", "_hash", "_no"
     )
 
 
@@ -120,7 +127,7 @@ def materialize(
         return spark.read.parquet(path)
     except (PySparkException, Py4JJavaError) as error:
         log.info("building %s: %s", path, type(error).__name__)
-    save(build(), path, partition_by, "overwrite")
+    save(build(), path, partition_by, "overwrite", rebalance=False)
     return spark.read.parquet(path)
 
 
@@ -136,10 +143,20 @@ def load_all(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return local_table(spark, rows, MANIFEST_SCHEMA)
 
 
-def save(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "split"), mode: str = "errorifexists") -> None:
-    """Write parquet partitioned by ``by``. The rebalance splits large and joins small partitions' files."""
-    rebalanced = df.hint("rebalance", *by) if by else df
-    rebalanced.write.mode(mode).partitionBy(*by).parquet(path)
+def save(
+    df: DataFrame,
+    path: str,
+    by: Sequence[str] = ("dataset", "split"),
+    mode: str = "errorifexists",
+    rebalance: bool = True,
+) -> None:
+    """Write parquet partitioned by ``by``.
+
+    With many partitions a rebalance gathers each one's rows into few files and splits a large one. With few
+    partitions leave it out: every task then writes its own rows and nothing is shuffled.
+    """
+    gathered = df.hint("rebalance", *by) if by and rebalance else df
+    gathered.write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def save_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
