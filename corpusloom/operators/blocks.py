@@ -24,8 +24,11 @@ BLOCK_ROWS = 65_536
 
 
 def with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the group and block columns; a row without an order has no place in its group and is an error."""
     key = F.struct(*keys) if keys else F.lit(0)
-    return df.withColumns({KEY: key, BLOCK: F.expr(f"`{order}` div {int(block_rows)}")})
+    block = F.expr(f"`{order}` div {int(block_rows)}")
+    refused = F.raise_error(F.lit(f"column {order} orders the rows and must not be null")).cast("bigint")
+    return df.withColumns({KEY: key, BLOCK: F.coalesce(block, refused)})
 
 
 def in_block(order: str | Column) -> WindowSpec:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import blocks, windows
+from corpusloom.operators import blocks, metrics, windows
 from tests.conftest import rows
 
 SCHEMA = "g string, o long, t string, v double"
@@ -156,6 +156,22 @@ def test_microbatch(df, table, size):
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+def test_rows_without_an_order_are_refused(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None)], "g string, o long")
+    with pytest.raises(Exception, match="must not be null"):
+        blocks.ordinals(df, ["g"], "o").collect()
+
+
+def test_epoch_means_feed_early_stop(spark):
+    losses = [3.0, 2.0, math.nan, 2.5, 2.0, 1.0]
+    batches = [("r", e, x + d) for e, x in enumerate(losses, 1) for d in (-0.5, 0.5)]
+    means = metrics.epoch_mean(spark.createDataFrame(batches, "run string, epoch long, loss double"), "loss", ["run", "epoch"])
+    got = windows.early_stop(means, ["run"], "epoch", "mean_value", patience=3).orderBy("epoch").collect()
+    assert [(r["epoch"], r["wait"], r["stopped"]) for r in got] == [
+        (1, 0, False), (2, 0, False), (3, 1, False), (4, 2, False), (5, 3, True),
+    ]
+
+
 def test_top_n_limits_before_the_shuffle(df):
     result = windows.top_n(df, ["g"], ["o"], 3)
     assert result.count() == 3 * 6 + 1
