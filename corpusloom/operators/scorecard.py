@@ -15,7 +15,7 @@ def scorecard(scores: DataFrame, published: DataFrame, own: str = OWN) -> DataFr
     """
     listed = F.sort_array(F.collect_list(F.struct("model", "score")))
     maps = published.groupBy("dataset").agg(F.map_from_entries(listed).alias("_published"))
-    joined = scores.join(F.broadcast(maps), "dataset", "left")
+    joined = scores.join(maps, "dataset", "left")
     mine = F.create_map(F.lit(own), F.col("score"))
     models = F.when(F.col("_published").isNull(), mine).otherwise(F.map_concat(mine, "_published"))
     return joined.select("dataset", "score", models.alias("models"))

@@ -18,8 +18,10 @@ DRIFT_LAMBDA = 1_000.0
 NORM_SCALE = 1e-6
 
 
-def _per_dim(vec: str, dims: int, aggregate) -> Column:
-    return F.array(*[aggregate(F.col(vec)[i].cast("double")) for i in range(dims)])
+def per_dim(vec: str, dims: int, aggregate: str) -> Column:
+    """An array of one SQL aggregate per dimension, ``{x}`` standing for the dimension's value as double."""
+    cells = [aggregate.format(x=f"double(`{vec}`[{i}])") for i in range(dims)]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def _ancestors(pos: str, n: str) -> Column:
@@ -64,8 +66,8 @@ def embedding_tree(
     """
     leaves = ordinals(df.select(doc, order, vec), [doc], order, "_leaf", total="_leaves")
     placed = leaves.select(doc, vec, F.inline(_ancestors("_leaf", "_leaves")))
-    weighted = [F.sum(F.col(vec)[i].cast("double") * F.col("weight")) for i in range(dims)]
-    nodes = placed.groupBy(doc, "level", "pos").agg(F.array(*weighted).alias(vec), F.max("is_root").alias("_root"))
+    summed = per_dim(vec, dims, "sum({x} * weight)").alias(vec)
+    nodes = placed.groupBy(doc, "level", "pos").agg(summed, F.max("is_root").alias("_root"))
     if include_root_copy:
         copies = F.when(F.col("_root"), F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
         nodes = nodes.withColumn("level", F.explode(copies))
@@ -81,7 +83,7 @@ def second_moment(
         n = F.ceil(n / F.lit(batch_size))
     elif divisor != "rows":
         raise ValueError("divisor is 'rows' or 'batches'")
-    sums = df.groupBy(key).agg(_per_dim(vec, dims, lambda x: F.sum(x * x)).alias("_sums"), n.alias("_n"))
+    sums = df.groupBy(key).agg(per_dim(vec, dims, "sum({x} * {x})").alias("_sums"), n.alias("_n"))
     return sums.select(key, "_n", F.posexplode("_sums").alias("idx", "_sum")).select(
         key, "idx", (F.col("_sum") / F.col("_n")).alias("moment")
     )

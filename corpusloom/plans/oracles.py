@@ -138,7 +138,7 @@ O["src_catalog"] = f"""
 O["src_multi_config"] = f"""
     SELECT lang, doc_id, text FROM (
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h("doc_id")}, doc_id) AS rn
-        FROM documents WHERE lang IN ('en', 'fr', 'de')
+        FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')
     ) AS r WHERE rn <= {LANG_CAP}"""
 O["src_json"] = "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events"
 O["snk_parquet_roundtrip"] = f"SELECT doc_id, text, source AS dataset, {split('doc_id')} AS split FROM documents"

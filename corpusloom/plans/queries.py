@@ -68,7 +68,7 @@ def joined(c: Column | str) -> Column:
     return F.array_join(F.transform(F.col(c) if isinstance(c, str) else c, lambda x: x.cast("string")), " ")
 
 
-def per_dim(df: DataFrame, vec: str) -> DataFrame:
+def cells(df: DataFrame, vec: str) -> DataFrame:
     rest = [c for c in df.columns if c != vec]
     rows = df.select(*rest, F.posexplode(vec).alias("dim", "_x"))
     return rows.select(*rest, "dim", F.round(F.col("_x").cast("double"), 6).alias("x"))
@@ -114,7 +114,7 @@ def src_catalog(spark, sf_dir):
 @query
 def src_multi_config(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return tables.capped_configs(docs, "lang", ["en", "fr", "de"], "doc_id", LANG_CAP)
+    return tables.capped_configs(docs, "lang", ["en", "fr", "de", "es"], "doc_id", LANG_CAP)
 
 
 @query
@@ -427,12 +427,11 @@ def agg_second_moment(spark, sf_dir):
 def agg_weighted_drift(spark, sf_dir):
     """Mean vectors per label against their smallest and largest values, weighted by the second moment."""
     vecs = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "name")
-    x = [F.col("embedding")[i].cast("double") for i in range(DIMS)]
     grouped = vecs.groupBy("name").agg(
-        F.array(*[F.avg(v) for v in x]).alias("mean"),
-        F.array(*[F.min(v) for v in x]).alias("low"),
-        F.array(*[F.max(v) for v in x]).alias("high"),
-        F.array(*[F.avg(v * v) for v in x]).alias("weight"),
+        vectors.per_dim("embedding", DIMS, "avg({x})").alias("mean"),
+        vectors.per_dim("embedding", DIMS, "min({x})").alias("low"),
+        vectors.per_dim("embedding", DIMS, "max({x})").alias("high"),
+        vectors.per_dim("embedding", DIMS, "avg({x} * {x})").alias("weight"),
     )
     current = grouped.select("name", F.posexplode("mean").alias("idx", "value"))
     kept = [
@@ -667,19 +666,19 @@ def bat_samples(spark, sf_dir):
 @query
 def emb_tree(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return per_dim(vectors.embedding_tree(rows, "label", "vec_id", "embedding", DIMS), "embedding")
+    return cells(vectors.embedding_tree(rows, "label", "vec_id", "embedding", DIMS), "embedding")
 
 
 @query
 def emb_pad_nodes(spark, sf_dir):
     placed = ordinals(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "pos")
     batched = placed.withColumn("batch_no", F.expr("int(label div 4)"))
-    return per_dim(vectors.pad_vectors(batched, "batch_no", "label", "pos", "embedding", DIMS), "embedding")
+    return cells(vectors.pad_vectors(batched, "batch_no", "label", "pos", "embedding", DIMS), "embedding")
 
 
 @query
 def emb_concat(spark, sf_dir):
-    return per_dim(vectors.concat_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "embedding")
+    return cells(vectors.concat_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "embedding")
 
 
 # --- sections ----------------------------------------------------------------------------------------------------
