@@ -88,22 +88,36 @@ def ordered_concat(
 
 
 def prefix_context(
-    df: DataFrame, keys: Sequence[str], order: str, text: str, block_rows: int = PREFIX_BLOCK_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    text: str,
+    max_chars: int | None = None,
+    block_rows: int = PREFIX_BLOCK_ROWS,
 ) -> DataFrame:
     """For each row but a group's first: all texts before it, joined by a space and stripped, as ``context``.
 
-    The result grows with the square of a group by definition. A row takes the text of earlier blocks from
-    the fold, so one task writes the contexts of one block only.
+    The result grows with the square of a group by definition; ``max_chars`` keeps the first code points of the
+    joined texts only. A row takes the text of earlier blocks from the fold, so one task writes the contexts of
+    one block only, and with ``max_chars`` a fold holds just the blocks that begin inside the limit.
     """
     blocked = with_block(df, keys, order, block_rows)
-    states = fold(summarise(blocked, _text=_joined(order, text, " ")), before={"_earlier": F.collect_list("_text")})
+    joined = _joined(order, text, " ")
+    kept = F.substring(joined, 1, max_chars) if max_chars else joined
+    summary = summarise(blocked, _text=kept, _chars=F.sum(F.length(F.coalesce(F.col(text), F.lit(""))) + 1))
+    if max_chars:
+        begin = F.sum("_chars").over(Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+        summary = summary.withColumn("_begin", F.coalesce(begin, F.lit(0)))
+        summary = summary.withColumn("_text", F.when(F.col("_begin") < max_chars, F.col("_text")))
+    states = fold(summary, before={"_earlier": F.collect_list("_text"), "_before": F.count(F.lit(1))})
     prior = in_block(order).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(prior)
+    context = F.array_join(F.concat("_earlier", "_inside"), " ")
     return (
         join_blocks(blocked.withColumn("_inside", inside), states)
-        .filter(F.size("_earlier") + F.size("_inside") > 0)
-        .withColumn("context", strip(F.array_join(F.concat("_earlier", "_inside"), " ")))
-        .drop("_inside", "_earlier", KEY, BLOCK)
+        .filter(F.col("_before") + F.size("_inside") > 0)
+        .withColumn("context", strip(F.substring(context, 1, max_chars) if max_chars else context))
+        .drop("_inside", "_earlier", "_before", KEY, BLOCK)
     )
 
 

@@ -70,6 +70,17 @@ def test_prefix_context(df, table, size):
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("size", [1, 5, 10_000])
+@pytest.mark.parametrize("limit", [1, 4, 30])
+def test_prefix_context_with_a_limit(df, table, size, limit):
+    got = rows(windows.prefix_context(df, ["g"], "o", "t", limit, size).select("g", "o", "context"))
+    expected = []
+    for g, rs in grouped(table).items():
+        texts = [r[2] or "" for r in rs]
+        expected += [(g, rs[i][1], " ".join(texts[:i])[:limit].strip()) for i in range(1, len(rs))]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
 @pytest.mark.parametrize("size", [1, 9, 10_000])
 def test_ordered_concat(df, table, size):
     got = rows(windows.ordered_concat(df, ["g"], "o", "t", "|", block_rows=size))
