@@ -17,6 +17,7 @@ from corpusloom.operators.adapters import ADAPTERS, SOURCE_ID, adapt, thread_sam
 from corpusloom.operators.sampling import split_hash, split_threads
 from corpusloom.session import local_table
 from corpusloom.sources import catalog, tables
+from corpusloom.sources.schemas import SAMPLE
 
 log = logging.getLogger(__name__)
 
@@ -63,6 +64,11 @@ def build_corpus(
     return local_table(spark, rows, tables.MANIFEST_SCHEMA)
 
 
+def open_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The built corpus; filters on dataset and split choose directories."""
+    return spark.read.schema(SAMPLE).parquet(path)
+
+
 def tokenise(samples: DataFrame, vocab: list[str], context_length: int = CONTEXT_LENGTH) -> DataFrame:
     """Context ids without marks, cut; target ids with marks, cut and padded. The texts are left behind."""
     ids = tokens.word_ids(vocab)

@@ -556,7 +556,7 @@ def corpus_build(spark, sf_dir):
     out = fresh_path(spark, "corpus")
     sources = {name: lambda shape=shape: view(shape)(spark, sf_dir) for name, shape in shapes.items()}
     manifest = corpus.build_corpus(spark, sources, out).select(F.col("name").alias("dataset"), "status")
-    counts = metrics.counts(tables.open_dataset(spark, out), "dataset", "split", "task")
+    counts = metrics.counts(corpus.open_corpus(spark, out), "dataset", "split", "task")
     return manifest.join(counts, "dataset", "left").select(
         "dataset",
         "status",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-SAMPLE = "dataset string, source_id string, sample_no int, context string, target string, task string"
+SAMPLE = (
+    "source_id string, sample_no int, context string, target string, task string, dataset string, split string"
+)
 MESSAGE = "message_id string, parent_id string, role string, text string"
 
 _QA = "question string, answer string"

@@ -17,7 +17,7 @@ from corpusloom.operators.adapters import SOURCE_ID
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
 from corpusloom.session import local_table
-from corpusloom.sources.catalog import JSON_DATASETS, ROW_CAPS
+from corpusloom.sources.catalog import JSON_DATASETS, MULTI_CONFIG_CAP, MULTI_CONFIGS, ROW_CAPS
 from corpusloom.sources.schemas import RAW
 
 log = logging.getLogger(__name__)
@@ -95,7 +95,12 @@ def open_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_multi(
-    spark: SparkSession, root: str, configs: Sequence[str], id_col: str, cap: int, config_col: str = "config"
+    spark: SparkSession,
+    root: str,
+    id_col: str,
+    configs: Sequence[str] = MULTI_CONFIGS,
+    cap: int = MULTI_CONFIG_CAP,
+    config_col: str = "config",
 ) -> DataFrame:
     """One dataset made of several configurations (partition directories), each capped."""
     return capped_configs(spark.read.parquet(root), config_col, configs, id_col, cap)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from corpusloom.plans import corpus
 from corpusloom.session import fresh_path
-from corpusloom.sources import catalog, tables
+from corpusloom.sources import catalog
 from tests.conftest import rows
 
 
@@ -30,8 +30,10 @@ def test_build_isolates_failures_and_resumes(spark):
             "zz": ("no adapter", None),
         }
     assert len(opened) == 1
-    built = tables.open_dataset(spark, out)
+    built = corpus.open_corpus(spark, out)
     assert rows(built.select("dataset").distinct()) == [("bbh",)]
+    plan = built.filter("dataset = 'bbh' and split = 'test'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan
     assert {r["split"] for r in built.collect()} <= {"train", "val", "test"}
 
 

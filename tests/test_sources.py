@@ -78,7 +78,7 @@ def test_manifest_isolates_failures(spark, tmp_path):
 def test_read_multi(spark, tmp_path):
     df = spark.range(300).withColumn("config", F.concat(F.lit("c"), F.col("id") % 4))
     df.write.partitionBy("config").parquet(str(tmp_path / "multi"))
-    got = tables.read_multi(spark, str(tmp_path / "multi"), ["c0", "c1", "c9"], "id", 50)
+    got = tables.read_multi(spark, str(tmp_path / "multi"), "id", ["c0", "c1", "c9"], 50)
     assert rows(got.groupBy("config").count()) == [("c0", 50), ("c1", 50)]
 
 
