@@ -242,9 +242,10 @@ def first_positive(df: DataFrame) -> DataFrame:
 @register_adapter("daily_dialog")
 def dialog(df: DataFrame) -> DataFrame:
     """Every beginning of a dialogue, then the utterance after it."""
+    rows = df.select(SOURCE_ID, field(df, "dialog", "array<string>").alias("dialog"))
     turns = F.size("dialog")
     later = F.when(turns >= 2, F.sequence(F.lit(1), turns - 1))
-    numbered = df.select(SOURCE_ID, "dialog", F.explode(later).alias("_turn"))
+    numbered = rows.select(SOURCE_ID, "dialog", F.explode(later).alias("_turn"))
     context = strip(F.array_join(F.slice("dialog", F.lit(1), F.col("_turn")), " ", ""))
     return samples(numbered, context, strip(F.get("dialog", F.col("_turn"))), "chat", F.col("_turn") - 1)
 
@@ -252,7 +253,8 @@ def dialog(df: DataFrame) -> DataFrame:
 @register_adapter("personachat")
 def persona(df: DataFrame) -> DataFrame:
     """Each utterance's history, then its last candidate."""
-    numbered = df.select(SOURCE_ID, F.posexplode("utterances").alias("_no", "_u"))
+    utterances = field(df, "utterances", "array<struct<history:array<string>,candidates:array<string>>>")
+    numbered = df.select(SOURCE_ID, F.posexplode(utterances).alias("_no", "_u"))
     context = strip(F.array_join("_u.history", " ", ""))
     return samples(numbered, context, strip(last("_u.candidates")), "chat", F.col("_no"))
 
@@ -260,8 +262,9 @@ def persona(df: DataFrame) -> DataFrame:
 @register_adapter("kjv_bible")
 def verses(df: DataFrame) -> DataFrame:
     """Three verses, then the next one of the same chapter; chapters are runs of rows with equal book and chapter."""
+    book, chapter = (field(df, name).alias(name) for name in ("Book", "Chapter"))
     chapters = islands(
-        df.select(SOURCE_ID, "Book", "Chapter", strip("Text").alias("verse")), [], SOURCE_ID, ["Book", "Chapter"]
+        df.select(SOURCE_ID, book, chapter, text(df, "Text").alias("verse")), [], SOURCE_ID, ["Book", "Chapter"]
     )
     windows = sliding_context(chapters, ["island"], SOURCE_ID, "verse")
     return samples(windows, F.col("context"), F.col("verse"), "chat")
@@ -269,13 +272,21 @@ def verses(df: DataFrame) -> DataFrame:
 
 @register_adapter("open_assistant")
 def threads(df: DataFrame) -> DataFrame:
-    """Assistant messages with the texts above them; ``source_id`` is the message id."""
+    """Assistant messages with the texts above them.
+
+    Numbered rows may repeat a message id: the last one stands for it above other messages. Without numbers the
+    ids are unique and serve as ``source_id``.
+    """
     return thread_samples(df).drop("root_id")
 
 
 def thread_samples(df: DataFrame) -> DataFrame:
     """Thread samples with the id of their root message."""
-    answers = thread_targets(df).withColumn(SOURCE_ID, F.col("message_id"))
+    numbered = [SOURCE_ID] if SOURCE_ID in df.columns else []
+    fields = [field(df, name).alias(name) for name in ("message_id", "parent_id", "role", "text")]
+    answers = thread_targets(df.select(*numbered, *fields), order=SOURCE_ID if numbered else None)
+    if not numbered:
+        answers = answers.withColumn(SOURCE_ID, F.col("message_id"))
     return samples(answers, F.col("context"), F.col("target"), "chat", keep=["root_id"])
 
 

@@ -45,8 +45,6 @@ def test_pairs(spark, name, question, answer, task):
 
 def test_missing_columns_reject(spark):
     for name in NAMES:
-        if name in ("daily_dialog", "personachat", "kjv_bible", "open_assistant"):
-            continue
         df = spark.createDataFrame([(1, "x")], "source_id long, other string")
         assert adapt(name, df).count() == 0, name
 

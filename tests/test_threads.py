@@ -90,6 +90,17 @@ def test_adapter(spark):
     assert got == [("b", 0, " q ", "r", "chat")]
 
 
+def test_adapter_with_numbered_rows(spark):
+    messages = [
+        (7, "a", None, "user", "old"),
+        (8, "a", None, "user", "new"),
+        (9, "b", "a", "assistant", "x"),
+        (10, "b", "a", "assistant", "y"),
+    ]
+    got = rows(adapt("open_assistant", spark.createDataFrame(messages, "source_id long, " + SCHEMA)))
+    assert got == [(10, 0, "new", "y", "chat"), (9, 0, "new", "x", "chat")]
+
+
 def test_max_depth_reports_the_rest(spark):
     df = spark.createDataFrame(tree(40, 3, deep=True), SCHEMA)
     got = threads.thread_paths(df, max_depth=1)
