@@ -25,7 +25,7 @@ def per_dim(vec: str, dims: int, aggregate: str) -> Column:
 
 
 def _ancestors(pos: str, n: str) -> Column:
-    """Structs (level, pos, weight) of a leaf and its ancestors in the pairwise tree over ``n`` leaves.
+    """Structs (level, pos, weight, is_root) of a leaf's ancestors in the pairwise tree over ``n`` leaves.
 
     A node is alone in its pair if it is the last of its level at an even position; it is promoted unchanged.
     Every other step up halves the weight.
@@ -41,11 +41,10 @@ def _ancestors(pos: str, n: str) -> Column:
         return (at(level) == last) & (at(level) % 2 == 0)
 
     def halvings(level: Column) -> Column:
-        below = F.when(level > 0, F.sequence(F.lit(0), level - 1)).otherwise(F.array().cast("array<int>"))
-        return F.size(F.filter(below, lambda j: ~alone(j)))
+        return F.size(F.filter(F.sequence(F.lit(0), level - 1), lambda below: ~alone(below)))
 
     return F.transform(
-        F.sequence(F.lit(0), levels),
+        F.when(levels > 0, F.sequence(F.lit(1), levels)),
         lambda level: F.struct(
             level.alias("level"),
             at(level).alias("pos"),
@@ -62,12 +61,20 @@ def embedding_tree(
 
     Leaves are a document's rows in ``order``; level by level neighbours (0,1), (2,3).. are averaged and an odd
     last node is promoted. Each leaf adds its weighted vector to all its ancestors, so one shuffle builds every
-    level; the sums near a large document's root are combined in the tasks first.
+    level above the leaves; the sums near a large document's root are combined in the tasks first.
     """
-    leaves = ordinals(df.select(doc, order, vec), [doc], order, "_leaf", total="_leaves")
-    placed = leaves.select(doc, vec, F.inline(_ancestors("_leaf", "_leaves")))
+    placed = ordinals(df.select(doc, order, vec), [doc], order, "_leaf", total="_leaves")
+    leaves = placed.select(
+        doc,
+        F.lit(0).alias("level"),
+        F.col("_leaf").alias("pos"),
+        F.transform(vec, lambda x: x.cast("double")).alias(vec),
+        (F.col("_leaves") == 1).alias("_root"),
+    )
+    shares = placed.select(doc, vec, F.inline(_ancestors("_leaf", "_leaves")))
     summed = per_dim(vec, dims, "sum({x} * weight)").alias(vec)
-    nodes = placed.groupBy(doc, "level", "pos").agg(summed, F.max("is_root").alias("_root"))
+    inner = shares.groupBy(doc, "level", "pos").agg(summed, F.max("is_root").alias("_root"))
+    nodes = leaves.unionByName(inner)
     if include_root_copy:
         copies = F.when(F.col("_root"), F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
         nodes = nodes.withColumn("level", F.explode(copies))
