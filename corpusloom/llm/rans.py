@@ -247,7 +247,7 @@ def _writer(folder: str, path: str, end: int, file_tokens: int):
             store.create_dir(base, recursive=True)
             file = f"{uuid.uuid4().hex}.rans"
             sizes = np.array([len(h) // 4 for h in held])
-            with store.open_output_stream(f"{base}/{file}") as out:
+            with store.open_output_stream(f"{base}/{file}", compression=None) as out:
                 out.write(pack_file(names, sizes, np.frombuffer(b"".join(held), dtype="<u4")))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int64()), (file, None), (tokens, pa.int64()))],

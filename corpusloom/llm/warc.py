@@ -142,7 +142,7 @@ def _writer(folder: str):
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         store.create_dir(base, recursive=True)
-                        out, at = store.open_output_stream(f"{base}/{name}"), 0
+                        out, at = store.open_output_stream(f"{base}/{name}", compression=None), 0
                     member = _member(record(page, url, payload, digest, refers))
                     out.write(member)
                     lines.append((key, name, at, len(member)))
