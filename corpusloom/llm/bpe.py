@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_UNITS = 600_000
+MEMO_UNITS = 1_000_000
 DOCS_AT_ONCE = 256
 
 
@@ -93,7 +93,7 @@ class ByteBpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def _reachable(self, token: int) -> bool:
         left, right = self.parts[token]
@@ -166,11 +166,10 @@ class ByteBpe:
         return np.frombuffer(self.encoded_units([text])[0], dtype="<u4")
 
     def encoded_units(self, texts: list[str]) -> list[bytes]:
-        def fill(missing: list[str]) -> None:
-            for unit in missing:
-                self.memo[unit] = pack(f"<{len(ids := self.unit_ids(unit))}I", *ids)
+        def encode(units: list[str]) -> list[bytes]:
+            return [pack(f"<{len(ids)}I", *ids) for ids in map(self.unit_ids, units)]
 
-        return encode_by_units(texts, self.memo, fill, list(self.special))
+        return encode_by_units(texts, self.memo, encode, list(self.special))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, gathered from the table of offsets."""
@@ -186,35 +185,50 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
+class Memo:
+    """Ids (little-endian, 32 bits) of units: those behind a blank by their text after it, others by their whole text."""
+
+    def __init__(self, most: int = MEMO_UNITS) -> None:
+        self.behind: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {"": b""}
+        self.most = most
+
+    def trim(self) -> None:
+        if len(self.behind) + len(self.other) > self.most:
+            self.behind.clear()
+            self.other = {"": b""}
+
+
 def encode_by_units(
-    texts: list[str], memo: dict[str, bytes], fill: Callable[[list[str]], None], whole: list[str]
+    texts: list[str], memo: Memo, encode: Callable[[list[str]], list[bytes]], whole: list[str]
 ) -> list[bytes]:
-    """Ids (little-endian, 32 bits) of each text, unit by unit.
+    """Ids of each text; ``encode`` gives those of the units that the memo lacks.
 
-    ``fill`` adds missing units to the memo. Texts are cut before every blank that a non-blank follows; texts with one
-    of ``whole`` (special tokens) stay in one piece.
+    Texts are cut before every blank that a non-blank follows; texts with one of ``whole`` (special tokens) stay in one
+    piece.
     """
-    cut: list[list[str]] = []
+    memo.trim()
+    cut: list[tuple[list[str], list[str]]] = []
     for text in texts:
         if any(w in text for w in whole):
-            cut.append([text])
-            continue
-        if ODD_BLANK.search(text):
-            cut.append([u for u in BLANK_BEFORE.split(text) if u])
+            cut.append(([text], []))
+        elif ODD_BLANK.search(text):
+            cut.append((BLANK_BEFORE.split(text), []))
         else:
             parts = text.split(" ")
-            units = [" " + p for p in parts]
-            units[0] = parts[0]
-            cut.append(units)
-    if len(memo) > MEMO_UNITS:
-        memo.clear()
-    missing = set().union(*cut).difference(memo)
-    missing.discard("")
-    memo[""] = b""
-    if missing:
-        fill(list(missing))
-    get = memo.__getitem__
-    return [b"".join(map(get, units)) for units in cut]
+            cut.append((parts[:1], parts[1:]))
+    found = [list(map(memo.behind.get, parts)) for _, parts in cut]
+    lacking = {p for (_, parts), ids in zip(cut, found, strict=True) for p, i in zip(parts, ids, strict=True) if i is None}
+    others = {u for units, _ in cut for u in units}.difference(memo.other)
+    behind, others = list(lacking), list(others)
+    memo.behind.update(zip(behind, encode([" " + p for p in behind]), strict=True))
+    memo.other.update(zip(others, encode(others), strict=True))
+    out = []
+    for (units, parts), ids in zip(cut, found, strict=True):
+        if None in ids:
+            ids = list(map(memo.behind.__getitem__, parts))
+        out.append(b"".join([*map(memo.other.__getitem__, units), *ids]))
+    return out
 
 
 @functools.lru_cache(4)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import DOCS_AT_ONCE, default_path, encode_by_units
+from corpusloom.llm.bpe import DOCS_AT_ONCE, Memo, default_path, encode_by_units
 from corpusloom.llm.common import shared_path, stored
 
 MAGIC = b"RANS0001"
@@ -202,31 +202,36 @@ class Library:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # one letter of a token is one byte
         for word, i in vocab.items():
             self.width[i] = len(word)
 
-    def _fill(self, missing: list[str]) -> None:
-        joint = [u for u in missing if BLANK_FIRST.match(u)]
-        together = "\n".join(joint)
-        if any(w in together for w in self.whole):
-            joint = [u for u in joint if not any(w in u for w in self.whole)]
-        for unit in set(missing).difference(joint):
-            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-            self.memo[unit] = np.array(ids, dtype="<u4").tobytes()
-        for start in range(0, len(joint), 4096):  # they begin new pieces, so they may be encoded in a row
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units; those that begin with a blank and a non-blank begin new pieces and are encoded in a row."""
+        together = "\n".join(units)
+        special = [w for w in self.whole if w in together]
+        out: dict[str, bytes] = {}
+        joint = []
+        for unit in units:
+            if BLANK_FIRST.match(unit) and not any(w in unit for w in special):
+                joint.append(unit)
+            else:
+                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+                out[unit] = np.array(ids, dtype="<u4").tobytes()
+        for start in range(0, len(joint), 4096):
             some = joint[start : start + 4096]
             ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
             ends = np.cumsum([len(u.encode()) for u in some])
             cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
             raw = ids.tobytes()
-            self.memo.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        return [out[u] for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_by_units(texts, self.memo, self._fill, self.whole)
+        return encode_by_units(texts, self.memo, self._units, self.whole)
 
 
 @functools.lru_cache(4)
