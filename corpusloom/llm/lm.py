@@ -33,7 +33,6 @@ from corpusloom.llm.common import fold_of, stored
 FOLDS = 5
 HELD_OUT = 1
 PRIOR = 300.0
-SHARDS = 64
 END_KEY = np.uint64(xxhash.xxh64_intdigest(b"", 1))  # no word is empty
 PAIR = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier that sets pair keys apart from word keys
 NO_STATE = np.int64(-1)
@@ -240,14 +239,14 @@ SCHEMA = (
 )
 
 
-def score(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    Chunks are as many as shuffle partitions; a row's chunk comes from its id and its place in the scan, so that
+    Chunks and shards are as many as shuffle partitions, so both stay of one size as the input grows; a row's chunk comes from its id and its place in the scan, so that
     repeated ids don't meet in one chunk. The dealt texts are written once and read by both passes.
     """
     spark = docs.sparkSession
-    chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
