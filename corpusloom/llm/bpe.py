@@ -17,6 +17,8 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import not_
 from struct import pack
 
 import ahocorasick
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 1_500_000
 DOCS_AT_ONCE = 256
 
 
@@ -47,6 +49,8 @@ def byte_letters() -> dict[int, str]:
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANK_BEFORE = re.compile(r"(?= \S)")
 ODD_BLANK = re.compile(r" (?!\S)")
+ODD_LINE = re.compile(r"\n(?!\S)")
+GLUED = "\0"  # begins a unit that no blank precedes
 
 
 class ByteBpe:
@@ -204,29 +208,37 @@ def encode_by_units(
 ) -> list[bytes]:
     """Ids of each text; ``encode`` gives those of the units that the memo lacks.
 
-    Texts are cut before every blank that a non-blank follows; texts with one of ``whole`` (special tokens) stay in one
-    piece.
+    Texts are cut before every blank that a non-blank follows and around a line end between two non-blanks, where pieces
+    always end. Texts with one of ``whole`` (special tokens) stay in one piece.
     """
     memo.trim()
     cut: list[tuple[list[str], list[str]]] = []
     for text in texts:
         if any(w in text for w in whole):
             cut.append(([text], []))
-        elif ODD_BLANK.search(text):
+        elif GLUED in text or ODD_BLANK.search(text):
             cut.append((BLANK_BEFORE.split(text), []))
         else:
+            if not ODD_LINE.search(text):
+                text = text.replace("\n", " \0\n \0")
             parts = text.split(" ")
             cut.append((parts[:1], parts[1:]))
-    found = [list(map(memo.behind.get, parts)) for _, parts in cut]
-    lacking = {p for (_, parts), ids in zip(cut, found, strict=True) for p, i in zip(parts, ids, strict=True) if i is None}
-    others = {u for units, _ in cut for u in units}.difference(memo.other)
-    behind, others = list(lacking), list(others)
-    memo.behind.update(zip(behind, encode([" " + p for p in behind]), strict=True))
+    found, gaps = [], []
+    lacking: set[str] = set()
+    for _, parts in cut:
+        ids = list(map(memo.behind.get, parts))
+        gap = list(compress(range(len(ids)), map(not_, ids)))
+        lacking.update(map(parts.__getitem__, gap))
+        found.append(ids)
+        gaps.append(gap)
+    others = list({u for units, _ in cut for u in units}.difference(memo.other))
+    behind = list(lacking)
+    memo.behind.update(zip(behind, encode([p[1:] if p[:1] == GLUED else " " + p for p in behind]), strict=True))
     memo.other.update(zip(others, encode(others), strict=True))
     out = []
-    for (units, parts), ids in zip(cut, found, strict=True):
-        if None in ids:
-            ids = list(map(memo.behind.__getitem__, parts))
+    for (units, parts), ids, gap in zip(cut, found, gaps, strict=True):
+        for i in gap:
+            ids[i] = memo.behind[parts[i]]
         out.append(b"".join([*map(memo.other.__getitem__, units), *ids]))
     return out
 

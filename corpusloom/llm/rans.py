@@ -223,7 +223,7 @@ class Library:
                 out[unit] = np.array(ids, dtype="<u4").tobytes()
         for start in range(0, len(joint), 4096):
             some = joint[start : start + 4096]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(u.encode()) for u in some])
             cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
             raw = ids.tobytes()
