@@ -319,3 +319,21 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     chosen = tokens.select(*(F.col(f"`{c}`") for c in rest), "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(_decoder(path or default_path()), f"{schema}{', ' if rest else ''}text string")
+
+
+def both_ways(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """All columns of ``docs``, with ids, and the text that the ids decode to in place of text."""
+    path = path or default_path()
+    rest = [c for c in docs.columns if c not in ("text", "ids")]
+    chosen = docs.select(*(F.col(f"`{c}`") for c in rest), F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tables(path)
+        for batch in _encoder(path)(batches):
+            ids = batch.column("ids")
+            texts = [bpe.decode(np.frombuffer(i, dtype="<u4").astype(np.int64)) for i in ids.to_pylist()]
+            columns = [*(batch.column(i) for i in range(len(rest))), pa.array(texts, pa.string()), ids]
+            yield pa.RecordBatch.from_arrays(columns, [*rest, "text", "ids"])
+
+    return chosen.mapInArrow(run, f"{schema}{', ' if rest else ''}text string, ids binary")
