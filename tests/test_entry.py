@@ -6,7 +6,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from corpusloom.plans.oracles import ORACLES
+from corpusloom.plans.queries import QUERIES
 from tests.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,10 +26,10 @@ def test_entry_has_rows(spark):
 
 
 def test_sql_belongs_to_queries():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note = compare(spark, con, SF_DIR, name)
     assert ok, note
