@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import SEED, bucket, seeded_hash, share_bound
+from corpusloom.functions.hashing import SEED, bucket, in_share, seeded_hash
 
 TEST_SHARE = 0.2
 VALIDATION_SHARE = 0.25
@@ -40,7 +40,10 @@ def _place(id_col: str, seed: int) -> Column:
 
 
 def sample_seeded(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
-    """The first min(n, rows) rows in seeded order. Two small jobs on the ids find where to cut."""
+    """The first min(n, rows) rows in seeded order, by unique ids; the rows themselves stay where they are, unsorted.
+
+    Two small jobs on the ids find where to cut.
+    """
     ids = df.select(_place(id_col, seed).alias("_place"), bucket(seeded_hash(id_col, seed)).alias("_bucket"))
     last = _cumulated(ids.select("_bucket")).agg(_last_bucket(n)).first()[0]
     first = ids.filter(F.col("_bucket") <= last).orderBy("_place").limit(n)
@@ -49,7 +52,7 @@ def sample_seeded(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataF
         return df.limit(0)
     hashed = seeded_hash(id_col, seed)
     inside = (hashed < cut["_hash"]) | ((hashed == cut["_hash"]) & (F.col(id_col) <= F.lit(cut["_id"])))
-    return df.filter(inside).orderBy(hashed, id_col).limit(n)
+    return df.filter(inside)
 
 
 def sample_per_group(
@@ -73,7 +76,7 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest values of the unique, numeric column ``order``.
 
     Three small jobs on that column find the n-th value; as a literal filter on the full rows it lets the scan
-    skip row groups by their statistics.
+    skip row groups by their statistics. The rows stay where they are, unsorted.
     """
     ids = df.select(F.col(order).alias("_id")).filter(F.col("_id").isNotNull())
     low, high = ids.agg(F.min("_id"), F.max("_id")).first()
@@ -84,9 +87,9 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     upto = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     bound = counted.withColumn("_upto", upto).agg(F.min(F.when(F.col("_upto") >= n, F.col("_high")))).first()[0]
     if bound is None:  # fewer than n rows
-        return df.filter(F.col(order).isNotNull()).orderBy(order)
+        return df.filter(F.col(order).isNotNull())
     cut = ids.filter(F.col("_id") <= F.lit(bound)).orderBy("_id").limit(n).agg(F.max("_id")).first()[0]
-    return df.filter(F.col(order) <= F.lit(cut)).orderBy(order).limit(n)
+    return df.filter(F.col(order) <= F.lit(cut))
 
 
 def take_first(df: DataFrame, predicate, order: str, n: int = 1_000) -> DataFrame:
@@ -105,8 +108,8 @@ def split_hash(
     hashed = seeded_hash(key, seed)
     return df.withColumn(
         "split",
-        F.when(hashed < share_bound(test), "test")
-        .when(hashed < share_bound(test + (1 - test) * validation), "val")
+        F.when(in_share(hashed, test), "test")
+        .when(in_share(hashed, test + (1 - test) * validation), "val")
         .otherwise("train"),
     )
 

@@ -19,8 +19,13 @@ NORM_SCALE = 1e-6
 
 
 def per_dim(vec: str, dims: int, aggregate: str) -> Column:
-    """An array of one SQL aggregate per dimension, ``{x}`` standing for the dimension's value as double."""
-    cells = [aggregate.format(x=f"double(`{vec}`[{i}])") for i in range(dims)]
+    """An array of one SQL aggregate per dimension, ``{x}`` standing for the dimension's value as double.
+
+    A vector of another length stops the job; a null vector counts as nulls.
+    """
+    fits = f"`{vec}` IS NULL OR size(`{vec}`) = {dims}"
+    first = f"IF({fits}, double(`{vec}`[0]), double(raise_error('a vector has not {dims} cells')))"
+    cells = [aggregate.format(x=first if i == 0 else f"double(`{vec}`[{i}])") for i in range(dims)]
     return F.expr(f"array({', '.join(cells)})")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusloom.functions.text import WHITESPACE
 from corpusloom.operators.metrics import EXACT_MATCH_DATASETS
-from corpusloom.plans.queries import DIMS, LANG_CAP, LISTED_NATIONS, SAMPLE_SIZE, TABLES, VOCABULARY_SIZE
+from corpusloom.plans.queries import DIMS, LISTED_NATIONS, SAMPLE_SIZE, TABLES, VOCABULARY_SIZE
 from corpusloom.plans.views import EPOCHS_SQL, view_sql
 from corpusloom.sources.catalog import (
     BENCHMARK_ORDER,
@@ -135,11 +135,12 @@ O["src_catalog"] = f"""
     SELECT t.*, coalesce(d.n_docs, 0) AS n_docs
     FROM {values(_CATALOG_ROWS, "seq, name, repo, split, config, trust_remote_code, format, row_cap")}
     LEFT JOIN (SELECT substr(source, 4)::INT AS seq, count(*) AS n_docs FROM documents GROUP BY 1) AS d ON t.seq = d.seq"""
-O["src_multi_config"] = f"""
+O["src_multi_config"] = "SELECT lang, doc_id, text FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')"
+O["smp_per_group"] = f"""
     SELECT lang, doc_id, text FROM (
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h("doc_id")}, doc_id) AS rn
         FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')
-    ) AS r WHERE rn <= {LANG_CAP}"""
+    ) AS r WHERE rn <= 100"""
 O["src_json"] = "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events"
 O["snk_parquet_roundtrip"] = f"SELECT doc_id, text, source AS dataset, {split('doc_id')} AS split FROM documents"
 O["src_page_concat"] = """
@@ -204,6 +205,9 @@ O["cat_ordered"] = f"""
 # --- adapters ---
 O["ad_pair"] = samples("v_pair", strip("input"), strip("target"))
 O["ad_pair_code"] = samples("v_pair", strip("input"), strip("target"), "'code'")
+O["ad_best_answer"] = O["ad_pair"]
+for _key in ("ad_docstring", "ad_canonical", "ad_text_code"):
+    O[_key] = O["ad_pair_code"]
 O["ad_question_answer"] = samples("v_pair", "input", "target")
 O["ad_hellaswag"] = samples(
     "v_mcq",
@@ -246,6 +250,7 @@ O["ad_instruction"] = samples(
     strip("output"),
     task("instruction"),
 )
+O["ad_instruction_context"] = O["ad_instruction"]
 O["ad_dolly"] = samples(
     "v_instruction",
     f"CASE WHEN {strip('input')} <> '' THEN concat({strip('input')}, ' ', {_INSTRUCTION}) ELSE {_INSTRUCTION} END",
@@ -448,6 +453,12 @@ O["split_exact"] = f"""
         SELECT doc_id, row_number() OVER (ORDER BY {h("doc_id")}, doc_id) AS rn, count(*) OVER () AS n,
                ceil(0.2::DOUBLE * count(*) OVER ()) AS t FROM documents
     ) AS r"""
+O["split_hash_shares"] = f"""
+    SELECT v.variant, doc_id,
+           CASE v.variant WHEN 0 THEN CASE WHEN {h("doc_id")} < '8' THEN 'val' ELSE 'train' END
+                          WHEN 1 THEN CASE WHEN {h("doc_id")} < '8' THEN 'test' ELSE 'val' END
+                          WHEN 2 THEN 'test' WHEN 3 THEN 'val' ELSE 'train' END AS split
+    FROM documents, (SELECT unnest([0, 1, 2, 3, 4])::INT AS variant) AS v"""
 O["split_hash"] = f"SELECT doc_id, {split('doc_id')} AS split FROM documents"
 O["split_by_thread"] = f"""
     WITH RECURSIVE {thread_cte()}

@@ -41,7 +41,7 @@ TABLES = (
 
 VOCABULARY_SIZE = 1_000
 DIMS = 64
-LANG_CAP = 100
+GROUP_SAMPLE = 100
 SAMPLE_SIZE = 200
 LISTED_NATIONS = ("NATION_7", "NATION_3", "NATION_21", "NATION_0", "NATION_12")
 CENTS = "decimal(18,2)"
@@ -114,7 +114,13 @@ def src_catalog(spark, sf_dir):
 @query
 def src_multi_config(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return tables.capped_configs(docs, "lang", ["en", "fr", "de", "es"], "doc_id", LANG_CAP)
+    return tables.capped_configs(docs, "lang", ["en", "fr", "de", "es"], "doc_id", None)
+
+
+@query
+def smp_per_group(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return sampling.sample_per_group(docs, "lang", ["en", "fr", "de", "es"], "doc_id", GROUP_SAMPLE)
 
 
 @query
@@ -271,6 +277,11 @@ def cat_ordered(spark, sf_dir):
 
 adapted("ad_pair", "bigbench_hard", "v_pair")
 adapted("ad_pair_code", "math", "v_pair", problem="input", solution="target")
+adapted("ad_best_answer", "truthfulqa", "v_pair", question="input", best_answer="target")
+adapted("ad_docstring", "code_search_net", "v_pair", docstring="input", code="target")
+adapted("ad_canonical", "human_eval", "v_pair", prompt="input", canonical_solution="target")
+adapted("ad_text_code", "mbpp", "v_pair", text="input", code="target")
+adapted("ad_instruction_context", "wizardlm", "v_instruction", context="input", response="output")
 adapted("ad_question_answer", "owasp", "v_pair", question="input", answer="target")
 adapted("ad_hellaswag", "hellaswag", "v_mcq", ctx="question", endings="choices")
 adapted("ad_sciq", "sciq", "v_qa")
@@ -537,6 +548,17 @@ def split_hash(spark, sf_dir):
     return sampling.split_hash(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+@query
+def split_hash_shares(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    shares = ((0.0, 0.5), (0.5, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0))
+    parts = [
+        sampling.split_hash(ids, "doc_id", test, val).select(F.lit(n).alias("variant"), "doc_id", "split")
+        for n, (test, val) in enumerate(shares)
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query
 def split_by_thread(spark, sf_dir):
     answers = threads.thread_context(view("v_thread")(spark, sf_dir))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local_roots: dict[str, tempfile.TemporaryDirectory] = {}  # removed when Python ends
-
 
 def get_spark(app: str = "corpusloom", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the operators expect; cluster settings given by spark-submit stay."""
@@ -34,17 +31,14 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets a folder
-    of its own; anywhere else a machine-local folder would be lost with the machine.
+    beside its warehouse; anywhere else the folder must be named.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.TemporaryDirectory(prefix="corpusloom-", ignore_cleanup_errors=True)
-    return _local_roots[app].name
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -6,8 +6,7 @@ import logging
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +16,12 @@ from corpusloom.operators.adapters import SOURCE_ID
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
 from corpusloom.session import local_table
-from corpusloom.sources.catalog import JSON_DATASETS, MULTI_CONFIG_CAP, MULTI_CONFIGS, ROW_CAPS
+from corpusloom.sources.catalog import JSON_DATASETS, MULTI_CONFIGS
 from corpusloom.sources.schemas import RAW
 
 log = logging.getLogger(__name__)
 
 ROWS_PER_FILE = 1 << 40
-MAX_FILES = 1_000_000
 MANIFEST_SCHEMA = "name string, status string, n_rows long, error string"
 
 
@@ -49,7 +47,11 @@ def read_source(
     for column, value in (("config", config), ("split", split)):
         if value is not None:
             df = df.filter(F.col(column) == value)
-    return sample_seeded(df, id_col, row_cap) if row_cap and id_col else df
+    if row_cap is None:
+        return df
+    if id_col is None:
+        raise ValueError("a row cap needs the id column that orders the rows")
+    return sample_seeded(df, id_col, row_cap)
 
 
 def with_source_id(df: DataFrame, name: str = SOURCE_ID) -> DataFrame:
@@ -58,16 +60,14 @@ def with_source_id(df: DataFrame, name: str = SOURCE_ID) -> DataFrame:
     The ids rise in file order and are the same in every run over the same files.
     """
     files = sorted({_plain_path(f) for f in df.inputFiles()})
-    if len(files) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} files; give the rows an id column")
     listed = local_table(df.sparkSession, [(f, i) for i, f in enumerate(files)] or [("", 0)], "_file string, _no long")
     numbers = listed.select(F.xxhash64("_file").alias("_hash"), "_no")
     if numbers.agg(F.count_distinct("_hash")).first()[0] != max(len(files), 1):
         raise ValueError("two file names share a hash; give the rows an id column")
     path = F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")
     placed = df.select("*", F.xxhash64(path).alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    # Two integers per file, at most MAX_FILES of them.
-    numbered = placed.join(F.broadcast(numbers), F.col("_path") == F.col("_hash"))
+    # Two integers per file; Spark knows the size of the local table and chooses the join by it.
+    numbered = placed.join(numbers, F.col("_path") == F.col("_hash"))
     return numbered.withColumn(name, F.col("_no") * F.lit(ROWS_PER_FILE) + F.col("_row")).drop(
         "_path", "_row", "_hash", "_no"
     )
@@ -77,8 +77,11 @@ def _plain_path(uri: str) -> str:
     return re.sub("^([^:/]+):/+", r"\1:/", uri)
 
 
-def open_catalogued(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A dataset of the catalogue as its adapter reads it: by its format, with source ids, capped where listed."""
+def open_catalogued(spark: SparkSession, root: str, name: str, row_cap: int | None = None) -> DataFrame:
+    """A dataset of the catalogue as its adapter reads it: by its format, with source ids, whole unless capped.
+
+    The catalogue lists caps (ROW_CAPS); only a caller applies one.
+    """
     path = f"{root}/{name}"
     if name in JSON_DATASETS:
         rows = read_json_array(spark, path, RAW[name])
@@ -86,8 +89,7 @@ def open_catalogued(spark: SparkSession, root: str, name: str) -> DataFrame:
     else:
         rows = spark.read.parquet(path)
         rows = rows if SOURCE_ID in rows.columns else with_source_id(rows)
-    cap = ROW_CAPS.get(name)
-    return sample_seeded(rows, SOURCE_ID, cap) if cap else rows
+    return rows if row_cap is None else sample_seeded(rows, SOURCE_ID, row_cap)
 
 
 def open_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -99,14 +101,16 @@ def read_multi(
     root: str,
     id_col: str,
     configs: Sequence[str] = MULTI_CONFIGS,
-    cap: int = MULTI_CONFIG_CAP,
+    cap: int | None = None,
     config_col: str = "config",
 ) -> DataFrame:
-    """One dataset made of several configurations (partition directories), each capped."""
+    """One dataset made of several configurations (partition directories), whole or each capped."""
     return capped_configs(spark.read.parquet(root), config_col, configs, id_col, cap)
 
 
-def capped_configs(df: DataFrame, config_col: str, configs: Sequence[str], id_col: str, cap: int) -> DataFrame:
+def capped_configs(df: DataFrame, config_col: str, configs: Sequence[str], id_col: str, cap: int | None) -> DataFrame:
+    if cap is None:
+        return df.filter(F.col(config_col).isin(list(configs)))
     return sample_per_group(df, config_col, configs, id_col, cap)
 
 
@@ -127,13 +131,25 @@ def page_texts(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame
 def materialize(
     spark: SparkSession, build: Callable[[], DataFrame], path: str, partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Open the dataset if it is there and readable, build and write it otherwise."""
+    """Open the dataset if it was written to the end, build and write it otherwise.
+
+    The marker that Spark writes last tells; a fault while looking for it, or while reading, goes up and overwrites
+    nothing. A finished dataset without rows has no files to tell its schema, so the builder's plan does.
+    """
+    if not _finished(spark, path):
+        log.info("building %s", path)
+        save(build(), path, partition_by, "overwrite", rebalance=False)
     try:
         return spark.read.parquet(path)
-    except (PySparkException, Py4JJavaError) as error:
-        log.info("building %s: %s", path, type(error).__name__)
-    save(build(), path, partition_by, "overwrite", rebalance=False)
-    return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], build().schema)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def load_all(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:

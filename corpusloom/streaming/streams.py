@@ -33,7 +33,9 @@ def read_stream(
 def _batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.parquet(out)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there, or no rows yet
+            raise
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
 
 

@@ -26,7 +26,7 @@ def test_build_isolates_failures_and_resumes(spark):
         assert manifest == {
             "bbh": ("ok", 40),
             "mmlu": ("failed", None),
-            "kjv_bible": ("failed", None),
+            "kjv_bible": ("ok", 0),  # finished, all rows rejected
             "zz": ("no adapter", None),
         }
     assert len(opened) == 1

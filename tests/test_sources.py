@@ -138,11 +138,27 @@ def test_catalogued_json(spark, tmp_path):
     assert [r[3] for r in rows(adapt("strategyqa", raw))] == ["True", "False"]
 
 
-def test_catalogued_parquet_is_capped(spark, tmp_path):
+def test_catalogued_parquet_is_whole_unless_capped(spark, tmp_path):
     answers = spark.range(5_600).select(F.concat(F.lit("q"), "id").alias("question"), F.array(F.lit("a")).alias("answer"))
     answers.write.parquet(str(tmp_path / "nq_open"))
     raw = tables.open_catalogued(spark, str(tmp_path), "nq_open")
-    assert adapt("nq_open", raw).count() == 5_000
+    assert adapt("nq_open", raw).count() == 5_600
+    capped = tables.open_catalogued(spark, str(tmp_path), "nq_open", row_cap=50)
+    assert capped.count() == 50
+    with pytest.raises(ValueError):
+        tables.read_source(spark, str(tmp_path / "nq_open"), row_cap=5)
+
+
+def test_materialize_rebuilds_what_was_not_finished(spark, tmp_path):
+    path = str(tmp_path / "half")
+    spark.range(10).write.parquet(path)
+    (tmp_path / "half" / "_SUCCESS").unlink()
+    assert tables.materialize(spark, lambda: spark.range(3), path).count() == 3
+    assert tables.materialize(spark, lambda: spark.range(7), path).count() == 3
+    nothing = str(tmp_path / "nothing")
+    for _ in range(2):
+        empty = tables.materialize(spark, lambda: spark.range(4).where("id > 9").withColumn("p", F.lit("x")), nothing, ["p"])
+        assert empty.count() == 0 and empty.columns == ["id", "p"]
 
 
 @pytest.mark.parametrize("name", sorted(RAW))

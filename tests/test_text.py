@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, text, unions
-from corpusloom.functions.hashing import share_bound
+from corpusloom.functions.hashing import in_share, share_bound
 
 
 def one(spark, expression, **columns):
@@ -86,6 +86,15 @@ def test_first_and_last_where(spark):
     assert [tuple(r) for r in got] == [(5, 6, 2), (None, None, 1), (None, None, None), (None, None, None)]
 
 
+def test_in_share_of_none_some_and_all(spark):
+    hashes = spark.range(400).select(F.md5(F.col("id").cast("string")).alias("h"))
+    for k in range(21):
+        n = hashes.where(in_share(F.col("h"), k / 20)).count()
+        assert abs(n - 20 * k) <= 45 and (k not in (0, 20) or n == 20 * k)
+    with pytest.raises(ValueError):
+        in_share(F.col("h"), 1.5)
+
+
 def test_share_bound():
     assert share_bound(0.2) == "33333333"
     assert share_bound(0.4) == "66666666"
