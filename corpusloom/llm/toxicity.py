@@ -34,8 +34,8 @@ from corpusloom.llm.common import byte_texts, fold_of
 
 FOLDS = 5
 HELD_OUT = 0
-TRAIN_DOCS = 3000  # bound of the labelled sample
-LANDMARKS = 112  # of each kind
+TRAIN_DOCS = 2000  # bound of the labelled sample
+LANDMARKS = 96  # of each kind
 MIN_TOXIC = 5  # training texts a telling string occurs in
 CLEAN_RATIO = 20  # so much rarer it is in clean texts
 DECAY = 0.7
@@ -48,6 +48,7 @@ RIDGE = 1e-5
 SEED = 42
 MEMO_STRINGS = 500_000
 LETTERS = 64
+BLOCK = 8192  # training strings worked on at once
 OUTER = b".,;:!?\"'()[]{}<>|#*$%&-_/\\"
 INNER = b"-._*+~'"
 SENTENCE = re.compile(rb"[.!?\n]+(?=\s|$)")
@@ -110,15 +111,25 @@ def by_length(some: list[bytes]) -> dict[int, list[int]]:
     return groups
 
 
-def weighed(some: list[bytes], table: np.ndarray) -> np.ndarray:
-    """For each string (a window at most): the table's weights of its subsequences, summed. table: codes x columns."""
+def weighed(some: list[bytes], table: np.ndarray, row_of: np.ndarray | None = None) -> np.ndarray:
+    """For each string (a window at most): the table's weights of its subsequences, summed.
+
+    table: a row for each code, or for each row_of[code]; one subsequence after the other, so memory stays small.
+    """
     out = np.zeros((len(some), table.shape[1]))
     for n, rows in by_length(some).items():
         if n >= 3:
             for start in range(0, len(rows), 1024):
                 part = rows[start : start + 1024]
                 codes, values = features([some[i] for i in part])
-                out[part] = np.einsum("rt,rtc->rc", values, table[codes])
+                at = codes if row_of is None else row_of[codes]
+                if table.shape[1] == 1:
+                    out[part, 0] = (values * table[at, 0]).sum(axis=1)
+                    continue
+                total = np.zeros((len(part), table.shape[1]))
+                for t in range(at.shape[1]):
+                    total += values[:, t, None] * table[at[:, t]]
+                out[part] = total
     return out
 
 
@@ -194,26 +205,32 @@ def trained(docs: list[tuple[int, list[bytes]]], toxic_share: float) -> Machine:
     toxic = sorted(telling, key=lambda w: (-telling[w], w))[:LANDMARKS]
     clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in telling][:LANDMARKS]
     marks = [*toxic, *clean]
-    table = np.zeros((LETTERS**3, len(marks)))
-    for i, w in enumerate(marks):
-        codes, values = features([w])
-        np.add.at(table[:, i], codes[0], values[0])
+    described_by = [features([w]) for w in marks]
+    used = np.unique(np.concatenate([codes[0] for codes, _ in described_by])) if marks else np.empty(0, dtype=np.int64)
+    row_of = np.zeros(LETTERS**3, dtype=np.int32)  # row 0 is for all codes that no landmark has
+    row_of[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(marks)))
+    for i, (codes, values) in enumerate(described_by):
+        np.add.at(table[:, i], row_of[codes[0]], values[0])
     # strings the machine is trained on: telling ones against all of the clean sample
     pool = sorted({*telling, *seen[0]})
-    kernel = np.concatenate([weighed(pool[i : i + 4096], table).astype(np.float32) for i in range(0, len(pool), 4096)])
-    own = weighed(marks, table)
+    own = weighed(marks, table, row_of)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-4 * values[-1]
-    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    x = np.concatenate([kernel @ whiten, np.ones((len(pool), 1), dtype=np.float32)], axis=1)
-    del kernel
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    x = np.ones((len(pool), whiten.shape[1] + 1), dtype=np.float32)
+    for i in range(0, len(pool), BLOCK):
+        x[i : i + BLOCK, :-1] = weighed(pool[i : i + BLOCK], table, row_of) @ whiten
     y = np.array([1.0 if w in telling else -1.0 for w in pool], dtype=np.float32)
     count = np.array([seen[1][w] ** 2.0 if w in telling else 1.0 for w in pool])
     for kind, total in ((1.0, TOXIC_SHARE), (-1.0, 1.0 - TOXIC_SHARE)):
         count[y == kind] *= total / max(1e-9, count[y == kind].sum())
     share = count.astype(np.float32)
     weight = squared_hinge(x, y, share)
-    machine = Machine(table @ (whiten @ weight[:-1]), float(weight[-1]), np.zeros(2), -1e3)
+    del x
+    summed = np.zeros(LETTERS**3)
+    summed[used] = (table @ (whiten @ weight[:-1]))[1:]
+    machine = Machine(summed, float(weight[-1]), np.zeros(2), -1e3)
     described = np.array([machine.evidence(ss) for _, ss in docs])
     prior = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
     curve = logistic(described, labels.astype(float), prior)
@@ -227,9 +244,13 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray
     ridge = RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     for _ in range(STEPS):
-        wrong = y * (x @ weight) < 1
-        part = x[wrong] * share[wrong, None]
-        found = np.linalg.solve(part.T @ x[wrong] + ridge, part.T @ y[wrong])
+        curve, pull = ridge.copy(), np.zeros(x.shape[1])
+        for i in range(0, len(x), BLOCK):
+            part = x[i : i + BLOCK].astype(np.float64)
+            counts = np.where(y[i : i + BLOCK] * (part @ weight) < 1, share[i : i + BLOCK], 0.0)
+            curve += (part * counts[:, None]).T @ part
+            pull += part.T @ (counts * y[i : i + BLOCK])
+        found = np.linalg.solve(curve, pull)
         if np.allclose(found, weight, atol=1e-6):
             break
         weight = found
@@ -262,8 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Machin
         some = part if some is None else some.union(part)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = chosen.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
-    found = rows.mapInArrow(_sample, "doc_id long, toxic int, strings array<binary>").collect()
-    found = sorted((r["doc_id"], r["toxic"], [bytes(s) for s in r["strings"]]) for r in found)
+    found, same = [], {}
+    for r in rows.mapInArrow(_sample, "doc_id long, toxic int, strings array<binary>").toLocalIterator():
+        found.append((r["doc_id"], r["toxic"], [same.setdefault(s, s) for s in map(bytes, r["strings"])]))
+    found.sort()
     return trained([(y, ss) for _, y, ss in found], float(share))
 
 
