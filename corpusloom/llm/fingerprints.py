@@ -34,7 +34,7 @@ def shingle_hashes(text: Column) -> Column:
         several = F.transform(
             F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WORDS)))
         )
-        # words are hashed with their number, so a short text's shingle is no prefix of a longer one's
+        # the number of words goes first, so a short text's shingle is no prefix of a longer one's
         whole = F.array(F.xxhash64(F.aggregate(h, n.cast("long"), lambda a, x: F.xxhash64(a, x))))
         return F.when(n >= WORDS, several).when(n > 0, whole).otherwise(F.array().cast("array<long>"))
 
@@ -123,8 +123,8 @@ def with_next(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``rows`` with next_<column>: the values of the next row in descending doc_id, and of the first after the last.
 
     Rows go to zones of neighbouring ids, cut at quantiles, in one shuffle. The first row of the next zone also visits
-    the zone before it, so no row needs another task's rows. Zones are a few per shuffle partition; the table of their
-    heads, one row each, is what is broadcast.
+    the zone before it, so no row needs another task's rows. Zones are a few per shuffle partition; their bounds and
+    heads, one number each, are what the driver holds.
     """
     spark = rows.sparkSession
     zones = ZONES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,11 +19,8 @@ fold 'none' (crc32 of a null is null) and are learned from. An empty table gives
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,10 +264,3 @@ def score(docs: DataFrame) -> DataFrame:
     return (
         rows.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInPandas(_scores(tokens, types, shards), SCHEMA)
     )
-
-
-def read_scores(rows: Iterator) -> list:
-    """Mean log10 probability of a token on held-out texts: (model, base)."""
-    held = [r for r in rows if r["held_out"]]
-    n = sum(r["n_tokens"] for r in held)
-    return [sum(r["score"] for r in held) / n, sum(r["base_score"] for r in held) / n]
