@@ -19,6 +19,7 @@ fold 'none' (crc32 of a null is null) and are learned from. An empty table gives
 from __future__ import annotations
 
 import zlib
+
 import numpy as np
 import pandas as pd
 import xxhash
