@@ -51,9 +51,12 @@ def pad_to(arr: Column | str, length: Column | int, value: Column | int) -> Colu
     return F.concat(arr, F.array_repeat(value, F.greatest(length - F.size(arr), F.lit(0))))
 
 
-def target_ids(tokens: Column | str, length: int = TARGET_LENGTH) -> Column:
-    """Begin mark, body, end mark; cut to ``length`` with both marks kept, then padded to it."""
-    body = F.slice(as_column(tokens), 1, length - 2)
+def target_ids(tokens: Column | str, length: int = TARGET_LENGTH, cut: bool = False) -> Column:
+    """Begin mark, body, end mark, padded to ``length``; a longer body stays whole unless ``cut`` asks otherwise.
+
+    With ``cut`` both marks are kept and every result has ``length`` ids.
+    """
+    body = F.slice(as_column(tokens), 1, length - 2) if cut else as_column(tokens)
     marked = F.concat(F.array(F.lit(BEGIN_ID)), body, F.array(F.lit(END_ID)))
     return pad_to(marked, length, PAD_ID)
 

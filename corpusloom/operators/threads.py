@@ -2,45 +2,47 @@
 
 Every message keeps a pointer to the nearest ancestor it has not read yet and the text between. One round joins
 each unfinished message to the message it points at and takes over its pointer, so the distance read doubles:
-log2(depth) rounds instead of one per level. The kept text never exceeds ``max_len`` code points, because the
-start of a text that is put in front of another is all the cut result needs.
+log2(depth) rounds instead of one per level. Contexts are whole; a caller who names ``max_len`` gets their first
+code points, and no more than those are carried, because the start of a text that is put in front of another is
+all the cut result needs.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import has_text, strip
 from corpusloom.operators.lookups import salted_lookup
 from corpusloom.session import cut_lineage
 
-CONTEXT_LENGTH = 1_000
-
 
 def thread_paths(
     messages: DataFrame,
     message_id: str = "message_id",
     parent: str = "parent_id",
     text: str = "text",
-    max_len: int = CONTEXT_LENGTH,
+    max_len: int | None = None,
     order: str | None = None,
     max_depth: int | None = None,
     **salting: int,
 ) -> DataFrame:
-    """(message id, root id, depth, context, cyclic) of every message that has an id and a text.
+    """(message id, root id, depth, context, cyclic, too_deep) of every message that has an id and a text.
 
     The walk ends at a missing message or an empty text. ``order`` decides between rows of one id: the last
     one counts; without it ids are unique. ``context`` is null for a root. Messages on or below a cycle of
-    parents are marked ``cyclic`` and have no context; so are threads deeper than ``max_depth``, if given.
+    parents are marked ``cyclic`` and have no context. With ``max_depth`` the messages below that depth are marked
+    ``too_deep`` instead, as are all on a cycle, which is deeper than any bound.
     """
+
+    def kept(body: Column) -> Column:
+        return body if max_len is None else F.substring(body, 1, max_len)
     nodes = messages.filter(F.col(message_id).isNotNull() & has_text(text)).select(
         F.col(message_id).alias("id"),
         F.col(parent).alias("next"),
-        F.substring(F.col(text), 1, max_len).alias("body"),
+        kept(F.col(text)).alias("body"),
         *([F.col(order).alias("_order")] if order else []),
     )
     if order:
@@ -56,14 +58,15 @@ def thread_paths(
         ),
         "thread",
     )
-    longest = max_depth or state.count()
-    rounds = math.ceil(math.log2(max(longest, 1) + 1)) + 1
     finished: list[DataFrame] = []  # each round rewrites only the messages that still have a way to go
-    for _ in range(rounds):
+    waiting, before, reach = -1, -2, 1
+    while max_depth is None or reach <= max_depth + 1:
         unfinished = state.filter(F.col("next").isNotNull())
-        waiting = unfinished.count()
-        if waiting == 0:
+        waiting, before = unfinished.count(), waiting
+        # Every ancestor of a message is one too, so a round ends some of them unless all that wait are on cycles.
+        if waiting in (0, before):
             break
+        reach *= 2
         whole = reduce(DataFrame.unionByName, finished, state)
         finished.append(state.filter(F.col("next").isNull()))
         hop = whole.select(*[F.col(c).alias(f"_{c}") for c in whole.columns])
@@ -75,18 +78,22 @@ def thread_paths(
             F.coalesce("_root", "root").alias("root"),
             (F.col("depth") + F.when(found, F.col("_depth") + 1).otherwise(0)).alias("depth"),
             "body",
-            F.when(found, F.substring(F.concat_ws("\n", "_above", "_body", "above"), 1, max_len))
+            F.when(found, kept(F.concat_ws("\n", "_above", "_body", "above")))
             .otherwise(F.col("above"))
             .alias("above"),
         )
         state = cut_lineage(step, "thread")
-    cyclic = F.col("next").isNotNull()
+    endless = F.col("next").isNotNull()
+    too_deep = F.lit(False) if max_depth is None else endless | (F.col("depth") > max_depth)
+    cyclic = endless & ~too_deep
+    left_out = cyclic | too_deep
     return reduce(DataFrame.unionByName, finished, state).select(
         F.col("id").alias(message_id),
-        F.when(~cyclic, F.col("root")).alias("root_id"),
-        F.when(~cyclic, F.col("depth")).alias("depth"),
-        F.when(~cyclic, F.col("above")).alias("context"),
+        F.when(~left_out, F.col("root")).alias("root_id"),
+        F.when(~left_out, F.col("depth")).alias("depth"),
+        F.when(~left_out, F.col("above")).alias("context"),
         cyclic.alias("cyclic"),
+        too_deep.alias("too_deep"),
     )
 
 
@@ -101,7 +108,7 @@ def thread_context(messages: DataFrame, **options) -> DataFrame:
     message_id = options.get("message_id", "message_id")
     paths = thread_paths(messages, **options).filter(has_text("context"))
     answers = assistant_messages(messages, message_id, text=options.get("text", "text"))
-    return answers.join(paths.drop("cyclic"), message_id)
+    return answers.join(paths.drop("cyclic", "too_deep"), message_id)
 
 
 def thread_targets(messages: DataFrame, **options) -> DataFrame:

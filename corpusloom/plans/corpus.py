@@ -22,7 +22,6 @@ from corpusloom.sources.schemas import SAMPLE
 log = logging.getLogger(__name__)
 
 THREAD_DATASETS = ("open_assistant",)
-CONTEXT_LENGTH = 512
 SAMPLE_COLUMNS = [SOURCE_ID, "sample_no", "context", "target", "task", "split"]
 
 
@@ -69,13 +68,13 @@ def open_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE).parquet(path)
 
 
-def tokenise(samples: DataFrame, vocab: list[str], context_length: int = CONTEXT_LENGTH) -> DataFrame:
-    """Context ids without marks, cut; target ids with marks, cut and padded. The texts are left behind."""
+def tokenise(samples: DataFrame, vocab: list[str], context_length: int | None = None) -> DataFrame:
+    """Context ids without marks, whole unless a length is given; target ids with marks, padded. Texts are left behind."""
     ids = tokens.word_ids(vocab)
     encoded = samples.withColumns({"_c": ids(strip("context")), "_t": ids(strip("target"))})
     return encoded.select(
         *[c for c in samples.columns if c not in ("context", "target")],
-        F.slice("_c", 1, context_length).alias("context_tokens"),
+        (F.slice("_c", 1, context_length) if context_length else F.col("_c")).alias("context_tokens"),
         target_ids("_t").alias("target_tokens"),
     )
 

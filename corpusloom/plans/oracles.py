@@ -90,7 +90,7 @@ def spaced(x: str) -> str:
 
 
 TARGET_IDS = (
-    "list_concat(list_concat([2], tokens[1:510]), [3], list_transform(range(greatest(510 - len(tokens), 0)), lambda i: 1))"
+    "list_concat(list_concat([2], tokens), [3], list_transform(range(greatest(510 - len(tokens), 0)), lambda i: 1))"
 )
 
 
@@ -117,7 +117,7 @@ def thread_cte() -> str:
         ),
         paths AS (
             SELECT message_id, arg_max(root_id, depth) AS root_id, max(depth) AS depth,
-                   coalesce(arg_max(left(above, 1000), depth), '') AS context
+                   coalesce(arg_max(above, depth), '') AS context
             FROM walk GROUP BY message_id
         )"""
 
@@ -543,7 +543,7 @@ O["bat_samples"] = with_tokens(f"""
         SELECT *, max(len(c)) OVER (PARTITION BY shard, batch_no) AS width FROM (
             SELECT *, place // 4 AS batch_no, place % 4 AS pos FROM (
                 SELECT *, row_number() OVER (PARTITION BY shard ORDER BY source_id) - 1 AS place FROM (
-                    SELECT s.source_id, s.task, left({h("s.source_id")}, 2) AS shard, e.tokens[1:512] AS c,
+                    SELECT s.source_id, s.task, left({h("s.source_id")}, 2) AS shard, e.tokens AS c,
                            coalesce(v.token_id, 4) AS t
                     FROM ({O["ad_pair"]}) AS s JOIN enc AS e ON e.doc_id = s.source_id
                     LEFT JOIN vocab AS v ON v.word = s.target

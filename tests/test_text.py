@@ -69,11 +69,12 @@ def test_target_ids(spark):
     for n in (0, 1, 509, 510, 511, 2_000):
         tokens = list(range(5, 5 + n))
         df = spark.createDataFrame([(tokens,)], "t array<int>")
-        got = df.select(arrays.target_ids("t").alias("x"), arrays.filled(arrays.target_ids("t")).alias("n")).first()
-        body = tokens[:510]
-        expected = [arrays.BEGIN_ID, *body, arrays.END_ID]
-        assert got["x"] == expected + [arrays.PAD_ID] * (512 - len(expected))
-        assert got["n"] == len(expected)
+        for cut in (False, True):
+            ids = arrays.target_ids("t", cut=cut)
+            got = df.select(ids.alias("x"), arrays.filled(ids).alias("n")).first()
+            expected = [arrays.BEGIN_ID, *(tokens[:510] if cut else tokens), arrays.END_ID]
+            assert got["x"] == expected + [arrays.PAD_ID] * (512 - len(expected))
+            assert got["n"] == len(expected)
 
 
 def test_first_and_last_where(spark):

@@ -11,7 +11,7 @@ from tests.conftest import rows
 SCHEMA = "message_id string, parent_id string, role string, text string"
 
 
-def contexts(messages, limit=1_000):
+def contexts(messages, limit=None):
     """The walk up, message by message."""
     index = {m[0]: m for m in messages if m[0] and m[3]}
     out = {}
@@ -60,7 +60,7 @@ def check(spark, messages, **options):
         r["message_id"]: (r["root_id"], r["depth"], r["context"], r["cyclic"])
         for r in threads.thread_paths(df, **options).collect()
     }
-    assert got == contexts(messages, options.get("max_len", 1_000))
+    assert got == contexts(messages, options.get("max_len"))
 
 
 def test_walk(spark):
@@ -102,10 +102,23 @@ def test_adapter_with_numbered_rows(spark):
 
 
 def test_max_depth_reports_the_rest(spark):
-    df = spark.createDataFrame(tree(40, 3, deep=True), SCHEMA)
-    got = threads.thread_paths(df, max_depth=1)
-    assert got.filter("cyclic").count() > 0
-    assert got.count() == 40
+    messages = [*tree(40, 3, deep=True), ("c1", "c2", "user", "a"), ("c2", "c1", "user", "b"), ("o", "nowhere", "user", "c")]
+    df = spark.createDataFrame(messages, SCHEMA)
+    walked = contexts(messages)
+    for bound in (0, 1, 2, 7, 8, 60):
+        got = threads.thread_paths(df, max_depth=bound).collect()
+        assert len(got) == len(walked)
+        for r in got:
+            root, depth, context, cyclic = walked[r["message_id"]]
+            deep = cyclic or depth > bound
+            assert (r["too_deep"], r["cyclic"]) == (deep, False)
+            assert (r["root_id"], r["depth"], r["context"]) == ((None,) * 3 if deep else (root, depth, context))
+
+
+def test_long_contexts_are_whole(spark):
+    messages = [("a", None, "user", "x" * 5_000), ("b", "a", "user", "y" * 5_000), ("c", "b", "assistant", "z")]
+    got = {r["message_id"]: r["context"] for r in threads.thread_paths(spark.createDataFrame(messages, SCHEMA)).collect()}
+    assert got == {"a": None, "b": "x" * 5_000, "c": "x" * 5_000 + "\n" + "y" * 5_000}
 
 
 @pytest.mark.parametrize("floor", [1, 10_000])
