@@ -292,6 +292,25 @@ def test_secrets(spark, rows):
     assert masked[6]["text"] is None and masked[7]["text"] == ""
 
 
+MIXED = "wJalrXUtnFEMIK7MDENGbPxRfiCYzk93LqTd0VsB"
+
+
+def test_secrets_behind_long_names(spark, rows):
+    """A name of 16 characters or more is a candidate itself, and still lies in the neighbourhood of the value behind it."""
+    texts = [(1, f"export AWS_SECRET_ACCESS_KEY={MIXED} x"), (2, f'run GITHUB_ACCESS_TOKEN="{HEX}" x')]
+    texts += [(3, f"LAST_DEPLOYED_COMMIT_HASH={HEX} x"), (4, f"{'é' * 60} {KEY}\n{HEX} {'a' * 16}/{'b' * 40}")]
+    texts += [(i + 100, r[1]) for i, r in enumerate(rows[:60])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = dict(texts)
+    for r in secrets.candidates(docs, "doc_id").collect():
+        text, end = whole[r["doc_id"]], r["start"] + len(r["value"])
+        assert text[r["start"] : end] == r["value"]
+        assert r["before"] == text[max(0, r["start"] - secrets.NEAR) : r["start"]]
+        assert r["after"] == text[end : end + secrets.NEAR]
+    found = {(r["doc_id"], r["start"], r["length"]) for r in secrets.scan(docs).collect() if r["doc_id"] < 4}
+    assert found == {(1, 29, 40), (2, 25, 40)}
+
+
 def test_secrets_empty(empty):
     assert secrets.scan(empty).count() == 0
 
