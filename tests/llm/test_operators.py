@@ -311,6 +311,22 @@ def test_secrets_behind_long_names(spark, rows):
     assert found == {(1, 29, 40), (2, 25, 40)}
 
 
+def test_secrets_short_and_with_signs(spark, rows):
+    """Values behind an assignment or a secret word are candidates whatever their length and characters."""
+    texts = [(1, "password=Tr0ub4dor&3 x", "Tr0ub4dor&3"), (2, 'api_key = "k9F3-x2Lq0aB7"', "k9F3-x2Lq0aB7")]
+    texts += [(3, "the password x7!Kq@2#Zw, then", "x7!Kq@2#Zw"), (4, "at: 10:30 page=12 name: Anna", None)]
+    texts += [(5, f"see: https://example.org/?q=abc&token={HEX}&n=1", HEX), (6, f"log=thing.other.{KEY}", None)]
+    texts += [(i + 100, r[1], None) for i, r in enumerate(rows[:60])]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    there = {(r["doc_id"], r["value"], r["start"]) for r in secrets.candidates(docs, "doc_id").collect()}
+    assert {(i, v, t.index(v)) for i, t, v in texts if v} | {(6, KEY, 16), (6, f"thing.other.{KEY}", 4)} <= there
+    found = {(r["doc_id"], r["start"], r["length"]) for r in secrets.scan(docs).collect() if r["doc_id"] != 6}
+    assert found == {(i, t.index(v), len(v)) for i, t, v in texts if v}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(masked[i] == (t.replace(v, secrets.MASK) if v else t) for i, t, v in texts if i != 6)
+    assert KEY not in masked[6]
+
+
 def test_secrets_empty(empty):
     assert secrets.scan(empty).count() == 0
 
