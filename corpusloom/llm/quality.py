@@ -5,9 +5,10 @@ occur twice or more in it. Texts that pass are labelled line by line: each line
 CRF's most likely sequence of labels is found by Viterbi, and the text is kept if content lines hold at least
 CONTENT_SHARE of its words.
 
-The CRF is trained on the lines of at most TRAIN_DOCS labelled documents (quality 1: content, 0: boilerplate; the first
+The CRF is trained on all lines of at most TRAIN_DOCS labelled documents (quality 1: content, 0: boilerplate; the first
 ones in the order of a seeded hash, both kinds alike), by gradient ascent on the conditional likelihood with Adam's
-steps. Labels reach it only through the training rows. Without labels of both kinds it marks every line as content.
+steps. All lines of a document have its label (there are no labels of lines), so no training sequence changes its label
+and the weights of such steps only fall. Labels reach it only through the training rows. Without labels of both kinds it marks every line as content.
 
 Null texts have no words, fail the base and are not kept. Repeated rows give repeated rows.
 """
@@ -29,7 +30,6 @@ MAX_REPEATED = 20
 WINDOW = 5
 CONTENT_SHARE = 0.5
 TRAIN_DOCS = 2000  # bound of the labelled sample
-TRAIN_LINES = 40  # of one training document, its first ones
 ROUNDS = 60
 RATE = 0.1
 CONTENT_WEIGHT = 4.0  # of a content line in training; losing a clean text is worse than keeping a poor one
@@ -116,7 +116,7 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def trained(sequences: list[np.ndarray], labels: list[int], rounds: int = ROUNDS) -> Crf:
-    """Fit by gradient ascent with forward-backward; sequences of equal length are worked on together.
+    """Fit by gradient ascent with forward-backward; sequences within a power of two in length are worked on together.
 
     All lines of a sequence have its label.
     """
@@ -127,10 +127,15 @@ def trained(sequences: list[np.ndarray], labels: list[int], rounds: int = ROUNDS
         return Crf(state, step, start)
     groups: dict[int, list[int]] = {}
     for i, s in enumerate(sequences):
-        groups.setdefault(len(s), []).append(i)
-    batches = [
-        (np.stack([sequences[i] for i in rows]), np.array([labels[i] for i in rows])) for rows in groups.values()
-    ]
+        groups.setdefault((len(s) - 1).bit_length(), []).append(i)
+    batches = []
+    for rows in groups.values():
+        sizes = np.array([len(sequences[i]) for i in rows])
+        x = np.zeros((len(rows), sizes.max(), width))
+        for row, i in enumerate(rows):
+            x[row, : sizes[row]] = sequences[i]
+        there = np.arange(sizes.max()) < sizes[:, None]  # the others fill up to the longest
+        batches.append((x, np.array([labels[i] for i in rows]), sizes, there))
     total = sum(len(s) for s in sequences)
     # weights of the labels, whatever the sample holds of them
     mass = [sum(len(s) for s, y in zip(sequences, labels, strict=True) if y == k) for k in (0, 1)]
@@ -138,7 +143,7 @@ def trained(sequences: list[np.ndarray], labels: list[int], rounds: int = ROUNDS
     mean, square = np.zeros(2 * width + 6), np.zeros(2 * width + 6)
     for turn in range(1, rounds + 1):
         g_state, g_step, g_start = -RIDGE * state, -RIDGE * step, -RIDGE * start
-        for x, y in batches:
+        for x, y, sizes, there in batches:
             n, length, _ = x.shape
             w = weight[y]
             scores = x @ state.T
@@ -146,13 +151,15 @@ def trained(sequences: list[np.ndarray], labels: list[int], rounds: int = ROUNDS
             backward = np.zeros((n, length, 2))
             forward[:, 0] = start + scores[:, 0]
             for t in range(1, length):
-                forward[:, t] = log_sum(forward[:, t - 1, :, None] + step, 1) + scores[:, t]
+                more = log_sum(forward[:, t - 1, :, None] + step, 1) + scores[:, t]
+                forward[:, t] = np.where(there[:, t, None], more, forward[:, t - 1])
             for t in range(length - 2, -1, -1):
-                backward[:, t] = log_sum(step + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+                more = log_sum(step + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+                backward[:, t] = np.where(there[:, t + 1, None], more, 0.0)
             norm = log_sum(forward[:, -1], 1)
             marginal = np.exp(forward + backward - norm[:, None, None])
             true = np.eye(2)[y]
-            miss = (true[:, None, :] - marginal) * w[:, None, None] / total
+            miss = (true[:, None, :] - marginal) * (w[:, None] * there)[:, :, None] / total
             g_state = g_state + np.einsum("ntk,ntf->kf", miss, x)
             g_start = g_start + miss[:, 0].sum(axis=0)
             if length > 1:
@@ -162,7 +169,8 @@ def trained(sequences: list[np.ndarray], labels: list[int], rounds: int = ROUNDS
                     + (scores[:, 1:] + backward[:, 1:])[:, :, None, :]
                     - norm[:, None, None, None]
                 )
-                seen = np.einsum("nj,nk->njk", true, true) * (length - 1)
+                pairs = np.where(there[:, 1:, None, None], pairs, -np.inf)
+                seen = np.einsum("nj,nk->njk", true, true) * (sizes - 1)[:, None, None]
                 g_step = g_step + ((seen - np.exp(pairs).sum(axis=1)) * w[:, None, None]).sum(axis=0) / total
         gradient = np.concatenate([g_state.ravel(), g_step.ravel(), g_start])
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
@@ -186,9 +194,9 @@ def text_lines(text: bytes) -> tuple[list[list[bytes]], list[bytes], list[bool]]
     return words, lines, again
 
 
-def feature_rows(text: bytes, most: int | None = None) -> np.ndarray:
+def feature_rows(text: bytes) -> np.ndarray:
     words, lines, again = text_lines(text)
-    rows = [line_features(*x) for x in zip(lines[:most], words[:most], again[:most], strict=True)]
+    rows = [line_features(*x) for x in zip(lines, words, again, strict=True)]
     return np.array(rows).reshape(len(rows), len(FEATURES))
 
 
@@ -216,7 +224,7 @@ _FEATURE_DDL = "doc_id long, quality int, lines int, features array<double>"
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            rows = [feature_rows(t, TRAIN_LINES) for t in byte_texts(batch.column("text"))]
+            rows = [feature_rows(t) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -161,6 +161,17 @@ def test_quality_repeats():
     assert counts == plain_quality(text)
 
 
+def test_quality_trains_on_all_lines(spark):
+    """What tells the two kinds apart stands behind line 40."""
+    junk, good = "### $$$ |||", "several plain words make this line of content"
+    texts = [(i, "\n".join([good] * 40 + [junk if i % 2 else good] * 40)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in texts], "doc_id long, quality int")
+    crf = quality.train(docs, labels)
+    assert crf.viterbi(quality.feature_rows("\n".join([junk] * 9).encode())).sum() == 0
+    assert crf.viterbi(quality.feature_rows("\n".join([good] * 9).encode())).sum() == 9
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     width = len(quality.FEATURES)
