@@ -766,7 +766,9 @@ def str_adapt(spark, sf_dir):
 def str_adapt_groups(spark, sf_dir):
     out = fresh_path(spark, "threads")
     schema = "conv_id bigint, turn bigint, role string, text string"
-    turns = streams.read_stream(spark, sf_dir, schema, "conversations.parquet")
+    landed = fresh_path(spark, "landed")  # in files that cut every thread, one for each batch
+    spark.read.schema(schema).parquet(f"{sf_dir}/conversations.parquet").repartition(3).write.parquet(landed)
+    turns = streams.read_stream(spark, landed, schema, files_per_batch=1)
     messages = turns.selectExpr(*SHAPES["v_thread"][1])
     streams.adapt_group_stream(messages, "open_assistant", out, fresh_path(spark, "state")).awaitTermination()
     return spark.read.parquet(out).drop("batch")

@@ -77,3 +77,19 @@ def test_group_adapters_run_per_batch(spark, tmp_path):
     got = spark.read.parquet(out)
     assert {r["batch"] for r in got.collect()} == {0, 1}
     assert rows(got.drop("batch")) == rows(adapt("kjv_bible", spark.read.schema(ddl).parquet(folder)))
+
+
+@pytest.mark.parametrize("files", [1, 2, 3])
+def test_groups_cut_over_batches_equal_batch(spark, tmp_path, files):
+    """Every chapter and every thread lies in three files; children may land before their parents."""
+    verse, message = "source_id long, Book string, Chapter int, Text string", "message_id long, parent_id long, role string, text string"
+    verses = [(i, f"b{i // 12}", i // 6 % 2, f"v{i}") for i in range(24)]
+    thread = [(t * 10 + i, t * 10 + i - 1 if i else None, ("prompter", "assistant")[i % 2], f"t{t}m{i}") for t in range(4) for i in range(6)]
+    for name, ddl, data in (("kjv_bible", verse, verses), ("open_assistant", message, thread)):
+        folder, out = str(tmp_path / name), fresh_path(spark, "out")
+        for part in (2, 0, 1):
+            spark.createDataFrame(data[part::3], ddl).coalesce(1).write.mode("append").parquet(folder)
+        landed = streams.read_stream(spark, folder, ddl, files_per_batch=files)
+        streams.adapt_group_stream(landed, name, out, fresh_path(spark, "cp")).awaitTermination()
+        expected = rows(adapt(name, spark.createDataFrame(data, ddl)))
+        assert expected and rows(spark.read.parquet(out).drop("batch").select(adapt(name, spark.createDataFrame(data, ddl)).columns)) == expected
