@@ -1,10 +1,15 @@
 """Ordered work on groups of any size.
 
 A window over a whole group runs in one task, so a group with a third of all rows would stop the job. Here a
-group is cut into blocks by its integer order column: ``order div block_rows``. The order is unique within a
-group, so a block holds at most ``block_rows`` rows whatever the group. Each block is summarised with an
-ordinary (map-side combined) aggregate, the few summaries are folded per group, and the fold is joined back
-as the block's starting state. Only (group, block) is ever one task's work.
+group of more than ``block_rows`` rows is cut into blocks at quantiles of its order column, whatever the order's
+values and gaps: a count per group finds the large groups, a map-side combined quantile sketch finds their cuts,
+and a block that is still too large is cut again. Groups at or below ``block_rows`` are one block and cost
+the count only. Each block is summarised with an ordinary (map-side combined) aggregate, the few summaries (about
+rows / ``block_rows`` of a group) are folded per group, and the fold is joined back as the block's starting state.
+Only (group, block) is ever one task's work.
+
+The order is a number, date or time. Rows of a group that tie in it stay in one block, so a block exceeds
+``block_rows`` only where that many rows tie.
 
 The group columns are packed into one struct: a struct of nulls equals another, so a plain equi join treats null
 groups as a grouping does and shares the hash partitioning of the windows. Windows inside a block come before
@@ -18,17 +23,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut_lineage
+
 KEY = "_key"
 BLOCK = "_block"
 BLOCK_ROWS = 65_536
+FAN_OUT = 256  # parts a block is cut into at once
+SKETCH_ACCURACY = 10_000
 
 
 def with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add the group and block columns; a row without an order has no place in its group and is an error."""
+    """Add the group and block columns; a row without an order has no place in its group and is an error.
+
+    Blocks are numbered in the order of their rows. The counts run as jobs when this is called; the cuts are
+    written to the work folder, so that all uses of the result see the same ones.
+    """
     key = F.struct(*keys) if keys else F.lit(0)
-    block = F.expr(f"`{order}` div {int(block_rows)}")
     refused = F.raise_error(F.lit(f"column {order} orders the rows and must not be null")).cast("bigint")
-    return df.withColumns({KEY: key, BLOCK: F.coalesce(block, refused)})
+    rows = df.withColumns({KEY: key, BLOCK: F.when(F.col(order).isNull(), refused).otherwise(F.lit(0).cast("bigint"))})
+    while True:
+        large = cut_lineage(_large_blocks(rows, order, block_rows), "large-blocks")
+        if large.isEmpty():
+            return rows
+        cuts = cut_lineage(_cuts(rows, large, order, block_rows), "block-cuts")
+        passed = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
+        inner = F.when(F.col("_cuts").isNotNull(), passed).otherwise(0)
+        rows = rows.join(cuts, [KEY, BLOCK], "left")
+        rows = rows.withColumn(BLOCK, F.col(BLOCK) * FAN_OUT + inner).drop("_cuts").select(*df.columns, KEY, BLOCK)
+
+
+def _large_blocks(rows: DataFrame, order: str, block_rows: int) -> DataFrame:
+    """Blocks above ``block_rows`` that can be cut: their rows do not all tie."""
+    sizes = rows.groupBy(KEY, BLOCK).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")
+    )
+    return sizes.filter((F.col("_n") > block_rows) & (F.col("_low") < F.col("_high")))
+
+
+def _cuts(rows: DataFrame, large: DataFrame, order: str, block_rows: int) -> DataFrame:
+    """Per large block: the first order of each of its parts but the first, at most FAN_OUT - 1 of them."""
+    marks = [i / FAN_OUT for i in range(1, FAN_OUT)]
+    sketch = F.percentile_approx(order, marks, SKETCH_ACCURACY)
+    sketched = rows.join(large, [KEY, BLOCK]).groupBy(KEY, BLOCK, "_n", "_low", "_high").agg(sketch.alias("_marks"))
+    parts = F.least(F.lit(FAN_OUT), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
+    evenly = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_marks", (F.floor(i * F.lit(FAN_OUT) / parts) - 1).cast("int")))
+    inner = F.array_distinct(F.filter(evenly, lambda c: c > F.col("_low")))
+    return sketched.select(
+        KEY, BLOCK, F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("_high"))).alias("_cuts")
+    )
 
 
 def in_block(order: str | Column) -> WindowSpec:

@@ -438,6 +438,19 @@ O["win_early_stop"] = f"""{_STOPS}
     FROM stops WHERE stop IS NULL OR epoch <= stop"""
 O["win_checkpoints"] = f"""{_STOPS}
     SELECT run, epoch, val_loss FROM stops WHERE improved AND (stop IS NULL OR epoch <= stop)"""
+_FAR_APART = """(
+    SELECT event_type, event_id * 1000003 + (event_id * 7919) % 1000 AS place, value::DECIMAL(18,2) AS value FROM events
+)"""
+O["win_running_avg_sparse"] = f"""
+    SELECT event_type, place, (sum(value) OVER w)::DOUBLE / count(value) OVER w AS avg_value FROM {_FAR_APART} AS e
+    WINDOW w AS (PARTITION BY event_type ORDER BY place ROWS UNBOUNDED PRECEDING)"""
+O["agg_islands_sparse"] = f"""
+    SELECT island, min(event_type) AS event_type, count(*) AS n_rows, min(place) AS first_row, max(place) AS last_row FROM (
+        SELECT event_type, place, sum(changed) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (
+            SELECT event_type, place, CASE WHEN lag(event_type) OVER (ORDER BY place) <> event_type THEN 1 ELSE 0 END AS changed
+            FROM {_FAR_APART} AS e
+        ) AS c
+    ) AS i GROUP BY island"""
 O["win_top3"] = """
     SELECT * FROM (
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (

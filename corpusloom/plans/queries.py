@@ -524,6 +524,27 @@ def win_top3(spark, sf_dir):
     return windows.top_n(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, 3).select("l_orderkey", "rn", *order)
 
 
+def _far_apart(spark, sf_dir):
+    """Events under an order with large, uneven gaps, as time-based ids have."""
+    place = (F.col("event_id") * 1_000_003 + F.pmod(F.col("event_id") * 7919, F.lit(1000))).alias("place")
+    return table(spark, sf_dir, "events").select("event_type", "user_id", place, F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+SPARSE_BLOCK_ROWS = 4_096
+
+
+@query
+def win_running_avg_sparse(spark, sf_dir):
+    rows = _far_apart(spark, sf_dir)
+    result = windows.running_avg(rows, ["event_type"], "place", "value", "avg_value", block_rows=SPARSE_BLOCK_ROWS)
+    return result.select("event_type", "place", "avg_value")
+
+
+@query
+def agg_islands_sparse(spark, sf_dir):
+    return windows.island_summary(_far_apart(spark, sf_dir), [], "place", ["event_type"], block_rows=SPARSE_BLOCK_ROWS)
+
+
 # --- samples, splits, sets ---------------------------------------------------------------------------------------
 
 

@@ -173,6 +173,24 @@ def test_rows_without_an_order_are_refused(spark):
         blocks.ordinals(df, ["g"], "o").collect()
 
 
+def test_sparse_orders_make_few_blocks(spark):
+    """Gaps, clusters and ties in the order: blocks about as many as rows / block_rows, in order, none too large."""
+    rng = random.Random(5)
+    orders = sorted({int(10 ** rng.uniform(0, 17)) for _ in range(3_000)}) + [10**18 + i for i in range(3_000)]
+    df = spark.createDataFrame([("hot", o) for o in orders] + [(f"k{i}", i) for i in range(50)], "g string, o long")
+    found = blocks.with_block(df, ["g"], "o", 500).groupBy(blocks.KEY, blocks.BLOCK)
+    found = found.agg(F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).collect()
+    hot = sorted((r for r in found if r[blocks.KEY]["g"] == "hot"), key=lambda r: r[blocks.BLOCK])
+    assert len(hot) <= 3 * 6_000 / 500 and max(r["n"] for r in hot) <= 500 and len(found) == len(hot) + 50
+    assert all(a["high"] < b["low"] for a, b in zip(hot, hot[1:], strict=False))
+
+
+def test_ties_stay_together(spark):
+    df = spark.createDataFrame([(1, 5)] * 40 + [(1, 6), (1, 4)], "g long, o long")
+    found = blocks.with_block(df, ["g"], "o", 10).groupBy(blocks.BLOCK).agg(F.collect_set("o").alias("o")).collect()
+    assert sorted(r["o"] for r in found) == [[4], [5], [6]] or sorted(r["o"] for r in found) == [[4], [5, 6]]
+
+
 def test_epoch_means_feed_early_stop(spark):
     losses = [3.0, 2.0, math.nan, 2.5, 2.0, 1.0]
     batches = [("r", e, x + d) for e, x in enumerate(losses, 1) for d in (-0.5, 0.5)]
