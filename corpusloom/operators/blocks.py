@@ -28,6 +28,7 @@ from corpusloom.session import cut_lineage
 KEY = "_key"
 BLOCK = "_block"
 BLOCK_ROWS = 65_536
+FILL = 0.75  # share of block_rows that the cuts aim at
 FAN_OUT = 256  # parts a block is cut into at once
 SKETCH_ACCURACY = 10_000
 
@@ -65,7 +66,8 @@ def _cuts(rows: DataFrame, large: DataFrame, order: str, block_rows: int) -> Dat
     marks = [i / FAN_OUT for i in range(1, FAN_OUT)]
     sketch = F.percentile_approx(order, marks, SKETCH_ACCURACY)
     sketched = rows.join(large, [KEY, BLOCK]).groupBy(KEY, BLOCK, "_n", "_low", "_high").agg(sketch.alias("_marks"))
-    parts = F.least(F.lit(FAN_OUT), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
+    wanted = F.ceil(F.col("_n") / F.lit(FILL * block_rows))  # room for the sketch's error
+    parts = F.least(F.lit(FAN_OUT), wanted).cast("int")
     evenly = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_marks", (F.floor(i * F.lit(FAN_OUT) / parts) - 1).cast("int")))
     inner = F.array_distinct(F.filter(evenly, lambda c: c > F.col("_low")))
     return sketched.select(
