@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, fingerprints, lm, mixing, quality, rans, resampling, secrets, simhash, toxicity, warc
+from corpusloom.llm import bpe, fingerprints, lm, mixing, quality, rans, resampling, secrets, simhash, substrings, toxicity, trie, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 #: The other operators train models or hash with functions that SQL lacks; tests/llm holds them against plain versions.
-ORACLES: dict[str, str] = {"op8_mixing": mixing.SQL, "op9_warc": warc.SQL, "op12_resampling": resampling.SQL}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
+    "op11_substrings": substrings.SQL,
+    "op12_resampling": resampling.SQL,
+    "op13_prefix_trie": trie.SQL,
+}

@@ -8,7 +8,7 @@ the documents with LEAST_WORDS words or more are drawn, so the draw follows the
 
 Arrow kernels do the work inside a task: ascii_lower, split_pattern_regex, list_flatten and dictionary_encode turn a
 slice of texts into word indices; shifted indices are pairs; only distinct words and pairs are hashed; their buckets (or
-gains) are taken by index and reduced over each document's segment. Tasks see at most SLICE bytes of text (or one text)
+gains) are taken by index and reduced over each document's segment. Tasks work on at most 4 MB of text (or one text)
 at once. Counts leave a task as one row per bucket; the gains, BUCKETS numbers whatever the corpus, travel back to tasks.
 
 Ranks: rows are range-sorted by (score, doc_id), numbered inside each range, and the ranges' sizes are summed up, so no
@@ -28,26 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import slices, stored
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words, after lower-casing
 BUCKETS = 10_000
 LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
-SLICE = 4 << 20  # bytes of text worked on at once
-
-
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
-    """Consecutive parts of a text column of at most ``most`` bytes each, or one text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(texts):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield texts.slice(start, stop - start)
-        start = stop
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from corpusloom.llm import resampling
+from corpusloom.llm.common import slices
 
 DOCS = "doc_id long, text string, lang string, rank long, part long, gain double"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +77,6 @@ def test_empty_tables(spark, rows):
 
 def test_slices_are_bounded_and_whole():
     texts = pa.array(["a" * n for n in (5, 0, 40, 3, 3, 3)] + [None])
-    parts = list(resampling.slices(texts, 9))
+    parts = list(slices(texts, 9))
     assert [t for p in parts for t in p.to_pylist()] == texts.to_pylist()
     assert [len(p) for p in parts] == [2, 1, 4]
