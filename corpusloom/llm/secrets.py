@@ -1,11 +1,11 @@
 """Secret scan: a pattern finds candidates, a random forest removes the false ones. Expressions and Spark ML only.
 
 Candidates are runs of 16 or more letters, digits and + / _ -, with = behind them where no value follows, and values of
-any length and any characters but blanks and quotes behind an assignment (= or :) or a secret word. Brackets before and
+any length and any characters but blanks and quotes behind an assignment (= or :) or a secret word (and "is"). Brackets before and
 punctuation after a value are none of it; it ends where '&name=' or the like begins the next one. Runs inside a longer
 value are candidates too, and count where the value does not stand itself. Features: length, shares of digits, capitals, vowels and
 distinct characters and others than letters and digits, changes of character class per character, share covered by dictionary pieces (the most frequent
-letter triples of the training sample), path marks, an assignment or quote before it, and words in its neighbourhood
+letter triples of all texts), path marks, an assignment or quote before it, and words in its neighbourhood
 (NEAR characters of the text on either side, other candidates included) that go with secrets or with harmless identifiers.
 
 The forest learns from labelled findings planted into contexts of at most TRAIN_DOCS documents (a seeded choice):
@@ -41,104 +41,121 @@ MASK = "[secret]"
 # Words beside a candidate.
 SECRET_WORDS = r"(?i:passw|passwd|password|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer)"
 HARMLESS_WORDS = r"(?i)(sha\d|md5|commit|checksum|digest|uuid|guid|etag|revision|hash|href|src=|https?:)"
-# A value: behind it in the pattern stand its beginning, then units of closing punctuation and one other character.
-VALUE = (
-    r"(?<=[ \t\"'=:(\[{<])(?<=(?:[=:]|" + SECRET_WORDS + r"[\"']?[ \t](?:is[ \t])?)[ \t]{0,8}[\"'(\[{<]?)(?![=:(\[{<])"
-    r"(?:(?![&?;,][\w.-]{1,64}=)[.,;:)\]}>]*+[^\s\"'.,;:)\]}>])++"
-)
-CANDIDATE = f"(?:{VALUE}|{RUN})"
+# What comes before a value: = or :, or a secret word and a blank; what was taken for a value before may end in one itself.
+LINK = r"[\"']?[ \t](?:is[ \t])?"
+BEHIND = rf"\G(?:(?<=[=:])|(?<={SECRET_WORDS}){LINK}|(?<=(?i:api|access|private))(?i:.?key){LINK})"
+TRIGGER = rf"(?:[=:]|(?=[pPsStTaAcCbB]){SECRET_WORDS}{LINK}|{BEHIND})[ \t]{{0,8}}[\"'(\[{{<]?(?![=:(\[{{<])"
+# A value: units of closing punctuation and one other character.
+VALUE = r"(?:(?![&?;,][\w.-]{1,64}=)[.,;:)\]}>]*+[^\s\"'.,;:)\]}>])++"
+CANDIDATE = f"({TRIGGER})({VALUE})|({RUN})"
+BEGIN, END, UNKNOWN = "﷐", "﷑", "�"  # two code points that texts do not use mark values
+MARKED = f"$1{BEGIN}$2$3{END}"
+MARKED_RUN = f"{BEGIN}$0{END}"
+STEP = 64  # pieces whose lengths are summed one by one
 FEATURES = (
     "length", "digits", "capitals", "vowels", "distinct", "changes", "coverage", "path", "hexadecimal", "assigned",
     "quoted", "secret_words", "harmless_words", "others",
 )
 
 
+def _pieces(text: Column, pattern: str, marked: str) -> Column:
+    """The text in pieces: between, found, between, ... One pass of the pattern marks what is found."""
+    clean = F.translate(text, BEGIN + END, UNKNOWN * 2)
+    return F.split(F.regexp_replace(clean, pattern, marked), f"[{BEGIN}{END}]", -1)
+
+
 def _joined(pieces: Column, at: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, at.cast("int"), n.cast("int")), "")
 
 
-def _cuts(rows: DataFrame, text: str, pattern: str, *more: str) -> DataFrame:
-    """``rows``: an array of value, start, before and after, in the order of the text."""
-    parts = rows.select(
-        *more,
-        F.split(text, pattern, -1).alias("between"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
-    )
-    # the text in pieces: between, found, between, ...; two in a row have two characters or more, so NEAR pieces reach far enough
-    pieces = F.flatten(F.zip_with("between", "found", lambda b, v: F.filter(F.array(b, v), lambda x: x.isNotNull())))
-    numbered = parts.select(
-        *more,
-        "found",
-        F.transform(pieces, lambda p: F.right(p, F.lit(NEAR))).alias("tails"),
-        F.transform(pieces, lambda p: F.left(p, F.lit(NEAR))).alias("heads"),
-        F.transform("between", lambda t: F.char_length(t)).alias("gaps"),
-        F.transform("found", lambda t: F.char_length(t)).alias("sizes"),
+def _total(sizes: Column, at: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(sizes, at.cast("int"), n.cast("int")), F.lit(0), lambda a, b: a + b)
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each piece begins: sums of STEP sizes at a time, then of what is left, so long texts cost no square."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(STEP)).cast("int"))
+    sums = F.transform(parts, lambda b: _total(sizes, b * STEP + 1, F.lit(STEP)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    begins = F.aggregate(
+        sums,
+        none,
+        lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        lambda s: s["out"],
     )
-    # let: Spark would move what a lambda names once into it, and cut the text anew for each candidate
-    each = let(
-        F.col("tails"),
-        lambda tails: let(
-            F.col("heads"),
-            lambda heads: F.transform(
-                F.col("found"),
-                lambda v, i: F.struct(
-                    v.alias("value"),
-                    F.right(_joined(tails, F.greatest(F.lit(1), 2 * i + 2 - NEAR), F.least(2 * i + 1, F.lit(NEAR))), F.lit(NEAR)).alias("before"),
-                    F.left(_joined(heads, 2 * i + 3, F.lit(NEAR)), F.lit(NEAR)).alias("after"),
-                ),
-            ),
+    return let(
+        begins,
+        lambda begin: F.transform(
+            sizes,
+            lambda _, i: F.get(begin, F.floor(i / F.lit(STEP)).cast("int")) + _total(sizes, i - i % STEP + 1, i % STEP),
         ),
     )
-    # offsets: a running sum over the gaps and sizes so far
-    starts = let(
-        F.col("gaps"),
-        lambda gaps: let(
-            F.col("sizes"),
-            lambda sizes: F.aggregate(
-                F.sequence(F.lit(0), F.size("found") - 1),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-                lambda s, i: F.struct(
-                    (s["at"] + F.get(gaps, i) + F.get(sizes, i)).alias("at"),
-                    F.concat(s["out"], F.array(s["at"] + F.get(gaps, i))).alias("out"),
-                ),
-                lambda s: s["out"],
+
+
+def _cuts(text: Column, pattern: str, marked: str) -> Column:
+    """An array of value, start, before and after, in the order of the text.
+
+    let: Spark would move what a lambda names once into it, and cut the text anew for each candidate.
+    """
+
+    def found(pieces: Column, tails: Column, heads: Column, starts: Column) -> Column:
+        # two pieces in a row have two characters or more, so NEAR pieces reach far enough
+        return F.transform(
+            F.filter(pieces, lambda _, i: i % 2 == 1),
+            lambda v, i: F.struct(
+                v.alias("value"),
+                F.get(starts, 2 * i + 1).alias("start"),
+                F.right(_joined(tails, F.greatest(F.lit(1), 2 * i + 2 - NEAR), F.least(2 * i + 1, F.lit(NEAR))), F.lit(NEAR)).alias("before"),
+                F.left(_joined(heads, 2 * i + 3, F.lit(NEAR)), F.lit(NEAR)).alias("after"),
             ),
-        ),
-    )
-    starts = F.when(F.size("found") > 0, starts).otherwise(F.array().cast("array<int>"))
-    return numbered.select(*more, F.arrays_zip(each.alias("each"), starts.alias("start")).alias("rows"))
+        )
+
+    def ends(pieces: Column) -> Column:
+        tails = F.transform(pieces, lambda p: F.right(p, F.lit(NEAR)))
+        heads = F.transform(pieces, lambda p: F.left(p, F.lit(NEAR)))
+        sizes = F.transform(pieces, F.char_length)
+        return let(
+            tails, lambda t: let(heads, lambda h: let(let(sizes, _starts), lambda s: found(pieces, t, h, s)))
+        )
+
+    return let(_pieces(text, pattern, marked), ends)
 
 
 def candidates(docs: DataFrame, *more: str) -> DataFrame:
-    """A row per candidate: value, start, the NEAR characters of the text before and after it, and the value around a run."""
+    """A row per candidate: value, start, the NEAR characters of the text before and after it, and the value around a run.
+
+    explode_outer: before an explode Spark would put a filter with the whole cutting expression in it.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    with_any = docs.select(*more, text.alias("text")).where(F.col("text").rlike(CANDIDATE))
-    few = _cuts(with_any, "text", CANDIDATE, *more).select(*more, F.explode("rows").alias("r"))
-    few = few.select(*more, "r.each.value", F.col("r.start"), "r.each.before", "r.each.after")
+    few = docs.select(*more, F.explode_outer(_cuts(text, CANDIDATE, MARKED)).alias("r")).where("r IS NOT NULL")
     # runs inside a value; one that is nothing but a run has none
-    inside = F.when(F.col("value").rlike(f"^{RUN}$"), "").otherwise(F.col("value")).alias("inside")
-    inner = _cuts(few.select("*", inside), "inside", RUN, *few.columns)
-    runs = F.transform(
-        F.col("rows"),
-        lambda r: F.struct(
-            r["each"]["value"].alias("value"),
-            (F.col("start") + r["start"]).alias("start"),
-            F.right(F.concat("before", r["each"]["before"]), F.lit(NEAR)).alias("before"),
-            F.left(F.concat(r["each"]["after"], "after"), F.lit(NEAR)).alias("after"),
-            F.struct("value", "before", "after").alias("within"),
-        ),
-    )
+    inside = F.when(F.col("r.value").rlike(f"^{RUN}$"), "").otherwise(F.col("r.value"))
     nothing = F.lit(None).cast("struct<value:string,before:string,after:string>").alias("within")
-    whole = F.array(F.struct("value", "start", "before", "after", nothing))
-    return inner.select(*more, F.explode(F.concat(whole, runs)).alias("r")).select(*more, "r.*")
+
+    def with_runs(rows: Column) -> Column:
+        whole = F.array(F.struct("r.value", "r.start", "r.before", "r.after", nothing))
+        runs = F.transform(
+            rows,
+            lambda x: F.struct(
+                x["value"].alias("value"),
+                (F.col("r.start") + x["start"]).alias("start"),
+                F.right(F.concat("r.before", x["before"]), F.lit(NEAR)).alias("before"),
+                F.left(F.concat(x["after"], "r.after"), F.lit(NEAR)).alias("after"),
+                F.struct("r.value", "r.before", "r.after").alias("within"),
+            ),
+        )
+        return F.concat(whole, runs)
+
+    each = F.explode_outer(let(_cuts(inside, RUN, MARKED_RUN), with_runs)).alias("f")
+    return few.select(*more, "r", each).select(*more, "f.*")
 
 
 def dictionary(docs: DataFrame) -> list[str]:
-    """The PIECES most frequent letter triples of the sample."""
+    """The PIECES most frequent letter triples of all texts."""
     lowered = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    word = docs.select(F.explode(F.regexp_extract_all(lowered, F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
-    word = word.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    triple = F.explode(
+    word = docs.select(F.explode_outer(F.split(lowered, "[^a-z]+")).alias("w"))
+    word = word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.char_length("w") >= 3)
+    triple = F.explode_outer(
         F.transform(F.sequence(F.lit(1), F.char_length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))
     )
     top = word.select("n", triple.alias("t")).groupBy("t").agg(F.sum("n").alias("n"))
@@ -284,7 +301,7 @@ def train(docs: DataFrame) -> Forest:
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(TRAIN_DOCS)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sample = stored(sample, "secret-sample")
-    pieces = dictionary(sample)
+    pieces = dictionary(docs)
     rows = labelled_findings(sample).select("label", *(c for c in features(pieces)))
     ordered = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows).select("label", "vector")
     ordered = stored(ordered, "secret-findings")
@@ -321,29 +338,43 @@ def scan(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     )
 
 
-def _masked(text: Column, pattern: str, rest: Callable[[Column], Column]) -> Column:
-    """The text with each match masked that is in secrets_; the others become ``rest`` of them."""
-    between, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    masked = F.transform(values, lambda v: F.when(F.array_contains("secrets_", v), F.lit(MASK)).otherwise(rest(v)))
-    return F.array_join(F.zip_with(between, masked, lambda b, v: F.concat(b, F.coalesce(v, F.lit("")))), "")
+def _masked(text: Column, secrets: Column, pattern: str, marked: str, rest: Callable[[Column], Column]) -> Column:
+    """The text with each match masked that is a secret; the others become ``rest`` of them."""
+
+    def mask(piece: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, piece).when(F.array_contains(secrets, piece), F.lit(MASK)).otherwise(rest(piece))
+
+    return let(_pieces(text, pattern, marked), lambda pieces: F.array_join(F.transform(pieces, mask), ""))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found secret masked and n_chars counted anew where it is present; no row goes.
 
     Findings are few; they are gathered per text and joined to it on its hash, so rows without an id and repeated rows
-    need no care. A value that stands as a secret once is masked wherever it is a candidate in that text.
+    need no care. A value that stands as a secret once is masked wherever it is a candidate in that text. Columns of any
+    name pass through: the row travels in a struct. Code points that mark values (U+FDD0, U+FDD1, which no text should
+    hold) become U+FFFD in masked texts.
     """
     forest = train(docs)
-    key = F.xxhash64(F.col("text"))
-    found = standing(candidates(docs.select("text", key.alias("secret_key_")), "secret_key_"), forest)
-    per_text = found.groupBy("secret_key_").agg(F.collect_set("value").alias("secrets_"))
-    joined = docs.withColumn("secret_key_", key).join(per_text, "secret_key_", "left")
-    masked = _masked(F.col("text"), CANDIDATE, lambda v: _masked(v, RUN, lambda w: w))
-    text = F.when(F.col("secrets_").isNotNull(), masked).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    out = joined.select(*columns)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
-    return out
+    text = F.col("text").cast("string")
+    found = standing(candidates(docs.select(text.alias("text"), F.xxhash64(text).alias("of")), "of"), forest)
+    per_text = found.groupBy("of").agg(F.collect_set("value").alias("secrets"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text).alias("of"))
+    joined = rows.join(per_text, "of", "left")
+    old, secrets = F.col("row.text").cast("string"), F.col("secrets")
+
+    def runs(value: Column) -> Column:
+        return _masked(value, secrets, RUN, MARKED_RUN, lambda run: run)
+
+    masked = F.when(secrets.isNotNull(), _masked(old, secrets, CANDIDATE, MARKED, runs)).otherwise(F.col("row.text"))
+    out = joined.select(F.col("row"), masked.alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col(f"row.`{name}`")
+        if name != "n_chars":
+            return own.alias(name)
+        return F.coalesce(F.char_length("text").cast(docs.schema[name].dataType), own).alias(name)
+
+    return out.select(*map(column, docs.columns))
