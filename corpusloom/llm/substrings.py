@@ -11,8 +11,8 @@ one member first. Segments of one seed that differ are extended window by window
 equal ones of the other segments, and it is a repeat if one of them starts in a smaller document. Neighbouring repeats of
 a document touch or overlap; their union, cut out of the text, is its maximal repeats.
 
-No pairs are formed: seeds, segments and windows are grouped by hash (128 bits for segments, 96 for windows) and compared
-with the group's smallest document, in blocks of bounded size (``operators.blocks``).
+No pairs are formed: seeds, segments and windows are grouped by hash (96 bits for segments and windows) and compared with
+the group's smallest document; large groups are dealt to several tasks. Seeds whose segments are all equal need no windows.
 
 Documents are ordered by doc_id. Rows without doc_id come after all others and not before one another; rows that share a
 doc_id are not smaller than one another. Null texts have no words. Repeated rows give repeated rows. Texts are worked on
@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import byte_texts, slices, stored
-from corpusloom.operators.blocks import BLOCK, KEY, fold, join_blocks, summarise, with_block
 
 WINDOW = 50
 SEED_WORDS = 12
@@ -45,7 +44,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses m
 PLACE = np.uint64((1 << 20) - 1)
 assert CHUNK <= 1 << 20
 
-SEEDS = "ord long, key long, start int, n int, seed long, s1 long, s2 long, n_words long, kept_sha256 string"
+SEEDS = "ord long, key long, start int, n int, seed long, s1 long, s2 int, n_words long, kept_sha256 string"
 
 
 class WordHashes(dict):
@@ -158,7 +157,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ords[at : at + count]), pa.array(keys[at : at + count]),
-                    *(nothing.cast(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())),
+                    *(nothing.cast(t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())),
                     pa.array([len(t) for t in tokens], pa.int64()), pa.array(whole),
                 ],
                 SEED_COLUMNS,
@@ -167,13 +166,14 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, start, n, place = segments(values, begins)
                 end = start + n + WINDOW - 1
                 runs = [Runs(values, lane) for lane in (0, 1)]
+                s1, s2 = (r.of(start, end).view(np.int64) for r in runs)
                 row = at + text[part]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ords[row]), pa.array(keys[row]),
                         pa.array((start - begins[part] + first[part]).astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(runs[0].of(place, place + SEED_WORDS).view(np.int64)),
-                        *(pa.array(r.of(start, end).view(np.int64)) for r in runs),
+                        pa.array(s1), pa.array((s2 >> 32).astype(np.int32)),
                         pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.string()),
                     ],
                     SEED_COLUMNS,
@@ -239,10 +239,22 @@ def _cutter(with_text: bool):
 
 
 def with_first(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """``rows`` (stored) with ``first``, the smallest ord among the rows that are equal in ``by``."""
-    blocked = with_block(rows, by, "ord", BLOCK_ROWS)
-    states = fold(summarise(blocked, _low=F.min("ord")), overall={"first": F.min("_low")})
-    return stored(join_blocks(blocked, states).drop(KEY, BLOCK), label)
+    """``rows`` (stored) with ``first``, the smallest ord of the rows that are equal in ``by``; null where that is the
+    row's own and all the others' too.
+
+    Groups above BLOCK_ROWS rows, at most rows / BLOCK_ROWS of them, are dealt to several tasks each; their one row of
+    the group table is copied as often.
+    """
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("first"), F.max("ord").alias("_last"))
+    groups = stored(groups.where("first < _last").drop("_last"), label)
+    deals = F.ceil(F.col("_n") / F.lit(BLOCK_ROWS)).cast("int")
+    large = groups.where(F.col("_n") > BLOCK_ROWS).select(*by, deals.alias("_deals"))
+    dealt = F.lit(0)
+    if not large.isEmpty():
+        rows = rows.join(large, by, "left")
+        dealt = F.pmod(F.xxhash64("ord", "key", "start"), F.coalesce("_deals", F.lit(1))).cast("int")
+    copies = groups.select(*by, "first", F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
+    return rows.withColumn("_deal", dealt).join(copies, [*by, "_deal"], "left").drop("_deal", "_deals")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -264,18 +276,22 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = stored(rows.select("ord", "key", "text").mapInArrow(_seeds, SEEDS), "seeds")
     whole = seeds.where("start IS NULL").select("ord", "key", "n_words", "kept_sha256")
     seeds = seeds.where("start IS NOT NULL").select("ord", "key", "start", "n", "seed", "s1", "s2")
-    several = seeds.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
-    shared = stored(seeds.join(several.select("seed"), "seed", "left_semi").drop("seed"), "shared-seeds")
-    compared = with_first(shared, ["s1", "s2"], "compared-segments")
-    touched = compared.groupBy("ord", "key").agg(
-        F.collect_list(F.when(F.col("ord") > F.col("first"), spans())).alias("covered"),
-        F.collect_list(F.when(F.col("ord") == F.col("first"), spans())).alias("open"),
+    several = seeds.groupBy("seed").agg(
+        F.min("ord").alias("low"), F.max("ord").alias("high"), (F.min("s1") < F.max("s1")).alias("varied")
+    )
+    several = several.where("low < high").select("seed", "varied")
+    shared = stored(seeds.join(several, "seed").drop("seed"), "shared-seeds")
+    compared = with_first(shared, ["s1", "s2"], "equal-segments")
+    repeat = F.col("ord") > F.col("first")
+    touched = compared.where(F.col("varied") | repeat).groupBy("ord", "key").agg(
+        F.collect_list(F.when(repeat, spans())).alias("covered"),
+        F.collect_list(F.when(F.coalesce(~repeat, F.lit(True)), spans())).alias("open"),
     )
     texts = stored(rows.join(touched, ["ord", "key"]), "touched-texts")
-    windows = texts.select("ord", "key", "text", "open").mapInArrow(
+    windows = texts.where(F.size("open") > 0).select("ord", "key", "text", "open").mapInArrow(
         _windows, "ord long, key long, start int, h1 long, h2 int"
     )
-    again = with_first(stored(windows, "open-windows"), ["h1", "h2"], "compared-windows").where("ord > first")
+    again = with_first(stored(windows, "open-windows"), ["h1", "h2"], "equal-windows").where("ord > first")
     found = again.groupBy("ord", "key").agg(F.collect_list(spans("start", F.lit(1))).alias("repeats"))
     return texts.join(found, ["ord", "key"], "left"), whole
 
