@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it has more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 2_000
-HOT_FLOOR = 100_000
-SALTS = 64
+from corpusloom.session import cut_lineage
+
+GROUP_ROWS = 65_536  # rows of one key that meet in one task
 
 
 def first_match(reference: DataFrame, on: str, seq: str) -> DataFrame:
@@ -38,40 +37,34 @@ def pair(prediction: DataFrame, gold: DataFrame, on: Sequence[str]) -> DataFrame
     return gold.join(prediction, list(on), "left")
 
 
-def hot_keys(df: DataFrame, key: str, n_rows: int, share: int = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
-    """Keys holding more than ``floor`` rows and more than 1/share of the ``n_rows`` rows: under ``share`` of them."""
-    least = max(floor, n_rows // share)
-    if n_rows <= least:
-        return []
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[0] for r in counts.filter(F.col("_n") > least).select(key).take(share)]
-
-
-def salted_lookup(
+def dealt_lookup(
     df: DataFrame,
     reference: DataFrame,
     key: str,
     reference_key: str,
     spread_by: str,
-    n_rows: int,
-    salts: int = SALTS,
-    share: int = HOT_SHARE,
-    floor: int = HOT_FLOOR,
+    group_rows: int = GROUP_ROWS,
+    n_rows: int | None = None,
 ) -> DataFrame:
-    """Left join to a reference with unique keys, where a few keys may hold most of ``df``.
+    """Left join to a reference with unique keys, where one key may hold most of ``df``.
 
-    ``n_rows`` is the row count of ``df``. Rows of a hot key are spread over ``salts`` tasks by a hash of
-    ``spread_by``; the reference row of a hot key (one row each, under ``share`` keys) is copied once per salt.
-    All other rows join as usual.
+    The rows of a key are dealt to ceil(rows / ``group_rows``) tasks by a hash of ``spread_by``, and the key's one
+    reference row is copied as often; keys of ``group_rows`` rows or fewer are joined as usual. So the copies
+    are at most rows / ``group_rows``, whatever the keys. The count per key runs when this is called; a caller who
+    knows that ``df`` has few rows in all (``n_rows``) spares it.
     """
-    hot = hot_keys(df, key, n_rows, share, floor)
-    if not hot:
+    if n_rows is not None and n_rows <= group_rows:
+        return df.join(reference, F.col(key) == F.col(reference_key), "left")
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_large")).agg(F.count(F.lit(1)).alias("_n"))
+    deals = F.ceil(F.col("_n") / F.lit(group_rows)).cast("int").alias("_deals")
+    large = cut_lineage(counts.filter(F.col("_n") > group_rows).select("_large", deals), "large-keys")
+    if large.isEmpty():
         return df.join(reference, F.col(key) == F.col(reference_key), "left")
-    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0))
-    copies = F.when(F.col(reference_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
-    spread = reference.withColumn("_copy", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-    return (
-        df.withColumn("_salt", salt.cast("int"))
-        .join(spread, (F.col(key) == F.col(reference_key)) & (F.col("_salt") == F.col("_copy")), "left")
-        .drop("_salt", "_copy")
-    )
+    deal = F.pmod(F.xxhash64(spread_by), F.coalesce("_deals", F.lit(1))).cast("int")
+    dealt = df.join(large, F.col(key) == F.col("_large"), "left").withColumn("_deal", deal).drop("_large", "_deals")
+    copies = reference.join(large, F.col(reference_key) == F.col("_large"), "left").drop("_large")
+    every = F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1)
+    copies = copies.withColumn("_copy", F.explode(every)).drop("_deals")
+    return dealt.join(
+        copies, (F.col(key) == F.col(reference_key)) & (F.col("_deal") == F.col("_copy")), "left"
+    ).drop("_deal", "_copy")

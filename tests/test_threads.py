@@ -6,6 +6,7 @@ import pytest
 
 from corpusloom.operators import lookups, threads
 from corpusloom.operators.adapters import adapt
+from corpusloom.session import cut_lineage
 from tests.conftest import rows
 
 SCHEMA = "message_id string, parent_id string, role string, text string"
@@ -68,7 +69,7 @@ def test_walk(spark):
 
 
 def test_hot_parents_are_spread(spark):
-    check(spark, MESSAGES, floor=2, share=50, salts=4)
+    check(spark, MESSAGES, group_rows=3)
 
 
 def test_deep_thread(spark):
@@ -121,19 +122,32 @@ def test_long_contexts_are_whole(spark):
     assert got == {"a": None, "b": "x" * 5_000, "c": "x" * 5_000 + "\n" + "y" * 5_000}
 
 
-@pytest.mark.parametrize("floor", [1, 10_000])
-def test_salted_lookup_equals_plain_join(spark, floor):
+@pytest.mark.parametrize("group_rows", [1, 7, 10_000])
+def test_dealt_lookup_equals_plain_join(spark, group_rows):
     left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 7}") for i in range(300)] + [(900, None)], "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "rk string, x int")
-    got = lookups.salted_lookup(left, right, "k", "rk", "i", n_rows=301, salts=5, floor=floor, share=10)
+    got = lookups.dealt_lookup(left, right, "k", "rk", "i", group_rows=group_rows)
     expected = left.join(right, left.k == right.rk, "left")
     assert rows(got.select("i", "k", "x")) == rows(expected.select("i", "k", "x"))
 
 
-def test_hot_keys_are_few(spark):
-    df = spark.createDataFrame([(f"k{i % 40}",) for i in range(400)] + [("hot",)] * 200, "k string")
-    assert lookups.hot_keys(df, "k", 600, share=5, floor=10) == ["hot"]
-    assert lookups.hot_keys(df, "k", 600, share=5, floor=1_000) == []
+def test_cycles_end_and_their_paths_stay_short(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}", "user", "x") for i in range(5)]
+    chain = [(f"d{i}", f"d{i - 1}" if i else None, "user", "y") for i in range(200)]
+    check(spark, ring + chain + [("below", "r2", "user", "z"), ("lower", "below", "user", "z")])
+    nodes = threads.thread_nodes(spark.createDataFrame(ring + chain, SCHEMA), "message_id", "parent_id", "text")
+    longest = {r["id"][0]: len(r["path"]) for r in sorted(threads.thread_links(nodes).collect(), key=lambda r: len(r["path"]))}
+    assert longest == {"r": 0, "d": 199}
+
+
+def test_rounds_move_no_texts(spark, monkeypatch):
+    """What the rounds write has ids and no text."""
+    written = []
+    monkeypatch.setattr(threads, "cut_lineage", lambda df, label: (written.append((label, df.columns)), cut_lineage(df, label))[1])
+    df = spark.createDataFrame(tree(50, 8), SCHEMA)
+    threads.thread_paths(df).collect()
+    rounds = [columns for label, columns in written if label == "thread-links"]
+    assert rounds and all(c == ["id", "next", "root", "depth", "path", "cyclic"] for c in rounds)
 
 
 def test_lookups(spark):
