@@ -29,7 +29,7 @@ from corpusloom.plans import corpus
 from corpusloom.plans.views import SHAPES, epochs, table, view
 from corpusloom.session import fresh_path, spread
 from corpusloom.sources import catalog, tables
-from corpusloom.streaming import streams
+from corpusloom.streaming import groups, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,7 +792,8 @@ def str_adapt_groups(spark, sf_dir):
     turns = streams.read_stream(spark, landed, schema, files_per_batch=1)
     messages = turns.selectExpr(*SHAPES["v_thread"][1])
     streams.adapt_group_stream(messages, "open_assistant", out, fresh_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    samples = adapt("open_assistant", spark.createDataFrame([], messages.schema)).schema
+    return groups.read_samples(spark, out, samples).drop("batch")
 
 
 @query

@@ -1,7 +1,7 @@
 """Streams: take the first matches, adapt rows as they land, and a running loss per run.
 
-Every sink writes one directory per micro-batch and overwrites it when the batch is repeated (grouped streams write all
-of them anew), so a restart from the checkpoint gives the same output.
+Every sink writes one directory per micro-batch and overwrites it when the batch is repeated, so a restart from the
+checkpoint gives the same output. Streams of groups keep versioned buckets, see ``groups``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.adapters import SOURCE_ID, adapt
+from corpusloom.operators.adapters import adapt
 from corpusloom.operators.sampling import first_n
+from corpusloom.streaming import groups
 
 # Adapters that look at one row at a time; the others need complete groups.
 GROUPED_ADAPTERS = ("kjv_bible", "open_assistant")
@@ -65,27 +66,23 @@ def adapt_stream(rows: DataFrame, name: str) -> DataFrame:
     return adapt(name, rows)
 
 
-def adapt_group_stream(rows: DataFrame, name: str, out: str, checkpoint: str) -> StreamingQuery:
+def adapt_group_stream(
+    rows: DataFrame, name: str, out: str, checkpoint: str, bucket_rows: int = groups.BUCKET_ROWS
+) -> StreamingQuery:
     """Run an adapter that needs whole groups (chapters, threads) on all that has arrived, whatever lands together.
 
-    Every micro-batch is kept beside ``out``, and the samples of all kept rows are written anew, in the directory of the
-    batch their own row came in; so ``out`` always equals the adapter on the rows so far, and a sample whose group grows
-    later is replaced. Each batch costs as much as all rows so far.
+    Read the result with ``groups.read_samples``: it always equals the adapter on the rows so far, and a sample whose
+    group grows later is replaced. A batch works on the groups it touches only.
     """
-    arrived = f"{out.rstrip('/')}-arrived"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{arrived}/batch={batch_id}")
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-        kept = spark.read.schema(schema).parquet(arrived).filter(F.col("batch") <= batch_id)
-        key = SOURCE_ID if SOURCE_ID in batch.columns else "message_id"
-        came = kept.groupBy(F.col(key).alias(SOURCE_ID)).agg(F.max("batch").alias("batch"))
-        adapted = adapt(name, kept.drop("batch"))
-        adapted.join(came, SOURCE_ID).write.mode("overwrite").partitionBy("batch").parquet(out)
-        if _batches(spark, out, adapted.schema).filter(F.col("batch") == batch_id).isEmpty():  # a schema to read it by
-            adapted.limit(0).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if name == "open_assistant":
+            groups.write_threads(batch, batch_id, out, bucket_rows)
+        else:
+            groups.write_runs(batch, batch_id, out, name, bucket_rows)
 
+    if name not in GROUPED_ADAPTERS:
+        raise ValueError(f"{name} works row by row, see adapt_stream")
     return (
         rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.adapters import adapt
 from corpusloom.session import fresh_path
-from corpusloom.streaming import streams
+from corpusloom.streaming import groups, streams
 from tests.conftest import rows
 
 SCHEMA = "source_id long, input string, target string, value double"
@@ -74,7 +74,7 @@ def test_group_adapters_run_per_batch(spark, tmp_path):
         spark.createDataFrame(data, ddl).coalesce(1).write.mode("append").parquet(folder)
     verses = streams.read_stream(spark, folder, ddl, files_per_batch=1)
     streams.adapt_group_stream(verses, "kjv_bible", out, fresh_path(spark, "cp")).awaitTermination()
-    got = spark.read.parquet(out)
+    got = groups.read_samples(spark, out, adapt("kjv_bible", spark.createDataFrame([], ddl)).schema)
     assert {r["batch"] for r in got.collect()} == {0, 1}
     assert rows(got.drop("batch")) == rows(adapt("kjv_bible", spark.read.schema(ddl).parquet(folder)))
 
@@ -90,6 +90,46 @@ def test_groups_cut_over_batches_equal_batch(spark, tmp_path, files):
         for part in (2, 0, 1):
             spark.createDataFrame(data[part::3], ddl).coalesce(1).write.mode("append").parquet(folder)
         landed = streams.read_stream(spark, folder, ddl, files_per_batch=files)
-        streams.adapt_group_stream(landed, name, out, fresh_path(spark, "cp")).awaitTermination()
-        expected = rows(adapt(name, spark.createDataFrame(data, ddl)))
-        assert expected and rows(spark.read.parquet(out).drop("batch").select(adapt(name, spark.createDataFrame(data, ddl)).columns)) == expected
+        streams.adapt_group_stream(landed, name, out, fresh_path(spark, "cp"), bucket_rows=5).awaitTermination()
+        whole = adapt(name, spark.createDataFrame(data, ddl))
+        assert rows(whole) and rows(groups.read_samples(spark, out, whole.schema).drop("batch")) == rows(whole)
+
+
+MESSAGE = "message_id long, parent_id long, role string, text string"
+
+
+def _land(spark, out, batches):
+    for number, data in enumerate(batches):
+        groups.write_threads(spark.createDataFrame(data, MESSAGE), number, out, bucket_rows=8)
+
+
+def test_threads_that_merge_late_and_turn_in_rings(spark):
+    """Tops land last, a fragment waits for two messages, a ring of parents closes, and a batch is repeated."""
+    out = fresh_path(spark, "out")
+    say = lambda i, up, text="t": (i, up, "assistant" if i % 2 else "prompter", f"{text}{i}")
+    batches = [
+        [say(3, 2), say(5, 4), say(11, 10)],
+        [say(4, 3), say(10, 12), (2, 1, "prompter", "")],
+        [say(12, 11), say(1, None), (2, 1, "prompter", "now with a text")],
+    ]
+    _land(spark, out, batches[:2])
+    groups.write_threads(spark.createDataFrame(batches[1], MESSAGE), 1, out, bucket_rows=8)  # repeated
+    assert groups.last_batch(spark, out) == 1
+    groups.write_threads(spark.createDataFrame(batches[2], MESSAGE), 2, out, bucket_rows=8)
+    rows_so_far = [r for b in batches for r in b if r[3]]
+    whole = adapt("open_assistant", spark.createDataFrame(rows_so_far, MESSAGE))
+    assert rows(whole) and rows(groups.read_samples(spark, out, whole.schema).drop("batch")) == rows(whole)
+    assert groups.vacuum(spark, out, keep=1) > 0
+    assert rows(groups.read_samples(spark, out, whole.schema).drop("batch")) == rows(whole)
+
+
+def test_a_batch_costs_what_it_touches(spark):
+    """Rows read by a batch stay the same while the rows so far grow; buckets are cut as they fill."""
+    out = fresh_path(spark, "out")
+    batches = [[(b * 10 + i, b * 10 + i - 1 if i else None, "assistant", f"{b}-{i}") for i in range(4)] for b in range(12)]
+    _land(spark, out, batches)
+    manifests = spark.read.schema(groups.MANIFEST).parquet(*[f"{out}/_manifest/batch={b}" for b in range(12)])
+    read = {r["version"]: r["n_rows"] for r in manifests.filter("store = 'rows read'").collect()}
+    last = spark.read.schema(groups.MANIFEST).parquet(f"{out}/_manifest/batch=11").filter("store = 'rows'").collect()
+    assert max(read[b] for b in range(8, 12)) <= 5 * 4 * 8 and max(r["n_rows"] for r in last) <= 8 + 4
+    assert sum(r["n_rows"] for r in last) == 48
