@@ -238,23 +238,26 @@ def _cutter(with_text: bool):
     return cut
 
 
-def with_first(rows: DataFrame, by: list[str], label: str) -> DataFrame:
-    """``rows`` (stored) with ``first``, the smallest ord of the rows that are equal in ``by``; null where that is the
-    row's own and all the others' too.
+def grouped(rows: DataFrame, by: list[str], label: str, *more: Column) -> DataFrame:
+    """by, _n, first, more: the groups of ``rows`` that hold several documents, and the smallest of these. Stored."""
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("first"), F.max("ord").alias("_last"), *more)
+    return stored(groups.where("first < _last").drop("_last"), label)
+
+
+def met(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
+    """``rows`` (stored) with what their group knows.
 
     Groups above BLOCK_ROWS rows, at most rows / BLOCK_ROWS of them, are dealt to several tasks each; their one row of
     the group table is copied as often.
     """
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("first"), F.max("ord").alias("_last"))
-    groups = stored(groups.where("first < _last").drop("_last"), label)
     deals = F.ceil(F.col("_n") / F.lit(BLOCK_ROWS)).cast("int")
     large = groups.where(F.col("_n") > BLOCK_ROWS).select(*by, deals.alias("_deals"))
     dealt = F.lit(0)
     if not large.isEmpty():
         rows = rows.join(large, by, "left")
         dealt = F.pmod(F.xxhash64("ord", "key", "start"), F.coalesce("_deals", F.lit(1))).cast("int")
-    copies = groups.select(*by, "first", F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
-    return rows.withColumn("_deal", dealt).join(copies, [*by, "_deal"], "left").drop("_deal", "_deals")
+    copies = groups.withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_n")
+    return rows.withColumn("_deal", dealt).join(copies, [*by, "_deal"], how).drop("_deal", "_deals")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -276,12 +279,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = stored(rows.select("ord", "key", "text").mapInArrow(_seeds, SEEDS), "seeds")
     whole = seeds.where("start IS NULL").select("ord", "key", "n_words", "kept_sha256")
     seeds = seeds.where("start IS NOT NULL").select("ord", "key", "start", "n", "seed", "s1", "s2")
-    several = seeds.groupBy("seed").agg(
-        F.min("ord").alias("low"), F.max("ord").alias("high"), (F.min("s1") < F.max("s1")).alias("varied")
-    )
-    several = several.where("low < high").select("seed", "varied")
-    shared = stored(seeds.join(several, "seed").drop("seed"), "shared-seeds")
-    compared = with_first(shared, ["s1", "s2"], "equal-segments")
+    several = grouped(seeds, ["seed"], "seed-groups", (F.min("s1") < F.max("s1")).alias("varied")).drop("first")
+    shared = stored(met(seeds, several, ["seed"], "inner").drop("seed"), "shared-seeds")
+    # a segment that no other document has is its own first: first stays null
+    compared = met(shared, grouped(shared, ["s1", "s2"], "equal-segments"), ["s1", "s2"], "left")
     repeat = F.col("ord") > F.col("first")
     touched = compared.where(F.col("varied") | repeat).groupBy("ord", "key").agg(
         F.collect_list(F.when(repeat, spans())).alias("covered"),
@@ -291,7 +292,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = texts.where(F.size("open") > 0).select("ord", "key", "text", "open").mapInArrow(
         _windows, "ord long, key long, start int, h1 long, h2 int"
     )
-    again = with_first(stored(windows, "open-windows"), ["h1", "h2"], "equal-windows").where("ord > first")
+    windows = stored(windows, "open-windows")
+    again = met(windows, grouped(windows, ["h1", "h2"], "equal-windows"), ["h1", "h2"], "inner").where("ord > first")
     found = again.groupBy("ord", "key").agg(F.collect_list(spans("start", F.lit(1))).alias("repeats"))
     return texts.join(found, ["ord", "key"], "left"), whole
 
