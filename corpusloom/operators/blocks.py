@@ -123,3 +123,22 @@ def ordinals(
     rows = blocked.withColumn("_local", F.row_number().over(in_block(order)) - 1)
     placed = join_blocks(rows, states).withColumn(position, F.coalesce("_start", F.lit(0)) + F.col("_local"))
     return placed.drop("_start", "_local", KEY, BLOCK)
+
+
+def in_order(df: DataFrame, order: Sequence[Column], position: str = "pos", label: str = "ordered") -> DataFrame:
+    """Number all rows from 0 in the given order, which need not be unique: ``position`` is added.
+
+    Rows are range-sorted and written; each range is numbered by itself and the sizes of the ranges, one row each, are
+    summed up. So no task holds more than a range. ``df`` is read twice (ranges are cut by a sample).
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = cut_lineage(sorted_.withColumn("_sorted", F.monotonically_increasing_id()), label)
+    part = F.shiftrightunsigned("_sorted", 33)
+    sizes = rows.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.col("_sorted").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.withColumn("_range", part).join(F.broadcast(starts), "_range")  # a row per range
+    return placed.withColumn(position, F.col("_start") + inside).drop("_range", "_sorted", "_start")

@@ -13,25 +13,30 @@ from pyspark.sql import functions as F
 from corpusloom.functions.arrays import FIRST_WORD_ID, PAD_ID, UNKNOWN_ID, pad_to
 from corpusloom.functions.hashing import bucket, seeded_hash
 from corpusloom.functions.text import strip, words
+from corpusloom.operators.blocks import in_order
+from corpusloom.session import cut_lineage
 
 CHUNK_SIZE = 128
 CHUNK_STRIDE = 64
 MIN_CHUNKS = 2
 SHARD_ROWS = 100_000
 
-# A vocabulary travels to every task, so its size is bounded here and checked in ``vocabulary_words``.
+# A list of words travels to every task, so its size is bounded here and checked in ``vocabulary_words``. Larger
+# vocabularies stay tables: ``encode_join`` and ``decode_join``.
 MAX_VOCABULARY = 262_144
 
 
 def vocabulary(df: DataFrame, text: str, k: int) -> DataFrame:
     """The ``k`` most frequent words (ties by word) with ids: (token_id, word, n)."""
-    if not 0 < k <= MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary holds 1 to {MAX_VOCABULARY} words")
+    if k <= 0:
+        raise ValueError("a vocabulary holds a word at least")
     counted = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(k)
-    # At most k rows are left for this window.
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
-    return top.select((place - 1 + FIRST_WORD_ID).cast("int").alias("token_id"), "word", "n")
+    order = [F.desc("n"), F.asc("word")]
+    if k <= MAX_VOCABULARY:  # the rows that Spark keeps per task and merges fit anywhere
+        placed = counted.orderBy(*order).limit(k).withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        placed = in_order(cut_lineage(counted, "word-counts"), order, "_place").filter(F.col("_place") < k)
+    return placed.select((F.col("_place") + FIRST_WORD_ID).cast("int").alias("token_id"), "word", "n")
 
 
 def vocabulary_words(vocab: DataFrame) -> list[str]:
@@ -104,6 +109,46 @@ def decode(df: DataFrame, tokens: str, vocab: list[str], out: str = "text", task
     return spelled.withColumn(out, joined).drop("_words")
 
 
+def _answered(df: DataFrame, id_col: str, items: Column, table: DataFrame, value: Column) -> DataFrame:
+    """(id, answers): each list's items replaced by what the table (item, answer) says, in their order.
+
+    Items are asked for once per chunk of documents, so a word that is everywhere costs a row per chunk at the table;
+    the answers meet the places of their chunk by (chunk, item), and only ids, places and items travel. There are
+    as many chunks as shuffle partitions.
+    """
+    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int")
+    places = df.select(F.col(id_col).alias("_id"), chunk.alias("_chunk"), F.posexplode(items).alias("_at", "_item"))
+    asked = places.select("_chunk", "_item").distinct()
+    answers = asked.join(table, "_item", "left").select("_chunk", "_item", value.alias("_answer"))
+    found = places.join(answers, ["_chunk", "_item"]).groupBy("_id")
+    lists = found.agg(F.sort_array(F.collect_list(F.struct("_at", "_answer"))).alias("_list"))
+    joined = df.select(id_col).join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    answers_ = F.transform("_list", lambda x: x["_answer"])
+    return joined.select(id_col, F.coalesce(answers_, F.array().cast(answers_type(table))).alias("_answers"))
+
+
+def answers_type(table: DataFrame) -> str:
+    return f"array<{table.schema['_answer'].dataType.simpleString()}>"
+
+
+def encode_join(df: DataFrame, id_col: str, text: str, vocab: DataFrame, out: str = "tokens") -> DataFrame:
+    """(id, tokens): ``encode`` with a vocabulary of any size, by joins. ``id_col`` is unique and not null."""
+    table = vocab.select(F.col("word").alias("_item"), F.col("token_id").cast("int").alias("_answer"))
+    ids = _answered(df, id_col, words(strip(text)), table, F.coalesce("_answer", F.lit(UNKNOWN_ID)))
+    return ids.withColumnRenamed("_answers", out)
+
+
+def decode_join(
+    df: DataFrame, id_col: str, tokens: str, vocab: DataFrame, out: str = "text", unknown: str = "<unk>"
+) -> DataFrame:
+    """(id, text): ``decode`` with a vocabulary of any size, by joins. ``id_col`` is unique and not null."""
+    table = vocab.select(F.col("token_id").cast("int").alias("_item"), F.col("word").alias("_answer"))
+    word = F.when(F.col("_item") == UNKNOWN_ID, F.lit(unknown)).otherwise(F.col("_answer"))
+    spelled = _answered(df, id_col, F.col(tokens), table, word)
+    return spelled.select(id_col, F.array_join("_answers", " ").alias(out))
+
+
 def chunk_tokens(
     df: DataFrame,
     tokens: str = "tokens",
@@ -167,3 +212,22 @@ def padded_batches(
         .withColumn(tokens, pad_to(tokens, F.col("width"), pad_id))
         .drop("_place")
     )
+
+
+def consecutive_batches(
+    df: DataFrame, id_col: str, tokens: str = "tokens", batch_size: int = 16, pad_id: int = PAD_ID
+) -> DataFrame:
+    """Batches of ``batch_size`` rows in the order of their ids, padded to the longest: all but the last one are full.
+
+    Rows are numbered over counted ranges (``blocks.in_order``), so the work is cut as the data grows and a batch
+    may span two ranges.
+    """
+    rows = in_order(df.withColumn("n_tokens", F.size(tokens)), [F.asc(id_col)], "_place", "batches")
+    batch = Window.partitionBy("batch_no")
+    return (
+        rows.withColumn("batch_no", F.expr(f"_place div {int(batch_size)}"))
+        .withColumn("pos", (F.col("_place") % batch_size).cast("int"))
+        .withColumn("width", F.max("n_tokens").over(batch))
+        .withColumn(tokens, pad_to(tokens, F.col("width"), pad_id))
+        .drop("_place")
+    )

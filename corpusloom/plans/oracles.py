@@ -514,6 +514,8 @@ O["tok_decode"] = with_tokens("""
         SELECT s.doc_id, string_agg(coalesce(v.word, '<unk>'), ' ' ORDER BY s.place) AS text
         FROM spread AS s LEFT JOIN vocab AS v ON s.word = v.word GROUP BY s.doc_id
     ) AS t ON l.doc_id = t.doc_id""")
+O["tok_encode_join"] = O["tok_encode"]
+O["tok_decode_join"] = O["tok_decode"]
 O["tok_target_pad"] = with_tokens(f"SELECT doc_id, {spaced(TARGET_IDS)} AS target_ids FROM enc")
 O["tok_mask"] = with_tokens(f"""
     SELECT doc_id, len(list_filter(ids, lambda t: t <> 1)) AS n_filled,
@@ -548,6 +550,15 @@ O["bat_padded"] = with_tokens(f"""
         ) AS c
     ) AS d""")
 
+O["bat_consecutive"] = with_tokens(f"""
+    SELECT doc_id, batch_no, pos::INT AS pos, n_tokens, width,
+           {spaced("list_concat(tokens, list_transform(range(width - n_tokens), lambda i: 1))")} AS tokens
+    FROM (
+        SELECT *, max(n_tokens) OVER (PARTITION BY batch_no) AS width FROM (
+            SELECT *, place // 4 AS batch_no, place % 4 AS pos, len(tokens) AS n_tokens
+            FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM enc) AS a
+        ) AS b
+    ) AS c""")
 O["bat_samples"] = with_tokens(f"""
     SELECT shard, batch_no, pos, source_id, task,
            {spaced("list_concat(c, list_transform(range(width - len(c)), lambda i: 1))")} AS context_tokens,

@@ -27,7 +27,7 @@ from corpusloom.operators.adapters import adapt, union_corpus
 from corpusloom.operators.blocks import ordinals
 from corpusloom.plans import corpus
 from corpusloom.plans.views import SHAPES, epochs, table, view
-from corpusloom.session import fresh_path, spread
+from corpusloom.session import cut_lineage, fresh_path, spread
 from corpusloom.sources import catalog, tables
 from corpusloom.streaming import groups, streams
 
@@ -645,6 +645,21 @@ def tok_decode(spark, sf_dir):
     return rows.select("doc_id", "text")
 
 
+@query
+def tok_encode_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = cut_lineage(tokens.vocabulary(docs.select("text"), "text", VOCABULARY_SIZE), "vocabulary")
+    rows = tokens.encode_join(docs, "doc_id", "text", vocab)
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), joined("tokens").alias("tokens"))
+
+
+@query
+def tok_decode_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = cut_lineage(tokens.vocabulary(docs.select("text"), "text", VOCABULARY_SIZE), "vocabulary")
+    return tokens.decode_join(tokens.encode_join(docs, "doc_id", "text", vocab), "doc_id", "tokens", vocab)
+
+
 @query
 def tok_target_pad(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", joined(arrays.target_ids("tokens")).alias("target_ids"))
@@ -686,6 +701,12 @@ def bat_padded(spark, sf_dir):
     return rows.withColumn("tokens", joined("tokens"))
 
 
+@query
+def bat_consecutive(spark, sf_dir):
+    rows = tokens.consecutive_batches(_encoded(spark, sf_dir), "doc_id", batch_size=4)
+    return rows.withColumn("tokens", joined("tokens"))
+
+
 @query
 def bat_samples(spark, sf_dir):
     """Samples to padded batches: contexts padded to the longest of their batch, targets of fixed length."""

@@ -34,10 +34,15 @@ def test_vocabulary(docs, k):
     assert got == [(FIRST_WORD_ID + i, w) for i, w in enumerate(plain_vocabulary(k))]
 
 
-def test_vocabulary_is_bounded(docs):
-    for k in (0, tokens.MAX_VOCABULARY + 1):
-        with pytest.raises(ValueError):
-            tokens.vocabulary(docs, "text", k)
+def test_vocabulary_holds_a_word(docs):
+    with pytest.raises(ValueError):
+        tokens.vocabulary(docs, "text", 0)
+
+
+def test_both_ways_to_rank_agree(docs, monkeypatch):
+    whole = rows(tokens.vocabulary(docs, "text", 50))
+    monkeypatch.setattr(tokens, "MAX_VOCABULARY", 1)
+    assert rows(tokens.vocabulary(docs, "text", 50)) == whole
 
 
 @pytest.mark.parametrize("k", [2, 100])
@@ -129,3 +134,42 @@ def test_batches_need_no_global_order(spark):
     df = spark.createDataFrame([(1, [5])], "id int, tokens array<int>")
     plan = tokens.padded_batches(df, "id")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and plan.count("Exchange") == 1
+
+
+def test_joins_equal_lists(spark):
+    texts = ["b a a", "", None, " a\tc  b ", "zz zz a", "a " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    vocab = tokens.vocabulary(df.filter("id <> 4"), "text", 10)
+    by_list = tokens.encode(df, "text", tokens.vocabulary_words(vocab)).select("id", "tokens")
+    by_join = tokens.encode_join(df, "id", "text", vocab)
+    assert rows(by_join) == rows(by_list)
+    back = tokens.decode(by_list, "tokens", tokens.vocabulary_words(vocab)).select("id", "text")
+    assert rows(tokens.decode_join(by_join, "id", "tokens", vocab)) == rows(back)
+
+
+def test_vocabulary_of_any_size(spark):
+    """300,000 words, more than a list may hold: ranks by counted ranges, ids by joins."""
+    n, each = 300_000, 50
+    ids = F.sequence(F.col("id") * each, F.col("id") * each + each - 1)
+    text = F.concat_ws(" ", F.transform(ids, lambda i: F.concat(F.lit("w"), i.cast("string"))), F.lit("w7 w7 w299999"))
+    df = spark.range(n // each).select("id", text.alias("text"))
+    vocab = tokens.vocabulary(df, "text", n)
+    ends = vocab.agg(F.min("token_id"), F.max("token_id"), F.count_distinct("token_id")).first()
+    assert tuple(ends) == (5, n + 4, n)
+    first = {r["token_id"]: r["word"] for r in vocab.filter("token_id < 8").collect()}
+    assert first == {5: "w7", 6: "w299999", 7: "w0"}
+    with pytest.raises(ValueError):
+        tokens.vocabulary_words(vocab)
+    got = tokens.encode_join(df, "id", "text", vocab).filter("id = 0").first()["tokens"]
+    assert got[-3:] == [5, 5, 6] and len(got) == each + 3 and got[0] == 7
+    assert tokens.encode_join(df, "id", "text", vocab).filter(F.array_contains("tokens", 4)).count() == 0
+
+
+def test_consecutive_batches_are_full(spark):
+    data = [(i * 3, list(range(i % 7))) for i in range(103)]
+    df = spark.createDataFrame(data, "id long, tokens array<int>").repartition(7)
+    got = sorted(tokens.consecutive_batches(df, "id", batch_size=10).collect(), key=lambda r: r["id"])
+    assert [(r["batch_no"], r["pos"]) for r in got] == [(i // 10, i % 10) for i in range(103)]
+    for r in got:
+        longest = max(len(t) for i, t in data if i // 3 // 10 == r["batch_no"])
+        assert r["width"] == longest and len(r["tokens"]) == longest
