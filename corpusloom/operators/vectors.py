@@ -6,13 +6,18 @@ in the aggregate rather than ``dims`` exploded ones, and tasks combine before th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import concat_vectors
 from corpusloom.operators.blocks import ordinals
+from corpusloom.session import cut_lineage
 
 DRIFT_LAMBDA = 1_000.0
 NORM_SCALE = 1e-6
@@ -29,34 +34,78 @@ def per_dim(vec: str, dims: int, aggregate: str) -> Column:
     return F.expr(f"array({', '.join(cells)})")
 
 
-def _ancestors(pos: str, n: str) -> Column:
-    """Structs (level, pos, weight, is_root) of a leaf's ancestors in the pairwise tree over ``n`` leaves.
+TREE_LEVELS = 8  # levels built in one block of 2**8 neighbours
 
-    A node is alone in its pair if it is the last of its level at an even position; it is promoted unchanged.
-    Every other step up halves the weight.
+
+def tree_levels(leaves: np.ndarray, there: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, vectors, which of them are not null) above the leaves: means of neighbours, an odd last one promoted.
+
+    The mean of a vector and a null is the vector.
     """
-    position, leaves = F.col(pos), F.col(n)
-    levels = F.when(leaves <= 1, F.lit(0)).otherwise(F.length(F.bin(leaves - 1)))
-
-    def at(level: Column) -> Column:
-        return F.call_function("shiftright", position, level)
-
-    def alone(level: Column) -> Column:
-        last = F.call_function("shiftright", leaves - 1, level)
-        return (at(level) == last) & (at(level) % 2 == 0)
-
-    def halvings(level: Column) -> Column:
-        return F.size(F.filter(F.sequence(F.lit(0), level - 1), lambda below: ~alone(below)))
-
-    return F.transform(
-        F.when(levels > 0, F.sequence(F.lit(1), levels)),
-        lambda level: F.struct(
-            level.alias("level"),
-            at(level).alias("pos"),
-            F.pow(F.lit(0.5), halvings(level)).alias("weight"),
-            (level == levels).alias("is_root"),
-        ),
-    )
+    for level in range(1, most + 1):
+        odd = len(leaves) % 2
+        left, right = leaves[: len(leaves) - odd : 2], leaves[1::2]
+        a, b = there[: len(there) - odd : 2], there[1::2]
+        both = (a & b)[:, None]
+        means = np.where(both, (left + right) / 2, np.where(a[:, None], left, right))
+        leaves = np.concatenate([means, leaves[len(leaves) - odd :]])
+        there = np.concatenate([a | b, there[len(there) - odd :]])
+        yield level, leaves, there
+
+
+def _block_trees(dims: int):
+    """Rows (group, block, leaf, leaves left above, vec), sorted, to the nodes of each block's levels.
+
+    A block is held whole, 2**TREE_LEVELS vectors; nothing else is.
+    """
+
+    def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(column).drop_null()
+        if len(sizes) and not pc.all(pc.equal(sizes, dims)).as_py():
+            raise ValueError(f"a vector has not {dims} cells")
+        out = np.zeros((len(column), dims))
+        out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        return out, there
+
+    def nodes(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        leaves, there = cells(block.column("vec"))
+        first, n = block.column("leaf")[0].as_py(), block.column("n")[0].as_py()
+        most = min(TREE_LEVELS, max(n - 1, 0).bit_length())
+        levels, places, vectors, known = [], [], [], []
+        for level, rows, valid in tree_levels(leaves, there, most):
+            levels.append(np.full(len(rows), level, np.int32))
+            places.append((first >> level) + np.arange(len(rows)))
+            vectors.append(rows)
+            known.append(valid)
+        total = sum(map(len, places))
+        flat = np.concatenate(vectors) if total else np.zeros((0, dims))
+        valid = np.concatenate(known) if total else np.zeros(0, bool)
+        offsets = pa.array(np.arange(0, (total + 1) * dims, dims, dtype=np.int32)[: total + 1] if dims else np.zeros(total + 1, np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1)), mask=pa.array(~valid))
+        group = pa.concat_arrays([block.column("group").slice(0, 1)] * total) if total else block.column("group").slice(0, 0)
+        level = pa.array(np.concatenate(levels) if total else np.zeros(0, np.int32))
+        place = pa.array(np.concatenate(places) if total else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([group, level, place, lists], ["group", "level", "pos", "vec"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks = batch.column("block").to_numpy()
+            starts = batch.column("leaf").to_numpy() % (1 << TREE_LEVELS) == 0
+            cuts = np.flatnonzero(starts | np.r_[True, blocks[1:] != blocks[:-1]])
+            for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+                if starts[a] and held:
+                    yield nodes(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield nodes(held)
+
+    return run
 
 
 def embedding_tree(
@@ -65,25 +114,38 @@ def embedding_tree(
     """All nodes of each document's pairwise mean tree: (doc, level, pos, vec).
 
     Leaves are a document's rows in ``order``; level by level neighbours (0,1), (2,3).. are averaged and an odd
-    last node is promoted. Each leaf adds its weighted vector to all its ancestors, so one shuffle builds every
-    level above the leaves; the sums near a large document's root are combined in the tasks first.
+    last node is promoted. Aligned blocks of 2**TREE_LEVELS leaves are built bottom-up, each in one pass over its
+    vectors, and only the blocks' roots go up, to be the leaves of the blocks above them: a document of any size is spread
+    over blocks, and a vector is copied once per TREE_LEVELS levels. Null vectors add nothing to a mean.
     """
     placed = ordinals(df.select(doc, order, vec), [doc], order, "_leaf", total="_leaves")
-    leaves = placed.select(
-        doc,
-        F.lit(0).alias("level"),
-        F.col("_leaf").alias("pos"),
-        F.transform(vec, lambda x: x.cast("double")).alias(vec),
-        (F.col("_leaves") == 1).alias("_root"),
-    )
-    shares = placed.select(doc, vec, F.inline(_ancestors("_leaf", "_leaves")))
-    summed = per_dim(vec, dims, "sum({x} * weight)").alias(vec)
-    inner = shares.groupBy(doc, "level", "pos").agg(summed, F.max("is_root").alias("_root"))
-    nodes = leaves.unionByName(inner)
+    doubles = F.transform(vec, lambda x: x.cast("double")).alias("vec")
+    leaves = placed.select(F.col(doc).alias("group"), F.col("_leaf").alias("leaf"), F.col("_leaves").alias("n"), doubles)
+    leaves = cut_lineage(leaves, "tree-leaves")
+    most = leaves.agg(F.max("n")).first()[0] or 0
+    group_type = leaves.schema["group"].dataType.simpleString()
+    made, level, below = [], 0, leaves
+    while most > 1:
+        blocks = below.withColumn("block", F.shiftright("leaf", TREE_LEVELS))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(parts, "group", "block").sortWithinPartitions("group", "block", "leaf")
+        nodes = blocks.mapInArrow(_block_trees(dims), f"group {group_type}, level int, pos bigint, vec array<double>")
+        nodes = cut_lineage(nodes.withColumn("level", F.col("level") + level), "tree-nodes")
+        made.append(nodes)
+        level, most = level + TREE_LEVELS, -(-most >> TREE_LEVELS)
+        if most > 1:
+            sizes = leaves.select(F.col("group").alias("_of"), F.ceil(F.col("n") / F.lit(2**level)).alias("n")).distinct()
+            roots = nodes.filter(F.col("level") == level).select("group", F.col("pos").alias("leaf"), "vec")
+            below = roots.join(sizes.filter("n > 1"), F.col("group").eqNullSafe(F.col("_of"))).drop("_of")
+    own = leaves.select("group", F.lit(0).alias("level"), F.col("leaf").alias("pos"), "vec")
+    nodes = reduce(DataFrame.unionByName, made, own)
     if include_root_copy:
-        copies = F.when(F.col("_root"), F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
-        nodes = nodes.withColumn("level", F.explode(copies))
-    return nodes.drop("_root")
+        top = F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0).alias("_top")
+        tops = leaves.select(F.col("group").alias("_of"), top).distinct()
+        same = F.col("group").eqNullSafe(F.col("_of")) & (F.col("level") == F.col("_top"))
+        root = nodes.filter("pos = 0").join(tops, same)
+        nodes = nodes.unionByName(root.select("group", (F.col("level") + 1).alias("level"), "pos", "vec"))
+    return nodes.select(F.col("group").alias(doc), "level", "pos", F.col("vec").alias(vec))
 
 
 def second_moment(

@@ -21,7 +21,7 @@ def tree(leaves):
 @pytest.fixture(scope="module")
 def docs():
     rng = random.Random(9)
-    return {n: [[rng.randrange(-8, 8) / 4 for _ in range(3)] for _ in range(n)] for n in [*range(1, 34), 64, 65, 300]}
+    return {n: [[rng.randrange(-8, 8) / 4 for _ in range(3)] for _ in range(n)] for n in [*range(1, 34), 64, 65, 255, 256, 257, 300, 513]}
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,21 @@ def test_concat_pairs(df, docs):
     got = {(r["doc"], r["pair_no"]): r["vec"] for r in vectors.concat_pairs(df, "doc", "seq", "vec").collect()}
     expected = {(n, i // 2): vs[i] + vs[i + 1] for n, vs in docs.items() for i in range(0, n - 1, 2)}
     assert got == expected
+
+
+def test_tree_of_trees(spark):
+    """A document of three rounds of blocks, a group without a name, null vectors."""
+    big = [(None, i, [float(i % 7), 1.0]) for i in range(70_000)] + [(1, 0, None), (1, 1, [2.0, 4.0]), (1, 2, None)]
+    got = vectors.embedding_tree(spark.createDataFrame(big, "doc int, seq long, vec array<float>").repartition(4), "doc", "seq", "vec", 2)
+    found = {(r["level"], r["pos"]): r["vec"] for r in got.filter("doc IS NULL AND level > 7").collect()}
+    levels = tree([v for d, _, v in big if d is None])
+    assert found.keys() == {(n, p) for n in range(8, len(levels)) for p in range(len(levels[n]))}
+    assert all(found[n, p] == pytest.approx(levels[n][p]) for n, p in found)
+    small = {(r["level"], r["pos"]): r["vec"] for r in got.filter("doc = 1").collect()}
+    assert small == {(0, 0): None, (0, 1): [2, 4], (0, 2): None, (1, 0): [2, 4], (1, 1): None, (2, 0): [2, 4]}
+
+
+def test_vectors_of_another_length_stop_the_tree(spark):
+    bad = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0])], "doc int, seq long, vec array<float>")
+    with pytest.raises(Exception, match="has not 2 cells"):
+        vectors.embedding_tree(bad, "doc", "seq", "vec", 2).collect()
