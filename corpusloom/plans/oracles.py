@@ -484,6 +484,38 @@ O["set_corpus_union"] = " UNION ALL ".join(
         [("alpaca", "ad_instruction"), ("mmlu", "ad_mmlu"), ("gsm8k", "ad_gsm8k"), ("sciq", "ad_sciq"), ("bbh", "ad_pair")]
     )
 )
+O["set_corpus_all"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, {seq} AS seq, source_id::VARCHAR AS source_id, sample_no, context, target, task "
+    f"FROM ({O[key]}) AS part_{seq}"
+    for seq, (name, key) in enumerate([
+        ("alpaca", "ad_instruction"), ("dolly", "ad_dolly"), ("open_assistant", "ad_thread"), ("code_alpaca", "ad_instruction"),
+        ("daily_dialog", "ad_dialog"), ("personachat", "ad_persona"), ("mmlu", "ad_mmlu"), ("code_search_net", "ad_docstring"),
+        ("human_eval", "ad_canonical"), ("mbpp", "ad_text_code"), ("apps", "ad_first_solution"),
+        ("codecontests", "ad_nested_solution"), ("open_r1_math", "ad_pair_code"), ("mathqa", "ad_mathqa"),
+        ("gsm8k", "ad_gsm8k"), ("aqua_rat", "ad_rationale"), ("strategyqa", "ad_bool"), ("sciq", "ad_sciq"),
+        ("stem", "ad_stem"), ("arc_easy", "ad_arc"), ("arc_challenge", "ad_arc"), ("nq_open", "ad_first_answer"),
+        ("hellaswag", "ad_hellaswag"), ("truthfulqa", "ad_best_answer"), ("ultrafeedback", "ad_last_assistant"),
+        ("bbh", "ad_pair"), ("bigbench_hard", "ad_pair"), ("kjv_bible", "ad_sliding"), ("math", "ad_pair_code"),
+        ("natural_questions", "ad_first_answer"), ("owasp", "ad_question_answer"), ("wikiqa", "ad_first_positive"),
+        ("wizardlm", "ad_instruction_context"),
+    ])
+)
+O["src_json_array"] = r"""
+    SELECT event_id, concat('} "\{', event_type, '}]') AS note, event_id AS id, concat(event_type, '|', props) AS words FROM events"""
+O["src_read_config"] = f"""
+    SELECT doc_id, text, lang AS config, 'train' AS split FROM documents WHERE lang = 'en' AND {split("doc_id")} = 'train'"""
+O["snk_json"] = "SELECT doc_id, text, lang FROM documents"
+O["src_rebuild"] = """
+    SELECT doc_id, lang, 'whole' AS path FROM documents UNION ALL SELECT doc_id, upper(lang), 'broken' FROM documents"""
+O["ad_rows"] = f"""
+    SELECT source_id, n AS sample_no, concat(question, ' ', n) AS context, choices[n + 1] AS target, 'chat' AS task
+    FROM (SELECT *, unnest(range(0, len(choices)))::INT AS n FROM ({view_sql("v_mcq")}) AS v) AS c WHERE choices[n + 1] <> ''"""
+O["tok_plugin"] = """
+    SELECT doc_id, array_to_string(list_transform(string_split(lang, ''), lambda c: unicode(c)), ' ') AS ids FROM documents"""
+O["doc_parse_2023"] = """
+    SELECT p_partkey AS source_id, 0 AS section_no, p_name AS title, p_type AS description,
+           concat(p_type, ' ', p_size) AS examples, p_brand AS prevention FROM part
+    UNION ALL SELECT p_partkey, 1, p_brand, p_name, '', '' FROM part"""
 O["corpus_slice"] = f"""
     SELECT {split("conv_id")} AS split, {task("target")} AS task, count(*) AS n_samples,
            count(DISTINCT conv_id) AS n_conversations, round(avg(len(context)), 6) AS mean_context_chars

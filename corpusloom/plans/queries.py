@@ -23,7 +23,7 @@ from corpusloom.operators import (
     vectors,
     windows,
 )
-from corpusloom.operators.adapters import adapt, union_corpus
+from corpusloom.operators.adapters import ADAPTERS, adapt, row_adapter, union_corpus
 from corpusloom.operators.blocks import ordinals
 from corpusloom.plans import corpus
 from corpusloom.plans.views import SHAPES, epochs, table, view
@@ -129,6 +129,78 @@ def src_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"))
 
 
+@query
+def src_json_array(spark, sf_dir):
+    """Events written as one file with one JSON array, read back by several tasks."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props", "value")
+    note = F.concat(F.lit('} "\\{'), F.col("event_type"), F.lit("}]")).alias("note")  # braces and quotes inside strings
+    nested = F.struct(F.col("event_id").alias("id"), F.array("event_type", "props").alias("words")).alias("of")
+    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
+    begin = F.when(F.col("event_id") == first, "[").otherwise("")
+    end = F.when(F.col("event_id") == last, "]").otherwise(",")
+    line = F.concat(begin, F.to_json(F.struct("event_id", note, nested)), end).alias("line")
+    path = fresh_path(spark, "array")
+    events.select("event_id", line).coalesce(1).sortWithinPartitions("event_id").select("line").write.text(path)
+    kind = "event_id long, note string, of struct<id: long, words: array<string>>"
+    rows = tables.read_json_array(spark, path, kind)
+    return rows.select("event_id", "note", F.col("of.id").alias("id"), F.array_join("of.words", "|").alias("words"))
+
+
+@query
+def src_read_config(spark, sf_dir):
+    """One configuration and split of a dataset that is stored by both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("config"))
+    path = fresh_path(spark, "configs")
+    tables.save(sampling.split_hash(docs, "doc_id"), path, by=("config", "split"))
+    rows = tables.read_source(spark, path, config="en", split="train")
+    return rows.select("doc_id", "text", "config", "split")
+
+
+@query
+def snk_json(spark, sf_dir):
+    """JSON lines written and read back."""
+    path = fresh_path(spark, "lines")
+    tables.save_json(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return spark.read.schema("doc_id long, text string, lang string").json(path)
+
+
+@query
+def src_rebuild(spark, sf_dir):
+    """A dataset that was written to the end is opened; one without its marker is built again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    whole, broken = fresh_path(spark, "whole"), fresh_path(spark, "broken")
+    tables.materialize(spark, lambda: docs, whole)
+    tables.materialize(spark, lambda: docs.withColumn("lang", F.lit("built twice")), whole)
+    docs.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(broken)
+    tables.materialize(spark, lambda: docs.withColumn("lang", F.upper("lang")), broken)
+    opened = tables.open_dataset(spark, whole).withColumn("path", F.lit("whole"))
+    return opened.unionByName(tables.open_dataset(spark, broken).withColumn("path", F.lit("broken")))
+
+
+@query
+def ad_rows(spark, sf_dir):
+    """An adapter written as a Python generator over one row."""
+
+    def numbered(row):
+        for place, choice in enumerate(row["choices"]):
+            yield {"context": f"{row['question']} {place}", "target": choice, "task": "chat"}
+
+    return row_adapter(numbered)(view("v_mcq")(spark, sf_dir).select("source_id", "question", "choices"))
+
+
+@query
+def tok_plugin(spark, sf_dir):
+    """Ids by a tokenizer that the caller brings: here the code points of a text."""
+    ids = tokens.tokenizer_ids(lambda: lambda text: [ord(c) for c in text])
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids(F.col("lang")).alias("ids"))
+    return docs.select("doc_id", joined("ids").alias("ids"))
+
+
+@query
+def doc_parse_2023(spark, sf_dir):
+    return sections.parse_sections(view("v_risk_2023")(spark, sf_dir), "text", 2023)
+
+
 @query
 def snk_parquet_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "dataset")
@@ -592,6 +664,28 @@ def set_corpus_union(spark, sf_dir):
     return union_corpus([(name, adapt(name, view(shape)(spark, sf_dir))) for name, shape in shapes])
 
 
+# One raw table per adapter: the query that runs it, for names that share an adapter the same one.
+ADAPTER_QUERIES = {
+    "alpaca": "ad_instruction", "code_alpaca": "ad_instruction", "wizardlm": "ad_instruction_context", "dolly": "ad_dolly",
+    "open_assistant": "ad_thread", "daily_dialog": "ad_dialog", "personachat": "ad_persona", "mmlu": "ad_mmlu",
+    "code_search_net": "ad_docstring", "human_eval": "ad_canonical", "mbpp": "ad_text_code", "apps": "ad_first_solution",
+    "codecontests": "ad_nested_solution", "math": "ad_pair_code", "open_r1_math": "ad_pair_code", "mathqa": "ad_mathqa",
+    "gsm8k": "ad_gsm8k", "aqua_rat": "ad_rationale", "strategyqa": "ad_bool", "sciq": "ad_sciq", "stem": "ad_stem",
+    "arc_easy": "ad_arc", "arc_challenge": "ad_arc", "nq_open": "ad_first_answer", "natural_questions": "ad_first_answer",
+    "hellaswag": "ad_hellaswag", "truthfulqa": "ad_best_answer", "ultrafeedback": "ad_last_assistant",
+    "wikiqa": "ad_first_positive", "kjv_bible": "ad_sliding", "bigbench_hard": "ad_pair", "bbh": "ad_pair",
+    "owasp": "ad_question_answer",
+}
+
+
+@query
+def set_corpus_all(spark, sf_dir):
+    """Every adapter's samples, in the order of training."""
+    if set(ADAPTER_QUERIES) != set(ADAPTERS):
+        raise ValueError("an adapter without a raw table")
+    return union_corpus([(n, QUERIES[ADAPTER_QUERIES[n]](spark, sf_dir)) for n in catalog.training_order(list(ADAPTERS))])
+
+
 @query
 def corpus_build(spark, sf_dir):
     """Every dataset adapted, split and written; one without an adapter is only reported."""

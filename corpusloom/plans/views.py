@@ -206,6 +206,16 @@ SHAPES: dict[str, tuple[str, list[str], list[str] | None]] = {
         ],
         None,
     ),
+    "v_risk_2023": (
+        "part",
+        [
+            "p_partkey AS source_id",
+            "concat('intro LLM01 is meant\\nLLM01:2025 ', p_name, '\\nDescription\\n', p_type, '\\nTypes of risk\\n1.\\n"
+            "Prevention and Mitigation Strategies\\n', p_brand, '\\nExample Attack Scenarios\\n', p_type, ' ', p_size, "
+            "'\\nReference Links\\nx', 'LLM02:2025 - ', p_brand, '\\nDescription\\n', p_name) AS text",
+        ],
+        None,
+    ),
 }
 
 

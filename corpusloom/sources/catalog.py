@@ -182,3 +182,9 @@ def published_scores(spark: SparkSession) -> DataFrame:
 def ordered_subset(df: DataFrame, names: Sequence[str], column: str = "name") -> DataFrame:
     """Rows whose name is listed, in the order of the list."""
     return df.join(name_list(df.sparkSession, names, column), column).orderBy("pos")
+
+
+def training_order(names: Sequence[str]) -> list[str]:
+    """The names in the order they are used: the listed ones first, then the others by name."""
+    listed = [n for n in BENCHMARK_ORDER if n in names]
+    return listed + sorted(set(names) - set(listed))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.unions import list_normalize
 from corpusloom.operators.adapters import SOURCE_ID
+from corpusloom.operators.blocks import fold, in_order, join_blocks, summarise, up_to_here, with_block
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
 from corpusloom.session import local_table
@@ -115,8 +116,46 @@ def capped_configs(df: DataFrame, config_col: str, configs: Sequence[str], id_co
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A file that holds one JSON array. Such a file cannot be split, so one task reads each file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The objects of files that hold one JSON array each, read by as many tasks as a file has splits.
+
+    Spark's text reader cuts the files at every closing brace, whatever split it lies in. Which braces end a record
+    follows from two running sums over the pieces of a file: the quotes so far tell whether a piece begins inside a
+    string, the braces outside strings how deep it ends; a record ends where the depth is back at zero. The sums run over
+    blocks (``blocks``), so no task holds a file; the pieces of a record are put together again and parsed by
+    ``schema``. Files of objects one behind the other, without an array around them, read the same.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
+        "value",
+    )
+    order = [F.asc("_file"), F.asc("_split"), F.asc("_row")]
+    placed = in_order(pieces, order, "_pos", "json-pieces").drop("_split", "_row")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    quotes = F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"'), F.lit("")))
+    rows = with_block(placed.withColumn("_quotes", quotes), ["_file"], "_pos")
+    rows = _running(rows, "_quotes", "_so_far")
+    inside = (F.col("_so_far") - F.col("_quotes")) % 2 == 1
+    rest = F.when(inside, F.regexp_replace(bare, '(?s)^[^"]*("|$)', "")).otherwise(bare)
+    outside = F.regexp_replace(F.regexp_replace(rest, '"[^"]*"', ""), '(?s)"[^"]*$', "")
+    opened = F.char_length(outside) - F.char_length(F.replace(outside, F.lit("{"), F.lit("")))
+    closed = F.when(F.col("_so_far") % 2 == 0, 1).otherwise(0)
+    rows = _running(rows.withColumn("_deeper", opened - closed), "_deeper", "_depth")
+    ends = F.when((F.col("_depth") == 0) & (closed == 1), 1).otherwise(0)
+    rows = _running(rows.withColumn("_ends", ends), "_ends", "_record")
+    record = (F.col("_record") - F.col("_ends")).alias("_record")
+    parts = F.sort_array(F.collect_list(F.struct("_pos", "value")))
+    text = F.concat(F.array_join(F.transform(parts, lambda p: p["value"]), "}"), F.lit("}"))
+    records = rows.groupBy("_file", record).agg(text.alias("_text"), F.max("_ends").alias("_whole")).filter("_whole = 1")
+    return records.select(F.from_json(F.regexp_replace("_text", "^[^{]*", ""), schema).alias("_r")).select("_r.*")
+
+
+def _running(blocked: DataFrame, column: str, name: str) -> DataFrame:
+    """Running sum of a column of blocked rows, the row itself included."""
+    states = fold(summarise(blocked, _sum=F.sum(column)), before={"_before": F.sum("_sum")})
+    rows = join_blocks(blocked.withColumn("_inner", F.sum(column).over(up_to_here("_pos"))), states)
+    return rows.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inner")).drop("_before", "_inner")
 
 
 def to_dataset(spark: SparkSession, rows: Sequence, schema: T.StructType | str) -> DataFrame:

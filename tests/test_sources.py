@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,26 @@ def test_adapters_accept_their_schema(spark, name):
 
 def test_every_adapter_has_a_schema():
     assert set(RAW) <= set(ADAPTERS) and len(RAW) == 33
+
+
+def test_json_arrays_are_split(spark, tmp_path):
+    """Strings with braces, quotes and escapes, nested objects, blanks and several files; equal to the reader that does not split."""
+    rng = random.Random(6)
+    bits = ["}", "{", '"', "\\", "]", "[", ",", "é漢", "\n", " ", "a", "\\\"", "x: 1"]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+    ddl = "id long, s string, n struct<a: string, b: array<struct<c: string>>>"
+    for number in range(2):
+        data = [{"id": number * 1000 + i, "s": text(), "n": {"a": text(), "b": [{"c": text()} for _ in range(i % 4)]}} for i in range(300)]
+        data[5] = {"id": number * 1000 + 5}
+        whole = json.dumps(data, indent=number or None, ensure_ascii=bool(number))
+        (tmp_path / f"part{number}.json").write_text(whole, encoding="utf-8")
+    (tmp_path / "empty.json").write_text("[ ]\n")
+    expected = spark.read.schema(ddl).option("multiLine", True).json(str(tmp_path / "part*.json"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = tables.read_json_array(spark, str(tmp_path), ddl)
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 5
+        assert rows(got) == rows(expected)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
