@@ -28,7 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_UNITS = 1_500_000
+MEMO_BYTES = 300 << 20  # of units and their ids, with what Python adds to each
+MEMO_ENTRY = 220  # bytes that Python adds
+MEMO_CHARS = 256  # longest unit that is remembered
 DOCS_AT_ONCE = 256
 
 
@@ -190,17 +192,26 @@ class ByteBpe:
 
 
 class Memo:
-    """Ids (little-endian, 32 bits) of units: those behind a blank by their text after it, others by their whole text."""
+    """Ids (little-endian, 32 bits) of units: those behind a blank by their text after it, others by their whole text.
 
-    def __init__(self, most: int = MEMO_UNITS) -> None:
+    It holds units of at most MEMO_CHARS characters, and about MEMO_BYTES of them and their ids.
+    """
+
+    def __init__(self, most: int = MEMO_BYTES) -> None:
         self.behind: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {"": b""}
-        self.most = most
+        self.most, self.size = most, 0
 
     def trim(self) -> None:
-        if len(self.behind) + len(self.other) > self.most:
+        if self.size > self.most:
             self.behind.clear()
             self.other = {"": b""}
+            self.size = 0
+
+    def keep(self, known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+        short = {u: ids for u, ids in fresh.items() if len(u) <= MEMO_CHARS}
+        known.update(short)
+        self.size += MEMO_ENTRY * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
 
 
 def encode_by_units(
@@ -233,13 +244,16 @@ def encode_by_units(
         gaps.append(gap)
     others = list({u for units, _ in cut for u in units}.difference(memo.other))
     behind = list(lacking)
-    memo.behind.update(zip(behind, encode([p[1:] if p[:1] == GLUED else " " + p for p in behind]), strict=True))
-    memo.other.update(zip(others, encode(others), strict=True))
+    new_behind = dict(zip(behind, encode([p[1:] if p[:1] == GLUED else " " + p for p in behind]), strict=True))
+    new_others = dict(zip(others, encode(others), strict=True))
+    both = {u: memo.other[u] for units, _ in cut for u in units if u in memo.other} | new_others
+    memo.keep(memo.behind, new_behind)
+    memo.keep(memo.other, new_others)
     out = []
     for (units, parts), ids, gap in zip(cut, found, gaps, strict=True):
         for i in gap:
-            ids[i] = memo.behind[parts[i]]
-        out.append(b"".join([*map(memo.other.__getitem__, units), *ids]))
+            ids[i] = new_behind[parts[i]]
+        out.append(b"".join([*map(both.__getitem__, units), *ids]))
     return out
 
 

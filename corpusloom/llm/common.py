@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import fresh_path
+
 # A word is a run of anything but these six characters. They are also what bytes.split() splits at.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -22,10 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder below the one all executors share: spark.checkpoint.dir, else one beside the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A new folder below the one all executors share; a cluster has to name that one in spark.checkpoint.dir."""
+    return fresh_path(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

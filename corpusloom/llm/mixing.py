@@ -92,7 +92,7 @@ def due(q: Column, ramp: Column) -> Column:
 
 
 def mix(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and the position of the first copy, for every row.
+    """doc_id, size, source_size, target, taken, copies and the positions of the first and the last copy, for every row.
 
     Prefix sums go over the buckets of each source (at most 4,096 rows) and then inside each bucket, so a source with a
     third of all rows is spread like any other.
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, *more: str) -> DataFrame:
     more_ = (F.col("before") * 2 + F.col("size")).cast("double") <= rest * F.lit(2.0)
     copies = F.when(F.col("size") > 0, passes + F.when(more_, 1).otherwise(0)).otherwise(0).cast("long")
     q = (F.col("before").cast("double") + F.col("size").cast("double") / F.lit(2.0)) / target
+    last = q + (F.col("copies") - 1).cast("double") * words / target
     rows = rows.withColumn("copies", copies)
     return rows.select(
         "doc_id",
@@ -132,13 +133,25 @@ def mix(docs: DataFrame, *more: str) -> DataFrame:
         (F.col("copies") * F.col("size")).alias("taken"),
         "copies",
         F.when(F.col("copies") > 0, F.round(due(F.least(q, F.lit(1.0)), F.col("ramp")), 9)).alias("position"),
+        F.when(F.col("copies") > 0, F.round(due(F.least(last, F.lit(1.0)), F.col("ramp")), 9)).alias("last_position"),
         "before",
         "ramp",
         *more,
     )
 
 
-RESULT = ("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+RESULT = ("doc_id", "size", "source_size", "target", "taken", "copies", "position", "last_position")
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """The result columns of every row, range-sorted by the position of the first copy; rows that are not taken come last.
+
+    MOST bounds the copies of a row by two, so the first and the last position are all of them.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last("position"), F.asc_nulls_last("doc_id")]
+    rows = stored(mix(docs).select(*RESULT), "mix")
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
 def training_order(docs: DataFrame) -> DataFrame:
@@ -198,6 +211,9 @@ due AS (
          1.0::DOUBLE - ramp AS flat FROM counted)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies,
        CASE WHEN copies > 0 THEN round(2.0::DOUBLE * q / (flat + sqrt(flat * flat + 4.0::DOUBLE * ramp * q)), 9) END
-         AS position
-FROM due
+         AS position,
+       CASE WHEN copies > 0 THEN round(2.0::DOUBLE * r / (flat + sqrt(flat * flat + 4.0::DOUBLE * ramp * r)), 9) END
+         AS last_position
+FROM (SELECT *, least((before::DOUBLE + size::DOUBLE / 2.0::DOUBLE) / target
+                      + (copies - 1)::DOUBLE * source_size::DOUBLE / target, 1.0::DOUBLE) AS r FROM due) AS d
 """

@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(*mixing.RESULT)
+    return mixing.in_order(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -256,14 +256,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def roots_of(prints: DataFrame, *first: Column) -> DataFrame:
+    """fp, root of every fingerprint, and the given aggregates over the rows that have it. prints: stored."""
+    distinct = prints.groupBy("fp").agg(*first)
+    roots = components(links(distinct.select("fp")))
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return joined.select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = stored(fingerprints(docs), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    member = roots_of(prints, F.min("doc_id").alias("least"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = member.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
@@ -272,10 +276,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one that names it, once.
+    """The rows of ``docs`` with one row of each component: the one with the smallest doc_id (null last), and of several
+    with that id the one with the smallest hash of all its columns.
 
-    Rows without doc_id can't be named and stay.
+    So rows that share an id but not a component all have a say, and of rows that are equal throughout one stays.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), whole.alias("tie"))
+    rows = rows.withColumn("id", F.col("row.doc_id").cast("long"))
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tie")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(simhashes(byte_texts(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), found], ["id", "tie", "fp"])
+
+    texts = rows.select("id", "tie", F.col("row.text").cast("string").alias("text"))
+    prints = stored(texts.mapInArrow(printed, "id long, tie long, fp long"), "simhash")
+    member = roots_of(prints, F.min(place).alias("least"))
+    kept = member.groupBy("root").agg(F.min("least").alias("k")).select(
+        F.col("k.unnamed").alias("unnamed"), F.coalesce("k.id", F.lit(0)).alias("id"), F.col("k.tie").alias("tie")
+    )
+    keyed = rows.select("row", F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), "tie")
+    survivors = keyed.join(kept, ["unnamed", "id", "tie"], "left_semi").dropDuplicates(["unnamed", "id", "tie"])
+    return survivors.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

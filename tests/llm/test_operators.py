@@ -541,3 +541,25 @@ def test_pipeline_stages(spark):
     done = corpus_pipeline.run(spark, sf_dir)
     assert set(docs.columns) < set(done.columns)
     assert done.count() > 0 and done.where("n_tokens * 4 <> octet_length(ids)").count() == 0
+
+
+def test_near_duplicate_survivors_with_repeated_ids(spark):
+    """Ids that stand for several texts, copies under other ids, rows without id, rows that are equal throughout."""
+    rng = random.Random(5)
+    a, b, c = (text_of(rng, 60) for _ in range(3))
+    made = [(7, a, "x"), (7, b, "x"), (3, a, "x"), (None, c, "x"), (None, c, "y"), (9, None, "x"), (9, None, "x"), (8, "", "x")]
+    docs = spark.createDataFrame([(i, t, s, 1, "clash") for i, t, s in made], "doc_id long, text string, source string, tie int, row string")
+    for parts in (1, 5):
+        kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs.repartition(parts)).collect()), key=str)
+        assert kept == sorted([(3, a), (7, b), (None, c), (8, "")], key=str)
+        assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = bpe.Memo(2_000)
+    encode = lambda units: [u.encode() for u in units]
+    texts = [f"w{i} x{i} " + "y" * 5_000 for i in range(50)]
+    for text in texts:
+        assert bpe.encode_by_units([text], memo, encode, []) == [text.encode()]
+        assert all(len(u) <= bpe.MEMO_CHARS for u in [*memo.behind, *memo.other])
+        assert memo.size <= 2_000 + 5 * (bpe.MEMO_ENTRY + 20)
