@@ -42,7 +42,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Both directions in one pass over the rows: the ids, and the text that they decode to."""
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return bpe.both_ways(docs.select(*rest, "text")).select(*rest, "text", "ids", n_tokens)
+    columns = [F.col(f"`{c}`") for c in rest]
+    return bpe.both_ways(docs.select(*columns, "text")).select(*columns, "text", "ids", n_tokens)
 
 
 STAGES: list[tuple[str, Stage]] = [
