@@ -1,7 +1,7 @@
 """Vectors: embedding trees, moments, drift and padding.
 
-Sums run over one accumulator per dimension (``dims`` is the fixed length of the vectors), so a row is one row
-in the aggregate rather than ``dims`` exploded ones, and tasks combine before the shuffle.
+``dims`` is the fixed length of the vectors. Sums run over slices of a vector with one accumulator per place in a
+slice, so a row is a few rows in the aggregate rather than ``dims`` exploded ones, and tasks combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from corpusloom.session import cut_lineage
 
 DRIFT_LAMBDA = 1_000.0
 NORM_SCALE = 1e-6
+SLICE = 64  # cells of a vector that are summed side by side
 
 
 def per_dim(vec: str, dims: int, aggregate: str) -> Column:
@@ -151,16 +152,26 @@ def embedding_tree(
 def second_moment(
     df: DataFrame, key: str, vec: str, dims: int, divisor: str = "rows", batch_size: int = 32
 ) -> DataFrame:
-    """Sum of squares per key and dimension over the number of rows or of batches: (key, idx, moment)."""
-    n = F.count(F.lit(1))
-    if divisor == "batches":
-        n = F.ceil(n / F.lit(batch_size))
-    elif divisor != "rows":
+    """Sum of squares per key and dimension over the number of rows or of batches: (key, idx, moment).
+
+    A vector goes in slices of SLICE cells, each with its number, to SLICE accumulators: plan and buffers are of one size
+    whatever ``dims``, and tasks combine before the shuffle. A null vector counts as a row of nulls.
+    """
+    if divisor not in ("rows", "batches"):
         raise ValueError("divisor is 'rows' or 'batches'")
-    sums = df.groupBy(key).agg(per_dim(vec, dims, "sum({x} * {x})").alias("_sums"), n.alias("_n"))
-    return sums.select(key, "_n", F.posexplode("_sums").alias("idx", "_sum")).select(
-        key, "idx", (F.col("_sum") / F.col("_n")).alias("moment")
-    )
+    wrong = F.raise_error(F.lit(f"a vector has not {dims} cells")).cast(df.schema[vec].dataType)
+    checked = F.when(F.col(vec).isNull() | (F.size(vec) == dims), F.col(vec)).otherwise(wrong)
+    width = min(SLICE, dims)
+    begins = F.sequence(F.lit(0), F.lit(-(-dims // width) - 1))
+    slices = F.transform(begins, lambda s: F.slice(checked, s * width + 1, width))
+    rows = df.select(key, F.posexplode(slices).alias("_slice", "_cells"))
+    cells = [F.get("_cells", F.lit(i)).cast("double") for i in range(width)]
+    n = F.count(F.lit(1))
+    n = F.ceil(n / F.lit(batch_size)) if divisor == "batches" else n
+    sums = rows.groupBy(key, "_slice").agg(F.array(*[F.sum(x * x) for x in cells]).alias("_sums"), n.alias("_n"))
+    each = sums.select(key, "_n", "_slice", F.posexplode("_sums").alias("_at", "_sum"))
+    idx = (F.col("_slice") * width + F.col("_at")).alias("idx")
+    return each.select(key, idx, (F.col("_sum") / F.col("_n")).alias("moment")).filter(F.col("idx") < dims)
 
 
 def weighted_drift(current: DataFrame, snapshots: DataFrame, lam: float = DRIFT_LAMBDA) -> DataFrame:

@@ -103,3 +103,18 @@ def test_vectors_of_another_length_stop_the_tree(spark):
     bad = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0])], "doc int, seq long, vec array<float>")
     with pytest.raises(Exception, match="has not 2 cells"):
         vectors.embedding_tree(bad, "doc", "seq", "vec", 2).collect()
+
+
+@pytest.mark.parametrize("dims", [1, 63, 64, 65, 768, 4096])
+def test_second_moment_of_any_width(spark, dims):
+    data = [("a", [float((i * 7 + d) % 5) for d in range(dims)]) for i in range(6)] + [("b", [1.0] * dims), ("b", None)]
+    df = spark.createDataFrame(data, "k string, v array<float>").repartition(3)
+    got = {(r["k"], r["idx"]): r["moment"] for r in vectors.second_moment(df, "k", "v", dims).collect()}
+    assert got == {
+        **{("a", d): pytest.approx(sum(v[d] ** 2 for k, v in data[:6]) / 6) for d in range(dims)},
+        **{("b", d): 0.5 for d in range(dims)},
+    }
+    plan = vectors.second_moment(df, "k", "v", dims)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(") <= 3 * vectors.SLICE
+    with pytest.raises(Exception, match="cells"):
+        vectors.second_moment(df, "k", "v", dims + 1).collect()
