@@ -51,7 +51,7 @@ def dealt_lookup(
     The rows of a key are dealt to ceil(rows / ``group_rows``) tasks by a hash of ``spread_by``, and the key's one
     reference row is copied as often; keys of ``group_rows`` rows or fewer are joined as usual. So the copies
     are at most rows / ``group_rows``, whatever the keys. The count per key runs when this is called; a caller who
-    knows that ``df`` has few rows in all (``n_rows``) spares it.
+    knows that no key has more than ``n_rows`` rows, and these are few, spares it.
     """
     if n_rows is not None and n_rows <= group_rows:
         return df.join(reference, F.col(key) == F.col(reference_key), "left")

@@ -87,7 +87,8 @@ def gather_contexts(
     """(id, context): the texts of each message's path, in its order, joined by line ends; messages without a path are left out."""
     bodies = nodes.select(F.col("id").alias("_above"), (F.substring("body", 1, max_len) if max_len else F.col("body")).alias("_body"))
     steps = links.select("id", F.posexplode("path").alias("_at", "above"))
-    texts = dealt_lookup(steps, bodies, "above", "_above", spread_by="id", group_rows=group_rows)
+    # a message is above another once at most, so no key has more rows than there are messages
+    texts = dealt_lookup(steps, bodies, "above", "_above", spread_by="id", group_rows=group_rows, n_rows=nodes.count())
     ordered = F.sort_array(F.collect_list(F.struct("_at", "_body")))
     joined = F.array_join(F.transform(ordered, lambda t: t["_body"]), "\n")
     return texts.groupBy("id").agg((F.substring(joined, 1, max_len) if max_len else joined).alias("context"))
