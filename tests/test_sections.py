@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from corpusloom.operators import sections
 from tests.conftest import rows
 
@@ -59,3 +62,29 @@ def test_split_keeps_all_text_after_the_first_heading(spark):
     heading = sections.FORMS[2021].cut
     parts = [r["section"] for r in sections.split_sections(df, "text", heading).orderBy("section_no").collect()]
     assert "".join(parts) == TEXT_2021[TEXT_2021.index("A01") :]
+
+
+def test_fields_behind_titles_equal_a_pattern_per_title(spark):
+    """Random texts with markers at odd places, against the pattern that searches each title in the whole text."""
+    rng = random.Random(8)
+    bits = ["A01:2021 - Risk", "A02 : 2021 – Risk two", "A03:2021-Prevention", "\n", " ", "Prevention", "Risk", "Risk two", "x", "\t", "Example Scenario:"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    form = sections.FORMS[2021]
+    expected = []
+    for doc, text in enumerate(texts):
+        parts = [p for p in re.split(f"(?={form.cut})", text) if re.match(form.cut, p)]
+        for number, part in enumerate(parts):
+            title = re.search("^" + form.heading + r"(\S[^\n]*)", part)
+            title = title.group(1).strip() if title else ""
+            found = re.search("(?s)" + re.escape(title) + r"\s*Prevention(.+?)(?=A\d{2}\s*:\s*2021|\Z)", text)
+            expected.append((doc, number, title, found.group(1).strip() if found else ""))
+    parsed = sections.parse_sections(df, "text", 2021).select("doc", "section_no", "title", "prevention")
+    assert sorted(map(tuple, parsed.collect())) == sorted(expected)
+
+
+def test_one_pass_per_document(spark):
+    df = spark.createDataFrame([("doc", TEXT_2021)], "doc string, text string")
+    plan = sections.parse_sections(df, "text", 2021)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "isnotnull(text" not in plan.split("Generate")[0].replace("_s", "")
+    assert len(re.findall(r"split\(text", plan)) == 2  # sections, and what lies between the marks
