@@ -121,6 +121,39 @@ def prefix_context(
     )
 
 
+def prefix_lengths(
+    df: DataFrame, keys: Sequence[str], order: str, text: str, name: str = "context_chars", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The length of each row's ``prefix_context``, 0 for a group's first row, without building any context.
+
+    The stripped context reaches from the first to the last character before the row that is no blank. So three running
+    figures are enough: the characters so far, and the least and the greatest place of a text's own ends.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    inner = strip(value)
+    lead = F.when(inner != "", F.instr(value, inner) - 1)  # its first place, for it begins with no blank
+    blocked = with_block(df, keys, order, block_rows)
+    before = in_block(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocked.withColumns({"_size": (F.length(value) + 1).cast("long"), "_lead": lead, "_own": F.length(inner)})
+    rows = rows.withColumn("_begin", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    rows = rows.withColumns({"_from": F.col("_begin") + F.col("_lead"), "_to": F.col("_begin") + F.col("_lead") + F.col("_own")})
+    rows = rows.withColumns({"_low1": F.min("_from").over(before), "_high1": F.max("_to").over(before)})
+    prior = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summarise(rows, _chars=F.sum("_size"), _first=F.min("_from"), _last=F.max("_to"))
+    summary = summary.withColumn("_base", F.coalesce(F.sum("_chars").over(prior), F.lit(0)))
+    states = summary.select(
+        KEY,
+        BLOCK,
+        "_base",
+        F.min(F.col("_base") + F.col("_first")).over(prior).alias("_low0"),
+        F.max(F.col("_base") + F.col("_last")).over(prior).alias("_high0"),
+    )
+    low = F.least("_low0", F.col("_base") + F.col("_low1"))
+    high = F.greatest("_high0", F.col("_base") + F.col("_high1"))
+    placed = join_blocks(rows, states).withColumn(name, F.coalesce(high - low, F.lit(0)))
+    return placed.select(*df.columns, name)
+
+
 def running_avg(
     df: DataFrame,
     keys: Sequence[str],

@@ -705,14 +705,14 @@ def corpus_build(spark, sf_dir):
 
 @query
 def corpus_slice(spark, sf_dir):
-    """Dialogue prefixes -> samples -> split by conversation -> size and mean context length."""
-    rows = windows.prefix_context(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
-    kept = filters.require(rows.withColumn("target", strip("text")), "context", "target")
+    """Dialogue prefixes -> samples -> split by conversation -> size and mean context length; only lengths travel."""
+    rows = windows.prefix_lengths(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    kept = filters.require(rows.withColumn("target", strip("text")), "target").filter("context_chars > 0")
     tagged = sampling.split_hash(kept, "conv_id").withColumn("task", task_of("target"))
     return tagged.groupBy("split", "task").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.countDistinct("conv_id").alias("n_conversations"),
-        F.round(F.avg(F.length("context")), 6).alias("mean_context_chars"),
+        F.round(F.avg("context_chars"), 6).alias("mean_context_chars"),
     )
 
 

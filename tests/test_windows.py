@@ -81,6 +81,16 @@ def test_prefix_context_with_a_limit(df, table, size, limit):
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_prefix_lengths(df, table, size):
+    got = rows(windows.prefix_lengths(df, ["g"], "o", "t", "n", size).select("g", "o", "n"))
+    expected = []
+    for g, rs in grouped(table).items():
+        texts = [r[2] or "" for r in rs]
+        expected += [(g, rs[i][1], len(" ".join(texts[:i]).strip())) for i in range(len(rs))]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
 @pytest.mark.parametrize("size", [1, 9, 10_000])
 def test_ordered_concat(df, table, size):
     got = rows(windows.ordered_concat(df, ["g"], "o", "t", "|", block_rows=size))
