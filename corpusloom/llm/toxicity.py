@@ -1,26 +1,29 @@
-"""Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
-
-Kernel: two character strings are alike by the three-character subsequences they share, each weighing DECAY to the power
-of the stretch it covers (up to SPAN characters), normalised to 1 for equal strings. Inserted characters and gaps only
-lengthen a stretch, so 'id-iot' stays close to 'idiot'. Nystroem: a string is described by its kernel with landmark
-strings, whitened by the landmarks' own kernel matrix; a linear machine on that description is, summed up, one weight
-per subsequence, so a string is scored from a table.
-
-A text is cut into sentences at . ! ? and line ends, a sentence into strings: its words without outer punctuation,
-words without inner punctuation, and runs of three or more single characters in a row joined up. A text is described by the largest margin of its strings
-and by how many of them are surely toxic; a logistic curve turns that into a score.
-
-Training: documents marked toxic or not, folds 1 to 4 of 5 by crc32 of the id, at most TRAIN_DOCS in the order of a
-seeded hash, half of them toxic where there are as many. Landmarks are the strings that tell the two kinds apart best,
-and strings common in clean texts. Toxic texts teach through their telling strings, clean ones through all of theirs.
+"""Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks, over sentences.
+
+Strings: a text is lower-cased and cut into sentences at line ends and at . ! ? before a blank. A sentence is a string of
+characters, blanks and signs among them; its windows are all runs of WINDOW characters, which never cross its ends.
+Kernel: two windows are alike by the three-character subsequences they share, each weighing DECAY to the power of the
+stretch it covers (up to SPAN characters), divided by that of a window whose subsequences all differ. Inserted characters,
+blanks and gaps only lengthen a stretch, so 'id-iot', 'id iot' and 'idxxiot' stay close to 'idiot'. Nystroem: a window is
+described by its kernel with landmark windows of both kinds, whitened by the landmarks' own kernel matrix. A linear
+machine on that description is, summed up, one weight per subsequence, so that windows are scored from a table. The
+margin of a sentence is its best window's; that of the best sentence gives the score.
+
+Training: documents marked toxic or not, folds 1 to 4 of 5 by crc32 of the id; at most TRAIN_DOCS rows in the order of a
+seeded hash, half of them toxic where there are as many. Labels are of texts, so the toxic windows are found in rounds
+(multiple instances): words that toxic texts share and clean ones lack begin, then each text's best window takes
+part. Each toxic place also trains through changed copies: letters put in or doubled, blanks, signs and digits inside.
+Clean windows are taken evenly, then those that come closest to the toxic ones. The curve from margins to scores comes
+from texts that the machine at hand was not trained on (PARTS of the training rows in turn).
 Labels, language, source and id are no inputs of a score.
 
-Null and empty texts have the margin of no string, below all others. Without labels of both kinds every score is 0.
-Repeated rows give repeated rows. A null doc_id is in no fold and counts as not held out.
+Null and empty texts have the margin of no characters. Without labels of both kinds, or without words that toxic texts
+share, every score is 0. Repeated rows give repeated rows. A null doc_id is in no fold and counts as not held out.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,271 +33,362 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import byte_texts, fold_of
+from corpusloom.functions.hashing import seeded_hash
+from corpusloom.llm.common import byte_texts, fold_of, slices
 
 FOLDS = 5
 HELD_OUT = 0
-TRAIN_DOCS = 2000  # bound of the labelled sample
-LANDMARKS = 96  # of each kind
-MIN_TOXIC = 5  # training texts a telling string occurs in
-CLEAN_RATIO = 20  # so much rarer it is in clean texts
-DECAY = 0.7
+TRAIN_DOCS = 2000  # bound of the labelled sample, in rows
+DECAY = 0.75
 SPAN = 8
-WINDOW = 16  # longer strings are scored window by window, half a window apart
-TOXIC_SHARE = 0.4  # of the weight in training
-SURE = 0.9  # margin of a string that counts as toxic by itself
-STEPS = 30
-RIDGE = 1e-5
+WINDOW = 12
+LANDMARKS = 320  # of each kind
+MIN_TOXIC = 4  # training texts a beginning word occurs in
+CLEAN_RATIO = 20  # so much rarer it is in clean texts
+ROUNDS = 3
+PLACES = 1000  # toxic places of the sample a machine is trained on at most, taken evenly
+PLAIN = 2  # copies of a toxic place as it is between clean words
+CHANGES = 6  # and changed ones, one of each kind
+EVEN = 5000  # clean windows taken evenly
+CLEAN_SHARE = 0.7  # weight of clean windows
+CLOSE = 5000  # clean windows that come closest, in each round
+RIDGE = 2e-5
+PARTS = 3  # of the training rows, each judged by a machine of the others, for the curve
+STEPS = 20
+MISSED = 3.0  # a missed toxic text weighs as much as so many false ones
+REACH = 1.5  # margins beyond count as this
 SEED = 42
-MEMO_STRINGS = 500_000
+CHUNK = 1 << 16  # windows scored at once
+
+# Codes: letters, a blank, a sign, digits by rest of three, the end of a sentence, and the last byte of other characters
+# by its rest of 32, which is the same for small and capital letters of many scripts. First bytes of those are left out.
 LETTERS = 64
-BLOCK = 8192  # training strings worked on at once
-OUTER = b".,;:!?\"'()[]{}<>|#*$%&-_/\\"
-INNER = b"-._*+~'"
-SENTENCE = re.compile(rb"[.!?\n]+(?=\s|$)")
-SINGLES = re.compile(rb"(?:(?<=\s)|^)[^\s](?:[ .\-_*][^\s]){2,}(?=[\s.,;:!?]|$)")
-CODE = np.array(
-    [b - 97 if 97 <= b < 123 else 26 + b % 38 for b in range(256)], dtype=np.int64
-)
-
-
-def strings(sentence: bytes) -> list[bytes]:
-    """The strings of a lower-cased sentence (or text)."""
-    found = [w for w in (w.strip(OUTER) for w in sentence.split()) if w]
-    found += [bare for w in found if not w.isalnum() and (bare := w.translate(None, INNER)) not in (w, b"")]
-    for run in SINGLES.findall(sentence):
-        found.append(bytes(c for c in run if c not in b" .-_*"))
-    return found
-
-
-def windows(s: bytes) -> list[bytes]:
-    s = b"^" + s  # its beginning tells a string too
-    if len(s) <= WINDOW:
-        return [s]
-    return [s[i : i + WINDOW] for i in range(0, len(s) - WINDOW // 2, WINDOW // 2)]
-
-
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all subsequences of length three within SPAN, and their weights."""
-    found = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))]
-    at = np.array(found, dtype=np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
-
-
-TRIPLES = {n: _triples(n) for n in range(3, WINDOW + 1)}
-
-
-def features(same_length: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence codes of strings of one length (row by row), and normalised weights, summed at the first of equals."""
-    n = len(same_length[0])
-    at, weight = TRIPLES[n]
-    codes = CODE[np.frombuffer(b"".join(same_length), dtype=np.uint8)].reshape(-1, n)
-    triple = (codes[:, at[:, 0]] * LETTERS + codes[:, at[:, 1]]) * LETTERS + codes[:, at[:, 2]]
-    order = np.argsort(triple, axis=1)
-    triple = np.take_along_axis(triple, order, 1)
-    spread = weight[order]
-    first = np.ones(triple.shape, dtype=bool)
-    first[:, 1:] = triple[:, 1:] != triple[:, :-1]
-    starts = np.flatnonzero(first.ravel())
-    sums = np.add.reduceat(spread.ravel(), starts)
-    out = np.zeros(triple.size)
-    out[starts] = sums
-    out = out.reshape(triple.shape)
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return triple, out / norm
-
-
-def by_length(some: list[bytes]) -> dict[int, list[int]]:
-    groups: dict[int, list[int]] = {}
-    for i, s in enumerate(some):
-        groups.setdefault(len(s), []).append(i)
-    return groups
-
-
-def weighed(some: list[bytes], table: np.ndarray, row_of: np.ndarray | None = None) -> np.ndarray:
-    """For each string (a window at most): the table's weights of its subsequences, summed.
-
-    table: a row for each code, or for each row_of[code]; one subsequence after the other, so memory stays small.
-    """
-    out = np.zeros((len(some), table.shape[1]))
-    for n, rows in by_length(some).items():
-        if n >= 3:
-            for start in range(0, len(rows), 1024):
-                part = rows[start : start + 1024]
-                codes, values = features([some[i] for i in part])
-                at = codes if row_of is None else row_of[codes]
-                if table.shape[1] == 1:
-                    out[part, 0] = (values * table[at, 0]).sum(axis=1)
-                    continue
-                total = np.zeros((len(part), table.shape[1]))
-                for t in range(at.shape[1]):
-                    total += values[:, t, None] * table[at[:, t]]
-                out[part] = total
+BLANK, SIGN, DIGIT, END, OTHER = 26, 27, 28, 31, 32
+
+
+def _codes() -> np.ndarray:
+    out = np.full(256, SIGN, dtype=np.uint8)
+    for b in range(26):
+        out[97 + b] = out[65 + b] = b
+    for b in range(10):
+        out[48 + b] = DIGIT + b % 3
+    out[list(b" \t\r\v\f")] = BLANK
+    out[ord("\n")] = END
+    out[128:] = OTHER + np.arange(128) % 32
+    return out
+
+
+CODE = _codes()
+STOPS = np.isin(np.arange(256), list(b".!?"))
+WORDS = re.compile(rb"[^\x1a\x1b\x1f]{3,}")
+
+
+def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of texts one after the other, ends of sentences WINDOW - 1 times, and where each text begins."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    codes = CODE[raw]
+    after = np.append(codes[1:], END)
+    codes[STOPS[raw] & ((after == BLANK) | (after == END))] = END
+    before = np.append(np.uint8(END), codes[:-1])
+    times = np.where(codes == END, WINDOW - 1, 1)
+    times[(raw >= 0xC0) | ((codes == BLANK) & ((before == BLANK) | (before == END)))] = 0
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1].astype(np.int64)
+    return np.repeat(codes, times), np.concatenate([[0], np.cumsum(times)])[at]
+
+
+def _triples() -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all subsequences of length three within SPAN in a window, and their weights."""
+    n = WINDOW
+    at = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))])
+    weight = DECAY ** (at[:, 2] - at[:, 0] + 1.0)
+    return at, weight / np.sqrt((weight**2).sum())
+
+
+TRIPLES, SPREAD = _triples()
+UNIT = float((SPREAD / DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] + 1.0))[0])
+
+
+def features(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence codes and weights of windows (a row of codes each); subsequences with an end weigh nothing."""
+    x = windows.astype(np.int32)
+    a, b, c = (x[:, TRIPLES[:, k]] for k in range(3))
+    ends = (a == END) | (b == END) | (c == END)
+    return (a * LETTERS + b) * LETTERS + c, np.where(ends, 0.0, SPREAD).astype(np.float32)
+
+
+def kernels(windows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The kernel of each window with each landmark."""
+    codes, values = features(marks)
+    used = np.unique(codes)
+    row_of = np.zeros(LETTERS**3, dtype=np.int32)  # row 0: what no landmark has
+    row_of[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(marks)), dtype=np.float32)
+    np.add.at(table, (row_of[codes], np.arange(len(marks))[:, None]), values)
+    out = np.zeros((len(windows), len(marks)), dtype=np.float32)
+    for start in range(0, len(windows), 1024):
+        part = slice(start, start + 1024)
+        codes, values = features(windows[part])
+        rows = row_of[codes]
+        for t in range(rows.shape[1]):
+            out[part] += values[:, t, None] * table[rows[:, t]]
+    return out
+
+
+def scan(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For the window at each place, the table's weights of its subsequences, summed."""
+    padded = np.concatenate([codes, np.full(WINDOW + SPAN, END, dtype=np.uint8)]).astype(np.int32)
+    out = np.empty(len(codes), dtype=np.float32)
+    for start in range(0, len(codes), CHUNK):
+        n = min(CHUNK, len(codes) - start)
+        m = n + WINDOW - 1
+        c = padded[start : start + m + SPAN]
+        pairs = [None, *((c[:m] * LETTERS + c[a : a + m]) * LETTERS for a in range(1, SPAN - 1))]
+        total = np.zeros(n)
+        for b in range(2, SPAN):
+            sums = np.zeros(m, dtype=np.float32)
+            last = c[b : b + m]
+            for a in range(1, b):
+                sums += table[pairs[a] + last]
+            run = np.concatenate([[0.0], np.cumsum(sums, dtype=np.float64)])
+            total += (UNIT * DECAY ** (b + 1)) * (run[WINDOW - b : WINDOW - b + n] - run[:n])
+        out[start : start + n] = total
     return out
 
 
 class Machine:
     """The trained machine: weights of subsequences, offset, and the logistic curve."""
 
-    def __init__(self, table: np.ndarray, offset: float, slopes: np.ndarray, shift: float) -> None:
-        self.table, self.offset, self.slopes, self.shift = table, offset, slopes, shift
-        self.memo: dict[bytes, float] = {}
+    def __init__(self, table: np.ndarray, offset: float, slope: float, shift: float) -> None:
+        self.table, self.offset, self.slope, self.shift = table.astype(np.float32), offset, slope, shift
 
     def __getstate__(self) -> dict:
         used = np.flatnonzero(self.table)
-        return {"used": used, "values": self.table[used], "rest": (self.offset, self.slopes, self.shift)}
+        return {"used": used, "values": self.table[used], "rest": (self.offset, self.slope, self.shift)}
 
     def __setstate__(self, state: dict) -> None:
-        self.table = np.zeros(LETTERS**3)
+        self.table = np.zeros(LETTERS**3, dtype=np.float32)
         self.table[state["used"]] = state["values"]
-        self.offset, self.slopes, self.shift = state["rest"]
-        self.memo = {}
-
-    def margins(self, some: list[bytes]) -> np.ndarray:
-        """Margins of strings; that of a long one is its best window's."""
-        cut = [windows(s) for s in some]
-        flat = [w for ws in cut for w in ws]
-        if not flat:
-            return np.zeros(0)
-        found = weighed(flat, self.table[:, None])[:, 0] + self.offset
-        return np.maximum.reduceat(found, np.r_[0, np.cumsum([len(ws) for ws in cut])[:-1]])
-
-    def evidence(self, some: list[bytes] | set[bytes]) -> tuple[float, float]:
-        """The largest margin of distinct strings, and the logarithm of how many reach SURE (one added)."""
-        missing = [s for s in some if s not in self.memo]
-        if missing:
-            if len(self.memo) > MEMO_STRINGS:
-                self.memo.clear()
-                missing = list(some)
-            self.memo.update(zip(missing, self.margins(missing).tolist(), strict=True))
-        margins = list(map(self.memo.__getitem__, some))
-        return max(margins, default=self.offset), float(np.log1p(sum(m >= SURE for m in margins)))
+        self.offset, self.slope, self.shift = state["rest"]
+
+    def margins(self, codes: np.ndarray) -> np.ndarray:
+        """Of the windows that begin at each character; at an end of a sentence begins none."""
+        return np.where(codes == END, np.float32(0), scan(codes, self.table)) + np.float32(self.offset)
+
+    def best(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each text: the margin of its best sentence, cut at REACH either way."""
+        return np.clip(np.maximum.reduceat(self.margins(codes), starts), -REACH, REACH)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        found = np.array([self.evidence(set().union(*map(strings, SENTENCE.split(t.lower())))) for t in texts])
-        return 1.0 / (1.0 + np.exp(-np.clip(found @ self.slopes + self.shift, -500, 500)))
+        return 1.0 / (1.0 + np.exp(-(self.best(*encode(texts)).astype(np.float64) * self.slope + self.shift)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Slopes and, last, shift of the most likely logistic curve, by Newton's steps with a little ridge."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    a = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ a, -30, 30)))
-        gradient = z.T @ (weight * (y - p)) - 1e-2 * a
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(a))
-        a = a + np.linalg.solve(curve, gradient)
-    return a
+NOTHING = Machine(np.zeros(LETTERS**3), 0.0, 0.0, -500.0)
 
 
-def trained(docs: list[tuple[int, list[bytes]]], toxic_share: float) -> Machine:
-    """From (label, distinct strings) of the sample; toxic_share: of the labelled rows before sampling."""
-    labels = np.array([y for y, _ in docs])
-    if len(set(labels.tolist())) < 2:
-        return Machine(np.zeros(LETTERS**3), 0.0, np.zeros(2), -1e3)
-    held = [sorted({w for s in ss for w in windows(s) if len(w) >= 3}) for _, ss in docs]
-    seen = [Counter(w for y, ws in zip(labels, held, strict=True) if y == k for w in ws) for k in (0, 1)]
-    n = np.bincount(labels, minlength=2)
+def sentences(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where sentences and texts begin."""
+    end = codes == END
+    return np.union1d(starts, np.flatnonzero(end[:-1] & ~end[1:]) + 1)
 
-    def tells(w: bytes) -> float:  # how much likelier in toxic texts, in standard errors
-        p1, p0 = seen[1][w] / n[1], seen[0][w] / n[0]
-        mean = (seen[1][w] + seen[0][w]) / n.sum()
-        return (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / n[1] + 1 / n[0]) + 1e-12)
-
-    telling = {w: t for w, c in seen[1].items() if c >= MIN_TOXIC and seen[0][w] * n[1] * CLEAN_RATIO < c * n[0] and (t := tells(w))}
-    toxic = sorted(telling, key=lambda w: (-telling[w], w))[:LANDMARKS]
-    clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in telling][:LANDMARKS]
-    marks = [*toxic, *clean]
-    described_by = [features([w]) for w in marks]
-    used = np.unique(np.concatenate([codes[0] for codes, _ in described_by])) if marks else np.empty(0, dtype=np.int64)
-    row_of = np.zeros(LETTERS**3, dtype=np.int32)  # row 0 is for all codes that no landmark has
-    row_of[used] = np.arange(1, len(used) + 1)
-    table = np.zeros((len(used) + 1, len(marks)))
-    for i, (codes, values) in enumerate(described_by):
-        np.add.at(table[:, i], row_of[codes[0]], values[0])
-    # strings the machine is trained on: telling ones against all of the clean sample
-    pool = sorted({*telling, *seen[0]})
-    own = weighed(marks, table, row_of)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    keep = values > 1e-4 * values[-1]
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.ones((len(pool), whiten.shape[1] + 1), dtype=np.float32)
-    for i in range(0, len(pool), BLOCK):
-        x[i : i + BLOCK, :-1] = weighed(pool[i : i + BLOCK], table, row_of) @ whiten
-    y = np.array([1.0 if w in telling else -1.0 for w in pool], dtype=np.float32)
-    count = np.array([seen[1][w] ** 2.0 if w in telling else 1.0 for w in pool])
-    for kind, total in ((1.0, TOXIC_SHARE), (-1.0, 1.0 - TOXIC_SHARE)):
-        count[y == kind] *= total / max(1e-9, count[y == kind].sum())
-    share = count.astype(np.float32)
-    weight = squared_hinge(x, y, share)
-    del x
-    summed = np.zeros(LETTERS**3)
-    summed[used] = (table @ (whiten @ weight[:-1]))[1:]
-    machine = Machine(summed, float(weight[-1]), np.zeros(2), -1e3)
-    described = np.array([machine.evidence(ss) for _, ss in docs])
-    prior = np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
-    curve = logistic(described, labels.astype(float), prior)
-    machine.slopes, machine.shift = curve[:-1], float(curve[-1])
-    return machine
+
+def window_at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    padded = np.concatenate([codes, np.full(WINDOW, END, dtype=np.uint8)])
+    return padded[places[:, None] + np.arange(WINDOW)]
+
+
+def changed(word: bytes, kind: int, rng: random.Random) -> bytes:
+    """A copy of a word's codes with a change of one of CHANGES kinds inside."""
+    at = rng.randrange(1, len(word))
+    if kind == 0:
+        return word[:at] + bytes([rng.randrange(26)]) + word[at:]
+    if kind == 1:
+        return word[:at] + bytes([rng.randrange(26)] * 2) + word[at:]
+    if kind == 2:
+        return word[:at] + word[at - 1 : at] * rng.randint(1, 2) + word[at:]
+    if kind == 3:
+        return word[:at] + bytes([BLANK]) + word[at:]
+    if kind == 4:
+        return word[:at] + bytes([SIGN]) + word[at:]
+    at = rng.randrange(1, max(2, len(word) - 1))
+    return word[:at] + bytes([rng.choice([SIGN, DIGIT, DIGIT + 1, DIGIT + 2])]) + word[at + 1 :]
+
+
+def places_of(text: bytes, words: dict[bytes, float]) -> list[tuple[int, int]]:
+    """First places of listed words in a text's codes."""
+    found: dict[bytes, tuple[int, int]] = {}
+    for m in WORDS.finditer(text):
+        if m[0] in words:
+            found.setdefault(m[0], m.span())
+    return sorted(found.values())
+
+
+def strings_at(text: bytes, start: int, end: int, clean: bytes, rng: random.Random) -> list[bytes]:
+    """A toxic place as it is, at the end of a sentence, and with changes between words of clean texts."""
+    word = text[start:end]
+    out = [text[max(0, start - 3) : start] + word + text[end : end + WINDOW], bytes([END]) + word + bytes([END])]
+    copies = [*[word] * PLAIN, *(changed(word, kind, rng) for kind in range(CHANGES))] if len(word) > 2 else []
+    for copy in copies:
+        at = rng.randrange(max(1, len(clean) - WINDOW))
+        out.append(bytes([BLANK]) + copy + bytes([BLANK]) + clean[at : at + WINDOW])
+    return out
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Weights (the last one of the constant column) of the least squared hinge loss with a ridge, by Newton's steps."""
     weight = np.zeros(x.shape[1])
-    ridge = RIDGE * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-9
+    diagonal = RIDGE * np.eye(x.shape[1])
+    diagonal[-1, -1] = 1e-9
     for _ in range(STEPS):
-        curve, pull = ridge.copy(), np.zeros(x.shape[1])
-        for i in range(0, len(x), BLOCK):
-            part = x[i : i + BLOCK].astype(np.float64)
-            counts = np.where(y[i : i + BLOCK] * (part @ weight) < 1, share[i : i + BLOCK], 0.0)
-            curve += (part * counts[:, None]).T @ part
-            pull += part.T @ (counts * y[i : i + BLOCK])
-        found = np.linalg.solve(curve, pull)
-        if np.allclose(found, weight, atol=1e-6):
+        inside = y * (x @ weight) < 1
+        part, counts = x[inside].astype(np.float64), share[inside]
+        found = np.linalg.solve(diagonal + (part * counts[:, None]).T @ part, part.T @ (counts * y[inside]))
+        if np.allclose(found, weight, atol=1e-5):
             break
         weight = found
     return weight
 
 
+def machine_of(texts: list[bytes], labels: np.ndarray) -> Machine | None:
+    """The machine of coded texts, without its curve; None where toxic texts share no words."""
+    rng = random.Random(SEED)
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, y in zip(texts, labels.tolist(), strict=True):
+        seen[y].update(set(WORDS.findall(text)))
+    n = np.bincount(labels, minlength=2)
+    telling = {w: c for w, c in seen[1].items() if c >= MIN_TOXIC and seen[0][w] * n[1] * CLEAN_RATIO < c * n[0]}
+    if not telling:
+        return None
+    toxic = [t for t, y in zip(texts, labels.tolist(), strict=True) if y == 1]
+    plain = b"".join(t for t, y in zip(texts, labels.tolist(), strict=True) if y == 0)
+    clean = np.frombuffer(plain, dtype=np.uint8)
+    lengths = np.array([len(t) for t in toxic])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    whole = np.frombuffer(b"".join(toxic), dtype=np.uint8)
+    found = {i: places_of(t, telling) for i, t in enumerate(toxic)}
+    open_places = np.flatnonzero(clean != END)
+    negative = window_at(clean, open_places[:: max(1, len(open_places) // EVEN)])
+    even = len(negative)
+    machine, marks = None, np.empty((0, WINDOW), dtype=np.uint8)
+    for step in range(ROUNDS):
+        if machine is not None:  # texts without a place take their best window, if it is a toxic one
+            margins = machine.margins(whole)
+            for i, t in enumerate(toxic):
+                own = margins[starts[i] : starts[i] + lengths[i]]
+                best = int(own.argmax())
+                if not found[i] and own[best] > 0:
+                    words = [m.span() for m in WORDS.finditer(t[best : best + WINDOW])]
+                    if words:
+                        start, end = max(words, key=lambda s: s[1] - s[0])
+                        found[i] = [(best + start, best + end)]
+        spots = [(i, *p) for i, ps in found.items() for p in ps]
+        spots = spots[:: max(1, -(-len(spots) // PLACES))]
+        pieces = [p for i, s, e in spots for p in strings_at(toxic[i], s, e, plain, rng)]
+        joined = np.frombuffer(b"".join(p + bytes([END]) * (WINDOW - 1) for p in pieces), dtype=np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(p) + WINDOW - 1 for p in pieces])[:-1]]).astype(np.int64)
+        if machine is None:
+            places = begins + np.array([1 if p[0] == END else 0 for p in pieces])
+        else:
+            margins = machine.margins(joined)
+            ends = np.append(begins[1:], len(joined))
+            places = np.array([b + int(margins[b:e].argmax()) for b, e in zip(begins, ends, strict=True)])
+        positive = window_at(joined, places)
+        if machine is not None:
+            margins = machine.margins(clean)
+            begin = sentences(clean, np.zeros(1, dtype=np.int64))
+            best = np.maximum.reduceat(margins, begin)
+            close = np.argsort(-best, kind="stable")[:CLOSE]
+            at = [begin[i] + int(margins[begin[i] : (begin[i + 1] if i + 1 < len(begin) else None)].argmax()) for i in close]
+            negative = np.concatenate([negative, window_at(clean, np.array(at, dtype=np.int64))])
+        if step < 2:  # landmarks once more when close clean windows are known
+            distinct = np.unique(positive, axis=0)
+            far = negative[even:] if step else negative
+            marks = np.concatenate([distinct[:: max(1, -(-len(distinct) // LANDMARKS))], far[:: max(1, -(-len(far) // LANDMARKS))]])
+            marks = np.unique(marks, axis=0)
+            values, vectors = np.linalg.eigh(kernels(marks, marks).astype(np.float64))
+            keep = values > 1e-4 * values[-1]
+            whiten = vectors[:, keep] / np.sqrt(values[keep])
+        negative = np.unique(negative, axis=0)
+        windows = np.concatenate([positive, negative])
+        x = np.concatenate([kernels(windows, marks) @ whiten, np.ones((len(windows), 1))], axis=1).astype(np.float32)
+        y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+        share = np.where(y > 0, (1 - CLEAN_SHARE) / len(positive), CLEAN_SHARE / len(negative))
+        weight = squared_hinge(x, y, share)
+        codes, spread = features(marks)
+        table = np.zeros(LETTERS**3)
+        np.add.at(table, codes, spread * (whiten @ weight[:-1])[:, None])
+        machine = Machine(table, float(weight[-1]), 0.0, -500.0)
+    return machine
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slope and shift of the most likely logistic curve, by Newton's steps with a little ridge."""
+    z = np.stack([x, np.ones(len(x))], axis=1)
+    a = np.zeros(2)
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(z @ a, -30, 30)))
+        gradient = z.T @ (weight * (y - p)) - 1e-2 * a
+        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        a = a + np.linalg.solve(curve, gradient)
+    return a
+
+
+def best_of(machine: Machine, texts: list[bytes]) -> np.ndarray:
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
+    return machine.best(np.frombuffer(b"".join(texts), dtype=np.uint8), starts)
+
+
+def trained(docs: list[tuple[int, bytes]], toxic_share: float) -> Machine:
+    """From (label, codes) of the sample; toxic_share: of the labelled rows before sampling."""
+    labels = np.array([y for y, _ in docs], dtype=np.int64)
+    if len(set(labels.tolist())) < 2:
+        return NOTHING
+    texts = [t for _, t in docs]
+    prior = np.where(labels == 1, MISSED * toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean()))
+    part = np.arange(len(docs)) % PARTS
+    described = np.zeros(len(docs))
+    for k in range(PARTS):
+        own, others = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        machine = machine_of([texts[i] for i in others], labels[others])
+        if machine is None:
+            return NOTHING
+        if len(own):
+            described[own] = best_of(machine, [texts[i] for i in own])
+    machine = machine_of(texts, labels)
+    machine.slope, machine.shift = map(float, logistic(described, labels.astype(float), prior))
+    return machine
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            found = [
-                sorted(set().union(*map(strings, SENTENCE.split(t.lower())))) for t in byte_texts(batch.column("text"))
-            ]
+            found = [encode([t])[0].tobytes() for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.binary()))],
-                ["doc_id", "toxic", "strings"],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "codes"]
             )
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Machine:
-    """Only the sampled rows' distinct strings come to the driver."""
-    from corpusloom.functions.hashing import seeded_hash
-
+    """Only the sampled rows come to the driver, at most ``bound`` of them, whole."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.distinct().withColumn("order", seeded_hash(F.col("doc_id"), SEED))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    some = None
-    for kind in (0, 1):
-        part = known.where(F.col("toxic") == kind).orderBy("order", "doc_id").limit(bound // 2)
-        some = part if some is None else some.union(part)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = chosen.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
-    found, same = [], {}
-    for r in rows.mapInArrow(_sample, "doc_id long, toxic int, strings array<binary>").toLocalIterator():
-        found.append((r["doc_id"], r["toxic"], [same.setdefault(s, s) for s in map(bytes, r["strings"])]))
+    found = []
+    for kind in (0, 1):
+        some = known.where(F.col("toxic") == kind).orderBy("order", "doc_id").limit(bound // 2)
+        rows = chosen.join(F.broadcast(some), "doc_id").orderBy("order", "doc_id", F.xxhash64("text")).limit(bound // 2)
+        rows = rows.select("doc_id", "toxic", "text").mapInArrow(_sample, "doc_id long, toxic int, codes binary")
+        found += [(r["doc_id"], r["toxic"], bytes(r["codes"])) for r in rows.collect()]
     found.sort()
-    return trained([(y, ss) for _, y, ss in found], float(share))
+    return trained([(y, t) for _, y, t in found], float(share))
 
 
 def _score(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = machine.scores(byte_texts(batch.column("text")))
+                scores = np.concatenate([machine.scores(byte_texts(part)) for part in slices(batch.column("text"))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),

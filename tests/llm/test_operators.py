@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -428,25 +430,100 @@ def test_toxicity_separates_held_out(spark):
     assert right >= 0.95 * len(held)
 
 
-def test_kernel_is_that_of_its_definition():
-    def plain(s, t):
-        def parts(x):
-            out = Counter()
-            for i in range(len(x)):
-                for j in range(i + 1, len(x)):
-                    for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
-                        out[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
-            return out
-
-        a, b = parts(s), parts(t)
-        norm = sum(v * v for v in a.values()) * sum(v * v for v in b.values())
-        return sum(v * b[u] for u, v in a.items()) / norm**0.5
-
-    for s, t in ((b"nitwit", b"nitwit"), (b"nit-wit", b"nitwit"), (b"aaaa", b"banana"), (b"abc", b"xyz")):
-        table = np.zeros((toxicity.LETTERS**3, 1))
-        codes, values = toxicity.features([t])
-        np.add.at(table[:, 0], codes[0], values[0])
-        assert toxicity.weighed([s], table)[0, 0] == pytest.approx(plain(s, t))
+def gapped(s: bytes, t: bytes) -> float:
+    """The kernel by a dynamic programme: pairs of equal three-character subsequences, by length, stretch and place."""
+    total = 0.0
+    for i0, j0 in itertools.product(range(len(s)), range(len(t))):  # both subsequences begin here
+        if s[i0] != t[j0] or s[i0] == toxicity.END:
+            continue
+        ways = {(i0, j0): 1.0}
+        for _ in range(2):
+            more: dict[tuple[int, int], float] = {}
+            for (i, j), n in ways.items():
+                for p, q in itertools.product(range(i + 1, min(len(s), i0 + toxicity.SPAN)), range(j + 1, min(len(t), j0 + toxicity.SPAN))):
+                    if s[p] == t[q] and s[p] != toxicity.END:
+                        more[p, q] = more.get((p, q), 0.0) + n
+            ways = more
+        total += sum(n * toxicity.DECAY ** (p - i0 + 1 + q - j0 + 1) for (p, q), n in ways.items())
+    n = toxicity.WINDOW
+    spans = [k - i for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + toxicity.SPAN))]
+    return total / sum(toxicity.DECAY ** (2 * x + 2) for x in spans)
+
+
+def test_kernel_is_that_of_a_dynamic_programme():
+    texts = [b"you nitwit, go", b"you nit-wit", b"a nit wit. No!", b"aaaaaaaaaaaaaaa", "é漢 nixxtwit\nwit".encode(), b""]
+    codes, starts = toxicity.encode(texts)
+    some = toxicity.window_at(codes, np.arange(0, len(codes), 3))
+    got = toxicity.kernels(some, some[:7])
+    for i, j in itertools.product(range(len(some)), range(7)):
+        assert got[i, j] == pytest.approx(gapped(some[i].tolist(), some[j].tolist()), abs=1e-5)
+    table = np.zeros(toxicity.LETTERS**3, dtype=np.float32)
+    at, values = toxicity.features(some[1:2])
+    np.add.at(table, at[0], values[0])
+    every = toxicity.window_at(codes, np.arange(len(codes)))
+    assert toxicity.scan(codes, table) == pytest.approx(toxicity.kernels(every, some[1:2])[:, 0], abs=1e-5)
+
+
+def test_sentences_do_not_mix():
+    alone = [toxicity.encode([t])[0] for t in (b"one nit", b"wit two. three", b"", b"  \n ")]
+    codes, starts = toxicity.encode([b"one nit", b"wit two. three", b"", b"  \n "])
+    assert codes.tolist() == [c for a in alone for c in a.tolist()] and starts.tolist() == np.cumsum([0, *map(len, alone[:-1])]).tolist()
+    for window in toxicity.window_at(codes, np.flatnonzero(codes != toxicity.END)):
+        ends = np.flatnonzero(window == toxicity.END)
+        assert not len(ends) or (window[ends[0] :] == toxicity.END).all()
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(rng.normal(size=toxicity.LETTERS**3), -0.5, 1.0, 0.0)
+    texts = [b"one nit", b"", b"wit two. three " * 9000, b"wit", b"x"]
+    assert machine.scores(texts) == pytest.approx([machine.scores([t])[0] for t in texts], abs=1e-6)
+    assert pickle.loads(pickle.dumps(machine)).scores(texts) == pytest.approx(machine.scores(texts))
+
+
+def test_toxicity_tolerates_changed_insults(spark):
+    rng = random.Random(11)
+    syllables = "an the er on in th ed re nd ha at en ing it of ou es st ly or".split()
+
+    def sentence(n):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)) + ". "
+
+    def with_insult(text, change):
+        words = text.split(" ")
+        words.insert(rng.randrange(len(words)), change(rng.choice(["wretch", "nitwit", "scoundrel"])))
+        return " ".join(words)
+
+    inside = lambda w: rng.randrange(1, len(w))
+    texts = [(i, "".join(sentence(rng.randint(3, 9)) for _ in range(6))) for i in range(400)]
+    texts = [(i, t if i % 4 else with_insult(t, str)) for i, t in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+
+    def cut(w, by):
+        at = inside(w)
+        return w[:at] + by + w[at:]
+
+    kinds = [
+        str,
+        lambda w: cut(w, "x"),
+        lambda w: cut(w, "xx"),
+        lambda w: cut(w, w[0]),
+        lambda w: cut(w, "-"),
+        lambda w: cut(w, " "),
+        lambda w: (lambda at: w[:at] + "*" + w[at + 1 :])(inside(w[:-1])),
+    ]
+    for change in kinds:
+        least = 0.9 if change is not kinds[-1] else 0.6  # a letter is lost there
+        found = machine.scores([with_insult("".join(sentence(6) for _ in range(4)), change).encode() for _ in range(60)])
+        assert (found >= 0.5).mean() >= least
+    assert (machine.scores([sentence(40).encode() for _ in range(200)]) >= 0.5).mean() <= 0.02
+
+
+def test_toxicity_defined_results(spark):
+    docs = spark.createDataFrame([(1, "a nitwit", "t"), (1, "a nitwit", "t"), (None, None, None)], "doc_id long, text string, toxic string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["predicted"] for r in toxicity.score(docs, none).collect()] == [0, 0, 0]
+    one_kind = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert all(r["score"] < 0.5 for r in toxicity.score(docs, one_kind).collect())
+    assert toxicity.score(docs.where("false"), one_kind).count() == 0
 
 
 # mixing
