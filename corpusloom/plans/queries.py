@@ -882,7 +882,7 @@ def doc_qa_pairs(spark, sf_dir):
 @query
 def str_filter_take(spark, sf_dir):
     out = fresh_path(spark, "taken")
-    rows = streams.read_stream(spark, sf_dir, DOCUMENTS_SCHEMA, "documents.parquet")
+    rows = streams.read_table_stream(spark, f"{sf_dir}/documents.parquet", DOCUMENTS_SCHEMA)
     matches = F.lower("lang") == "en"
     streams.stream_take(rows, matches, "doc_id", SAMPLE_SIZE, out, fresh_path(spark, "state")).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "text")
@@ -891,7 +891,7 @@ def str_filter_take(spark, sf_dir):
 @query
 def str_adapt(spark, sf_dir):
     out = fresh_path(spark, "adapted")
-    docs = streams.read_stream(spark, sf_dir, DOCUMENTS_SCHEMA, "documents.parquet")
+    docs = streams.read_table_stream(spark, f"{sf_dir}/documents.parquet", DOCUMENTS_SCHEMA)
     pairs = docs.select(F.col("doc_id").alias("source_id"), F.col("text").alias("input"), F.col("source").alias("target"))
     adapted_rows = streams.adapt_stream(pairs, "bigbench_hard")
     streams.stream_to_table(adapted_rows, out, fresh_path(spark, "state")).awaitTermination()
@@ -915,7 +915,7 @@ def str_adapt_groups(spark, sf_dir):
 def str_running_loss(spark, sf_dir):
     out = fresh_path(spark, "losses")
     schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-    events = streams.read_stream(spark, sf_dir, schema, "events.parquet")
+    events = streams.read_table_stream(spark, f"{sf_dir}/events.parquet", schema)
     cents = events.select(F.col("user_id").alias("run"), F.col("value").cast(CENTS).alias("value"))
     streams.running_loss_stream(cents, "run", "value", out, fresh_path(spark, "state")).awaitTermination()
     return streams.latest_loss(spark, out, "run")

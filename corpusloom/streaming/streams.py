@@ -31,6 +31,14 @@ def read_stream(
     )
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1_000) -> DataFrame:
+    """A parquet table as a stream, whether ``path`` is one file or a folder of files.
+
+    A stream takes a folder or a pattern, never a file; the pattern here matches the path alone and does for both.
+    """
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, files_per_batch=files_per_batch)
+
+
 def _batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.parquet(out)

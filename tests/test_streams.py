@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.adapters import adapt
+from corpusloom.plans.queries import DOCUMENTS_SCHEMA, QUERIES
 from corpusloom.session import fresh_path
 from corpusloom.streaming import groups, streams
 from tests.conftest import rows
 
+EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 SCHEMA = "source_id long, input string, target string, value double"
 
 
@@ -37,6 +39,22 @@ def test_take(spark, landed, n):
     assert got.filter("source_id % 2 = 1").count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_queries_read_tables_of_one_file_or_of_several(spark, tmp_path, files):
+    docs = [(i, f"text {i}", "en" if i % 2 else "de", "src1", 6) for i in range(30)]
+    events = [(i, None, i % 3, "view", i / 4, "{}") for i in range(30)]
+    for name, data, ddl in (("documents", docs, DOCUMENTS_SCHEMA), ("events", events, EVENTS_SCHEMA)):
+        written = spark.createDataFrame(data, ddl).coalesce(files)
+        written.write.parquet(f"{tmp_path}/parts/{name}.parquet")
+        if files == 1:
+            (part,) = (tmp_path / "parts" / f"{name}.parquet").glob("*.parquet")
+            (tmp_path / f"{name}.parquet").write_bytes(part.read_bytes())
+    folder = str(tmp_path if files == 1 else tmp_path / "parts")
+    assert {r["doc_id"] for r in QUERIES["str_filter_take"](spark, folder).collect()} == set(range(1, 30, 2))
+    assert QUERIES["str_adapt"](spark, folder).count() == 30
+    assert {(r["run"], r["n_batches"]) for r in QUERIES["str_running_loss"](spark, folder).collect()} == {(0, 10), (1, 10), (2, 10)}
+
+
 def test_take_does_not_exceed_after_a_restart(spark, landed):
     out, checkpoint = fresh_path(spark, "out"), fresh_path(spark, "cp")
     for _ in range(2):
