@@ -29,7 +29,8 @@ KEY = "_key"
 BLOCK = "_block"
 BLOCK_ROWS = 65_536
 FILL = 0.75  # share of block_rows that the cuts aim at
-FAN_OUT = 256  # parts a block is cut into at once
+FAN_OUT = 4_096  # parts a block is cut into at once, at most
+MARKS = 4  # quantiles per part of the largest block
 SKETCH_ACCURACY = 10_000
 
 
@@ -47,8 +48,7 @@ def with_block(df: DataFrame, keys: Sequence[str], order: str, block_rows: int =
         if large.isEmpty():
             return rows
         cuts = cut_lineage(_cuts(rows, large, order, block_rows), "block-cuts")
-        passed = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-        inner = F.when(F.col("_cuts").isNotNull(), passed).otherwise(0)
+        inner = F.when(F.col("_cuts").isNotNull(), _passed("_cuts", F.col(order))).otherwise(0)
         rows = rows.join(cuts, [KEY, BLOCK], "left")
         rows = rows.withColumn(BLOCK, F.col(BLOCK) * FAN_OUT + inner).drop("_cuts").select(*df.columns, KEY, BLOCK)
 
@@ -61,17 +61,32 @@ def _large_blocks(rows: DataFrame, order: str, block_rows: int) -> DataFrame:
     return sizes.filter((F.col("_n") > block_rows) & (F.col("_low") < F.col("_high")))
 
 
+def _passed(cuts: str, at: Column) -> Column:
+    """How many of the rising cuts are at or below a value, by halving: a row looks at a dozen of them, not at all."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((FAN_OUT - 1).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda n, step: n + F.when(F.get(F.col(cuts), n + step - 1) <= at, step).otherwise(0)
+    )
+
+
 def _cuts(rows: DataFrame, large: DataFrame, order: str, block_rows: int) -> DataFrame:
-    """Per large block: the first order of each of its parts but the first, at most FAN_OUT - 1 of them."""
-    marks = [i / FAN_OUT for i in range(1, FAN_OUT)]
-    sketch = F.percentile_approx(order, marks, SKETCH_ACCURACY)
-    sketched = rows.join(large, [KEY, BLOCK]).groupBy(KEY, BLOCK, "_n", "_low", "_high").agg(sketch.alias("_marks"))
+    """Per large block: the first order of each of its parts but the first, at most FAN_OUT - 1 of them.
+
+    The sketch has as many quantiles, and is as fine, as the largest block's parts ask for, so one round is enough but
+    for ties and blocks of more than FAN_OUT parts. A block where hardly any row exceeds the lowest loses the ties.
+    """
     wanted = F.ceil(F.col("_n") / F.lit(FILL * block_rows))  # room for the sketch's error
+    fan = int(large.agg(F.least(F.lit(FAN_OUT), F.max(wanted))).first()[0])
+    marks = MARKS * fan
+    shares = F.expr(f"array({', '.join(f'{i / marks}D' for i in range(1, marks))})")
+    sketch = F.percentile_approx(order, shares, max(SKETCH_ACCURACY, 4 * marks))
+    above = F.min(F.when(F.col(order) > F.col("_low"), F.col(order)))
+    sketched = rows.join(large, [KEY, BLOCK]).groupBy(KEY, BLOCK, "_n", "_low").agg(sketch.alias("_marks"), above.alias("_above"))
     parts = F.least(F.lit(FAN_OUT), wanted).cast("int")
-    evenly = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_marks", (F.floor(i * F.lit(FAN_OUT) / parts) - 1).cast("int")))
+    evenly = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_marks", (F.floor(i * F.lit(marks) / parts) - 1).cast("int")))
     inner = F.array_distinct(F.filter(evenly, lambda c: c > F.col("_low")))
     return sketched.select(
-        KEY, BLOCK, F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("_high"))).alias("_cuts")
+        KEY, BLOCK, F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("_above"))).alias("_cuts")
     )
 
 

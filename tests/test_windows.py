@@ -238,3 +238,17 @@ def test_rows_are_shuffled_once(spark, df):
     main_side = [line for line in lines if line.lstrip().startswith(":")]
     assert "SinglePartition" not in plan
     assert sum("Exchange hashpartitioning(_key" in line for line in main_side) == 1
+
+
+@pytest.mark.parametrize("orders", [[i * 7 for i in range(12_000)], [0] * 12_000 + list(range(1, 40))])
+def test_a_group_is_cut_in_few_rounds(spark, monkeypatch, orders):
+    """A group of 1,500 blocks needs one round of cuts; one that is nearly all ties does not lose its rows one by one."""
+    rounds = []
+    keep = blocks.cut_lineage
+    monkeypatch.setattr(blocks, "cut_lineage", lambda df, label: rounds.append(label) or keep(df, label))
+    df = spark.createDataFrame([("hot", o) for o in orders], "g string, o long")
+    found = blocks.with_block(df, ["g"], "o", 8).groupBy(blocks.BLOCK)
+    found = found.agg(F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).orderBy(blocks.BLOCK).collect()
+    assert sum(r["n"] for r in found) == len(orders) and all(r["n"] <= 8 or r["low"] == r["high"] for r in found)
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:], strict=False))
+    assert rounds.count("block-cuts") <= 2
