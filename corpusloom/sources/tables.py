@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.unions import list_normalize
 from corpusloom.operators.adapters import SOURCE_ID
-from corpusloom.operators.blocks import fold, in_order, join_blocks, summarise, up_to_here, with_block
 from corpusloom.operators.sampling import sample_per_group, sample_seeded
 from corpusloom.operators.windows import ordered_concat
-from corpusloom.session import local_table
+from corpusloom.session import cut_lineage, local_table
 from corpusloom.sources.catalog import JSON_DATASETS, MULTI_CONFIGS
 from corpusloom.sources.schemas import RAW
 
 log = logging.getLogger(__name__)
 
 ROWS_PER_FILE = 1 << 40
+SPLIT_SUMS = "_file long, _split long, _quotes long, _out long, _in long"
+RECORD_PARTS = "_file long, _split long, part int, ended boolean, text string"
 MANIFEST_SCHEMA = "name string, status string, n_rows long, error string"
 
 
@@ -119,43 +123,117 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
     """The objects of files that hold one JSON array each, read by as many tasks as a file has splits.
 
     Spark's text reader cuts the files at every closing brace, whatever split it lies in. Which braces end a record
-    follows from two running sums over the pieces of a file: the quotes so far tell whether a piece begins inside a
-    string, the braces outside strings how deep it ends; a record ends where the depth is back at zero. The sums run over
-    blocks (``blocks``), so no task holds a file; the pieces of a record are put together again and parsed by
-    ``schema``. Files of objects one behind the other, without an array around them, read the same.
+    follows from two running figures over the pieces of a file: the quotes so far tell whether a piece begins inside a
+    string, the braces outside strings how deep it ends; a record ends where the depth is back at zero. Each split is
+    summed up for a beginning outside and inside a string, the sums of the splits before it, a row each, give the state
+    it begins in, and a second walk puts the pieces of its records together. No row is sorted or shuffled but a split's
+    ends, where a record reaches into the next one. Records are parsed by ``schema``. Files of objects one behind the
+    other, without an array around them, read the same.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
+    pieces = _json_pieces(spark.read.option("lineSep", "}").text(path))
+    sums = pieces.drop("value").mapInArrow(_split_sums, SPLIT_SUMS)
+    prior = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.withColumn("_inside", (F.coalesce(F.sum("_quotes").over(prior), F.lit(0)) % 2).cast("int"))
+    deeper = F.when(F.col("_inside") == 0, F.col("_out")).otherwise(F.col("_in"))
+    states = begun.withColumn("_depth", F.coalesce(F.sum(deeper).over(prior), F.lit(0)))
+    states = cut_lineage(states.select("_file", "_split", "_inside", "_depth"), "json-splits")
+    placed = pieces.join(F.broadcast(states), ["_file", "_split"])  # a row per split; the pieces stay in order
+    records = cut_lineage(placed.mapInArrow(_split_records, RECORD_PARTS), "json-records")
+    ends = records.filter("part <> 1")
+    earlier = Window.partitionBy("_file").orderBy("_split", "part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ends.withColumn("_record", F.coalesce(F.sum(F.col("ended").cast("int")).over(earlier), F.lit(0)))
+    parts = F.sort_array(F.collect_list(F.struct("_split", "part", "text")))
+    joined = F.array_join(F.transform(parts, lambda p: p["text"]), "}").alias("text")
+    across = numbered.groupBy("_file", "_record").agg(joined, F.max("ended").alias("ended")).filter("ended")
+    texts = F.concat(F.regexp_replace("text", "^[^{]*", ""), F.lit("}"))
+    whole = records.filter("part = 1").select("text").unionAll(across.select("text"))
+    return whole.select(F.from_json(texts, schema).alias("_r")).select("_r.*")
+
+
+def _json_pieces(text: DataFrame) -> DataFrame:
+    """Per piece: its quotes, and how much deeper it ends, its closing brace included, if it begins outside a string
+    (``_out``) or inside one (``_in``)."""
+    escaped = F.col("value").contains("\\")
+    bare = F.when(escaped, F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    rows = text.select(
+        F.xxhash64("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"),
         "value",
+        bare.alias("_bare"),
     )
-    order = [F.asc("_file"), F.asc("_split"), F.asc("_row")]
-    placed = in_order(pieces, order, "_pos", "json-pieces").drop("_split", "_row")
-    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
-    quotes = F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"'), F.lit("")))
-    rows = with_block(placed.withColumn("_quotes", quotes), ["_file"], "_pos")
-    rows = _running(rows, "_quotes", "_so_far")
-    inside = (F.col("_so_far") - F.col("_quotes")) % 2 == 1
-    rest = F.when(inside, F.regexp_replace(bare, '(?s)^[^"]*("|$)', "")).otherwise(bare)
-    outside = F.regexp_replace(F.regexp_replace(rest, '"[^"]*"', ""), '(?s)"[^"]*$', "")
-    opened = F.char_length(outside) - F.char_length(F.replace(outside, F.lit("{"), F.lit("")))
-    closed = F.when(F.col("_so_far") % 2 == 0, 1).otherwise(0)
-    rows = _running(rows.withColumn("_deeper", opened - closed), "_deeper", "_depth")
-    ends = F.when((F.col("_depth") == 0) & (closed == 1), 1).otherwise(0)
-    rows = _running(rows.withColumn("_ends", ends), "_ends", "_record")
-    record = (F.col("_record") - F.col("_ends")).alias("_record")
-    parts = F.sort_array(F.collect_list(F.struct("_pos", "value")))
-    text = F.concat(F.array_join(F.transform(parts, lambda p: p["value"]), "}"), F.lit("}"))
-    records = rows.groupBy("_file", record).agg(text.alias("_text"), F.max("_ends").alias("_whole")).filter("_whole = 1")
-    return records.select(F.from_json(F.regexp_replace("_text", "^[^{]*", ""), schema).alias("_r")).select("_r.*")
-
-
-def _running(blocked: DataFrame, column: str, name: str) -> DataFrame:
-    """Running sum of a column of blocked rows, the row itself included."""
-    states = fold(summarise(blocked, _sum=F.sum(column)), before={"_before": F.sum("_sum")})
-    rows = join_blocks(blocked.withColumn("_inner", F.sum(column).over(up_to_here("_pos"))), states)
-    return rows.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inner")).drop("_before", "_inner")
+    rows = rows.withColumn("_quotes", _count_of("_bare", '"')).withColumn("_braces", _count_of("_bare", "{"))
+    outside = F.regexp_replace(F.regexp_replace("_bare", '"[^"]*"', ""), '(?s)"[^"]*$', "")
+    rows = rows.withColumn("_outside", F.when((F.col("_braces") > 0) & (F.col("_quotes") > 0), outside).otherwise(F.col("_bare")))
+    rows = rows.withColumn("_opened", _count_of("_outside", "{"))
+    return rows.select(
+        "_file",
+        "_split",
+        "value",
+        "_quotes",
+        (F.col("_opened") - (F.col("_quotes") + 1) % 2).alias("_out"),
+        (F.col("_braces") - F.col("_opened") - F.col("_quotes") % 2).alias("_in"),
+    )
+
+
+def _count_of(column: str, char: str) -> Column:
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit(char), F.lit("")))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """The batches cut where another split begins."""
+    for batch in batches:
+        if batch.num_rows:
+            file, split = (batch.column(c).to_numpy() for c in ("_file", "_split"))
+            starts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (split[1:] != split[:-1])) + 1).tolist(), len(file)]
+            for start, stop in zip(starts, starts[1:]):
+                yield (int(file[start]), int(split[start])), batch.slice(start, stop - start)
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per split: its quotes and how much deeper it ends, begun outside and inside a string."""
+    sums: dict[tuple[int, int], list[int]] = {}
+    for key, run in _runs(batches):
+        quotes, out, in_ = (run.column(c).to_numpy() for c in ("_quotes", "_out", "_in"))
+        so_far = sums.setdefault(key, [0, 0, 0])
+        inside = (so_far[0] + np.cumsum(quotes) - quotes) % 2 == 1
+        so_far[0] += int(quotes.sum())
+        so_far[1] += int(np.where(inside, in_, out).sum())
+        so_far[2] += int(np.where(inside, out, in_).sum())
+    rows = [(*key, *figures) for key, figures in sums.items()]
+    names = ["_file", "_split", "_quotes", "_out", "_in"]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
+
+
+def _split_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each split: first (part 0) what ends in it first, then the whole ones (1), then what is left (2)."""
+    key, pending = None, []  # the pieces of the record that is open
+
+    def rows(part: int, ended: bool, texts: pa.Array) -> pa.RecordBatch:
+        n = len(texts)
+        columns = [pa.array([v] * n, t) for v, t in zip((*key, part, ended), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*columns, texts], names=["_file", "_split", "part", "ended", "text"])
+
+    for run_key, run in _runs(batches):
+        if run_key != key:
+            if pending:
+                yield rows(2, False, pa.array(["}".join(pending)]))
+            key, pending, part = run_key, [], 0
+            quotes_before, depth = run.column("_inside")[0].as_py(), run.column("_depth")[0].as_py()
+        quotes, out, in_ = (run.column(c).to_numpy() for c in ("_quotes", "_out", "_in"))
+        so_far = quotes_before + np.cumsum(quotes)
+        depths = depth + np.cumsum(np.where((so_far - quotes) % 2 == 1, in_, out))
+        quotes_before, depth = int(so_far[-1]), int(depths[-1])
+        ends = np.flatnonzero((depths == 0) & (so_far % 2 == 0)) + 1
+        values = run.column("value")
+        if len(ends):
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), values)
+            texts = pc.binary_join(lists, "}")
+            yield rows(part, True, pa.array(["}".join([*pending, texts[0].as_py()])]))
+            yield rows(1, True, texts[1:])
+            pending, part, values = [], 1, values[int(ends[-1]) :]
+        pending.extend(values.to_pylist())
+    if pending:
+        yield rows(2, False, pa.array(["}".join(pending)]))
 
 
 def to_dataset(spark: SparkSession, rows: Sequence, schema: T.StructType | str) -> DataFrame:

@@ -196,3 +196,21 @@ def test_json_arrays_are_split(spark, tmp_path):
         assert rows(got) == rows(expected)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_pieces_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """A record longer than several splits, and pieces that only their split's task walks."""
+    written = {}
+    keep = tables.cut_lineage
+    monkeypatch.setattr(tables, "cut_lineage", lambda df, label: written.setdefault(label, df) is None or keep(df, label))
+    data = [{"id": i, "s": "{x} \"}" * (4_000 if i == 3 else i % 5)} for i in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(data))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = tables.read_json_array(spark, str(tmp_path), "id long, s string")
+        assert rows(got) == sorted(((r["id"], r["s"]) for r in data), key=lambda r: [(True, str(v)) for v in r])
+        plan = written["json-records"]._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
