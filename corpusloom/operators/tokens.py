@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.arrays import FIRST_WORD_ID, PAD_ID, UNKNOWN_ID, pad_to
 from corpusloom.functions.hashing import bucket, seeded_hash
-from corpusloom.functions.text import strip, words
+from corpusloom.functions.text import strip
 from corpusloom.operators.blocks import in_order
 from corpusloom.session import cut_lineage
 
@@ -20,6 +21,9 @@ CHUNK_SIZE = 128
 CHUNK_STRIDE = 64
 MIN_CHUNKS = 2
 SHARD_ROWS = 100_000
+PIECE_BYTES = 1 << 20  # text that a Python worker splits at once
+ID_BYTES = 8  # about what an id's word takes
+CHUNK_BYTES = 4 << 20  # texts, or ids, that ask a vocabulary table together
 
 # A list of words travels to every task, so its size is bounded here and checked in ``vocabulary_words``. Larger
 # vocabularies stay tables: ``encode_join`` and ``decode_join``.
@@ -30,7 +34,8 @@ def vocabulary(df: DataFrame, text: str, k: int) -> DataFrame:
     """The ``k`` most frequent words (ties by word) with ids: (token_id, word, n)."""
     if k <= 0:
         raise ValueError("a vocabulary holds a word at least")
-    counted = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(strip(text).alias("_text")).mapInArrow(_word_counts, "word string, n long")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("word")]
     if k <= MAX_VOCABULARY:  # the rows that Spark keeps per task and merges fit anywhere
         placed = counted.orderBy(*order).limit(k).withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
@@ -54,20 +59,51 @@ def _relist(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values)
 
 
-def word_ids(vocab: list[str]) -> Callable[[Column], Column]:
-    """Stripped text -> ids, split and looked up per Arrow batch; a word outside the vocabulary is unknown.
+def _pieces(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts, or of lists of ids, in runs of rows of up to PIECE_BYTES, a longer row by itself: what is made
+    of a run, several times its size, stays small whatever rows Spark put into the batch."""
+    listed = pa.types.is_list(batch.type)
+    sizes = pc.multiply(pc.list_value_length(batch), ID_BYTES) if listed else pc.binary_length(batch)
+    ends = pc.cumulative_sum(pc.cast(pc.fill_null(sizes, 0), pa.int64())).to_numpy()
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(ends.searchsorted(before + PIECE_BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """Words of stripped texts, as ``functions.text.words`` splits them; a null or an empty text has none."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+    words = lists.flatten()
+    blank = pc.fill_null(pc.equal(texts, ""), False)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy() - blank.to_numpy(zero_copy_only=False)
+    offsets = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
+    return pa.ListArray.from_arrays(offsets, words.filter(pc.not_equal(words, "")))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of stripped texts, a row per word and piece."""
+    for batch in batches:
+        for piece in _pieces(batch.column(0)):
+            counts = pc.value_counts(_split(piece).flatten())
+            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["word", "n"])
+        pa.default_memory_pool().release_unused()
 
-    The split is that of ``functions.text.words``.
-    """
+
+def word_ids(vocab: list[str]) -> Callable[[Column], Column]:
+    """Stripped text -> ids, split and looked up by pieces of Arrow batches; a word outside the vocabulary is unknown."""
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = pa.array(vocab, pa.string())
         for batch in batches:
-            texts = pc.if_else(pc.equal(batch, ""), None, batch)
-            lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
-            found = pc.index_in(lists.flatten(), value_set=known)
-            yield _relist(lists, pc.fill_null(pc.add(found, FIRST_WORD_ID), UNKNOWN_ID).cast(pa.int32()))
+            for piece in _pieces(batch):
+                lists = _split(piece)
+                found = pc.index_in(lists.flatten(), value_set=known)
+                yield _relist(lists, pc.fill_null(pc.add(found, FIRST_WORD_ID), UNKNOWN_ID).cast(pa.int32()))
+            pa.default_memory_pool().release_unused()
 
     return ids
 
@@ -79,7 +115,9 @@ def id_words(vocab: list[str], unknown: str = "<unk>") -> Callable[[Column], Col
     def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array([None] * UNKNOWN_ID + [unknown] + vocab, pa.string())
         for batch in batches:
-            yield _relist(batch, table.take(batch.flatten()))
+            for piece in _pieces(batch):
+                yield _relist(piece, table.take(piece.flatten()))
+            pa.default_memory_pool().release_unused()
 
     return spelled
 
@@ -109,34 +147,55 @@ def decode(df: DataFrame, tokens: str, vocab: list[str], out: str = "text", task
     return spelled.withColumn(out, joined).drop("_words")
 
 
-def _answered(df: DataFrame, id_col: str, items: Column, table: DataFrame, value: Column) -> DataFrame:
-    """(id, answers): each list's items replaced by what the table (item, answer) says, in their order.
+def _answered(
+    df: DataFrame, id_col: str, value: Column, n_bytes: Column, items: Callable[[pa.Array], pa.Array], table: DataFrame
+) -> DataFrame:
+    """(id, answers): each item of a row's value replaced by what the table (_item, _answer) says, null if nothing.
 
-    Items are asked for once per chunk of documents, so a word that is everywhere costs a row per chunk at the table;
-    the answers meet the places of their chunk by (chunk, item), and only ids, places and items travel. There are
-    as many chunks as shuffle partitions.
+    Rows are dealt to chunks of about CHUNK_BYTES by the hash of their id. A chunk asks once for each distinct item, so
+    a word that is everywhere costs a row per chunk at the table, and the answers meet their chunk's rows as one group:
+    neither words nor places are rows of a shuffle.
     """
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int")
-    places = df.select(F.col(id_col).alias("_id"), chunk.alias("_chunk"), F.posexplode(items).alias("_at", "_item"))
-    asked = places.select("_chunk", "_item").distinct()
-    answers = asked.join(table, "_item", "left").select("_chunk", "_item", value.alias("_answer"))
-    found = places.join(answers, ["_chunk", "_item"]).groupBy("_id")
-    lists = found.agg(F.sort_array(F.collect_list(F.struct("_at", "_answer"))).alias("_list"))
-    joined = df.select(id_col).join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    answers_ = F.transform("_list", lambda x: x["_answer"])
-    return joined.select(id_col, F.coalesce(answers_, F.array().cast(answers_type(table))).alias("_answers"))
-
-
-def answers_type(table: DataFrame) -> str:
-    return f"array<{table.schema['_answer'].dataType.simpleString()}>"
+    types = {c: table.schema[c].dataType for c in ("_item", "_answer")}
+    rows = cut_lineage(df.select(F.col(id_col).alias("_id"), value.alias("_value"), n_bytes.alias("_bytes")), "asking")
+    total = rows.agg(F.sum("_bytes")).first()[0] or 0
+    chunks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / CHUNK_BYTES))
+    chunked = rows.select(F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk"), "_id", "_value")
+    answer_type = to_arrow_type(types["_answer"])
+
+    def ask(group: pa.Table) -> pa.Table:
+        asked = pc.unique(items(_column(group, "_value")).flatten()).drop_null()
+        return pa.table({"_chunk": pa.repeat(group["_chunk"][0], len(asked)), "_item": asked})
+
+    def answer(group: pa.Table, told: pa.Table) -> pa.Table:
+        lists = items(_column(group, "_value"))
+        wanted = lists.flatten()
+        if told.num_rows:
+            found = _column(told, "_answer").take(pc.index_in(wanted, value_set=_column(told, "_item")))
+        else:
+            found = pa.nulls(len(wanted), answer_type)
+        return pa.table({"_id": group["_id"], "_answers": _relist(lists, found)})
+
+    asked = chunked.groupBy("_chunk").applyInArrow(ask, f"_chunk long, _item {types['_item'].simpleString()}")
+    told = asked.join(table, "_item").select("_chunk", "_item", "_answer")
+    answered = chunked.groupBy("_chunk").cogroup(told.groupBy("_chunk"))
+    answered = answered.applyInArrow(answer, f"_id {rows.schema['_id'].dataType.simpleString()}, _answers array<{types['_answer'].simpleString()}>")
+    return answered.withColumnRenamed("_id", id_col)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    """A column of a group as one array of its own."""
+    chunks = table[name].chunks
+    return pa.concat_arrays(chunks) if chunks else pa.array([], table[name].type)
 
 
 def encode_join(df: DataFrame, id_col: str, text: str, vocab: DataFrame, out: str = "tokens") -> DataFrame:
     """(id, tokens): ``encode`` with a vocabulary of any size, by joins. ``id_col`` is unique and not null."""
     table = vocab.select(F.col("word").alias("_item"), F.col("token_id").cast("int").alias("_answer"))
-    ids = _answered(df, id_col, words(strip(text)), table, F.coalesce("_answer", F.lit(UNKNOWN_ID)))
-    return ids.withColumnRenamed("_answers", out)
+    stripped = strip(text)
+    rows = _answered(df, id_col, stripped, F.octet_length(stripped), _split, table)
+    ids = F.transform("_answers", lambda answer: F.coalesce(answer, F.lit(UNKNOWN_ID)))
+    return rows.select(id_col, ids.alias(out))
 
 
 def decode_join(
@@ -144,9 +203,11 @@ def decode_join(
 ) -> DataFrame:
     """(id, text): ``decode`` with a vocabulary of any size, by joins. ``id_col`` is unique and not null."""
     table = vocab.select(F.col("token_id").cast("int").alias("_item"), F.col("word").alias("_answer"))
-    word = F.when(F.col("_item") == UNKNOWN_ID, F.lit(unknown)).otherwise(F.col("_answer"))
-    spelled = _answered(df, id_col, F.col(tokens), table, word)
-    return spelled.select(id_col, F.array_join("_answers", " ").alias(out))
+    special = vocab.sparkSession.range(1).select(F.lit(UNKNOWN_ID).alias("_item"), F.lit(unknown).alias("_answer"))
+    table = table.filter(F.col("_item") != UNKNOWN_ID).unionAll(special)
+    ids = F.col(tokens).cast("array<int>")
+    rows = _answered(df, id_col, ids, F.lit(ID_BYTES) * F.greatest(F.size(ids), F.lit(0)), lambda lists: lists, table)
+    return rows.select(id_col, F.array_join("_answers", " ").alias(out))
 
 
 def chunk_tokens(

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,26 @@ def test_consecutive_batches_are_full(spark):
     for r in got:
         longest = max(len(t) for i, t in data if i // 3 // 10 == r["batch_no"])
         assert r["width"] == longest and len(r["tokens"]) == longest
+
+
+def test_batches_are_split_in_small_pieces(monkeypatch):
+    """A worker splits a bounded part of a batch at once, with the words of the whole batch."""
+    rng = random.Random(4)
+    texts = [None if rng.random() < 0.1 else " \t".join(rng.choice(["a", "é漢", "x" * 30]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    batch = pa.array(texts)
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(tokens, "PIECE_BYTES", size)
+        pieces = list(tokens._pieces(batch))
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= size for p in pieces)
+        assert [w for p in pieces for w in tokens._split(p).to_pylist()] == [(t or "").split() for t in texts]
+
+
+def test_join_encoding_shuffles_documents_not_words(spark):
+    df = spark.createDataFrame([(i, "a b " * i + "zz") for i in range(20)] + [(20, None), (21, " ")], "id long, text string")
+    vocab = tokens.vocabulary(df, "text", 2)
+    encoded = tokens.encode_join(df, "id", "text", vocab)
+    decoded = tokens.decode_join(encoded, "id", "tokens", vocab)
+    words = {i: "a b " * i + "<unk>" for i in range(20)} | {20: "", 21: ""}
+    assert {r["id"]: r["text"] for r in decoded.collect()} == words
+    for made in (encoded, decoded):
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
