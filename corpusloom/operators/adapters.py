@@ -3,11 +3,15 @@
 An adapter takes the whole raw table and returns 0..n samples per row, as column expressions. A missing column
 counts as its default, a null text as empty, and an index outside its list as null; samples without a context or
 target are dropped. ``source_id`` names the raw row and is an integer where an adapter depends on row order.
+
+Most datasets have one sample per row. Their adapters only say what its columns are, so those of several datasets can
+be taken from one reading of a table that they share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +26,24 @@ from corpusloom.operators.windows import islands, sliding_context
 
 SOURCE_ID = "source_id"
 
+@dataclass(frozen=True)
+class Nested:
+    """A raw row that is a struct column of a table."""
+
+    column: str
+    schema: T.StructType
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+
+Raw = DataFrame | Nested
+Sample = tuple[Column, Column, Column | str]  # context, target, task
 Adapter = Callable[[DataFrame], DataFrame]
+SingleAdapter = Callable[[Raw], Sample]
 ADAPTERS: dict[str, Adapter] = {}
+SINGLE_ADAPTERS: dict[str, SingleAdapter] = {}
 
 
 def register_adapter(*names: str) -> Callable[[Adapter], Adapter]:
@@ -32,6 +52,18 @@ def register_adapter(*names: str) -> Callable[[Adapter], Adapter]:
     def add(fn: Adapter) -> Adapter:
         for name in names:
             ADAPTERS[name] = fn
+            SINGLE_ADAPTERS.pop(name, None)
+        return fn
+
+    return add
+
+
+def register_single_adapter(*names: str) -> Callable[[SingleAdapter], SingleAdapter]:
+    """The same for ``fn(raw) -> (context, target, task)`` of the one sample that a raw row has."""
+
+    def add(fn: SingleAdapter) -> SingleAdapter:
+        register_adapter(*names)(lambda df: samples(df, *fn(df)))
+        SINGLE_ADAPTERS.update(dict.fromkeys(names, fn))
         return fn
 
     return add
@@ -41,13 +73,15 @@ def adapt(name: str, df: DataFrame) -> DataFrame:
     return ADAPTERS[name](df)
 
 
-def field(df: DataFrame, name: str, ddl: str = "string") -> Column:
+def field(raw: Raw, name: str, ddl: str = "string") -> Column:
     """The column, or a null of that type where the table lacks it."""
-    return F.col(name) if name in df.columns else F.lit(None).cast(ddl)
+    if name not in raw.columns:
+        return F.lit(None).cast(ddl)
+    return F.col(raw.column)[name] if isinstance(raw, Nested) else F.col(name)
 
 
-def text(df: DataFrame, name: str) -> Column:
-    return strip(field(df, name).cast("string"))
+def text(raw: Raw, name: str) -> Column:
+    return strip(field(raw, name).cast("string"))
 
 
 def samples(
@@ -70,151 +104,151 @@ def samples(
     ).filter(has_text("context") & has_text("target"))
 
 
-def pair_adapter(context: str, target: str, task: str = "chat") -> Adapter:
+def pair_adapter(context: str, target: str, task: str = "chat") -> SingleAdapter:
     """One text column answers another."""
-    return lambda df: samples(df, text(df, context), text(df, target), task)
+    return lambda raw: (text(raw, context), text(raw, target), task)
 
 
-register_adapter("bigbench_hard", "bbh")(pair_adapter("input", "target"))
-register_adapter("truthfulqa")(pair_adapter("question", "best_answer"))
-register_adapter("math", "open_r1_math")(pair_adapter("problem", "solution", "code"))
-register_adapter("code_search_net")(pair_adapter("docstring", "code", "code"))
-register_adapter("human_eval")(pair_adapter("prompt", "canonical_solution", "code"))
-register_adapter("mbpp")(pair_adapter("text", "code", "code"))
+register_single_adapter("bigbench_hard", "bbh")(pair_adapter("input", "target"))
+register_single_adapter("truthfulqa")(pair_adapter("question", "best_answer"))
+register_single_adapter("math", "open_r1_math")(pair_adapter("problem", "solution", "code"))
+register_single_adapter("code_search_net")(pair_adapter("docstring", "code", "code"))
+register_single_adapter("human_eval")(pair_adapter("prompt", "canonical_solution", "code"))
+register_single_adapter("mbpp")(pair_adapter("text", "code", "code"))
 
 
-def instruction_adapter(context_field: str = "context", target_field: str = "response") -> Adapter:
+def instruction_adapter(context_field: str = "context", target_field: str = "response") -> SingleAdapter:
     """Instruction, then its input if there is one; the instruction's words decide the task."""
 
-    def adapter(df: DataFrame) -> DataFrame:
-        instruction, extra = text(df, "instruction"), text(df, context_field)
+    def adapter(raw: Raw) -> Sample:
+        instruction, extra = text(raw, "instruction"), text(raw, context_field)
         context = F.when(extra != "", F.concat_ws(" ", instruction, extra)).otherwise(instruction)
-        return samples(df, F.when(instruction != "", context), text(df, target_field), task_of(instruction))
+        return F.when(instruction != "", context), text(raw, target_field), task_of(instruction)
 
     return adapter
 
 
-register_adapter("wizardlm")(instruction_adapter())
-register_adapter("alpaca", "code_alpaca")(instruction_adapter("input", "output"))
+register_single_adapter("wizardlm")(instruction_adapter())
+register_single_adapter("alpaca", "code_alpaca")(instruction_adapter("input", "output"))
 
 
-@register_adapter("dolly")
-def dolly(df: DataFrame) -> DataFrame:
+@register_single_adapter("dolly")
+def dolly(raw: Raw) -> Sample:
     """Here the background comes before the instruction."""
-    instruction = text(df, "instruction")
-    context = F.when(instruction != "", join_nonempty(text(df, "context"), instruction))
-    return samples(df, context, text(df, "response"), task_of(instruction))
+    instruction = text(raw, "instruction")
+    context = F.when(instruction != "", join_nonempty(text(raw, "context"), instruction))
+    return context, text(raw, "response"), task_of(instruction)
 
 
-@register_adapter("owasp")
-def question_answer(df: DataFrame) -> DataFrame:
+@register_single_adapter("owasp")
+def question_answer(raw: Raw) -> Sample:
     """Both spellings of the generated pairs: question/answer and context/target."""
-    question = F.coalesce(field(df, "question"), field(df, "context"))
-    return samples(df, question, F.coalesce(field(df, "answer"), field(df, "target")), "chat")
+    question = F.coalesce(field(raw, "question"), field(raw, "context"))
+    return question, F.coalesce(field(raw, "answer"), field(raw, "target")), "chat"
 
 
-@register_adapter("sciq")
-def sciq(df: DataFrame) -> DataFrame:
-    question = text(df, "question")
-    context = F.when(question != "", join_nonempty(text(df, "support"), question))
-    return samples(df, context, text(df, "correct_answer"), "chat")
+@register_single_adapter("sciq")
+def sciq(raw: Raw) -> Sample:
+    question = text(raw, "question")
+    context = F.when(question != "", join_nonempty(text(raw, "support"), question))
+    return context, text(raw, "correct_answer"), "chat"
 
 
-@register_adapter("aqua_rat")
-def rationale(df: DataFrame) -> DataFrame:
-    question, why = text(df, "question"), text(df, "rationale")
+@register_single_adapter("aqua_rat")
+def rationale(raw: Raw) -> Sample:
+    question, why = text(raw, "question"), text(raw, "rationale")
     context = F.when(why != "", F.concat(question, F.lit(" Rationale: "), why)).otherwise(question)
-    return samples(df, F.when(question != "", context), text(df, "correct"), "chat")
+    return F.when(question != "", context), text(raw, "correct"), "chat"
 
 
-@register_adapter("gsm8k")
-def marked_answer(df: DataFrame) -> DataFrame:
+@register_single_adapter("gsm8k")
+def marked_answer(raw: Raw) -> Sample:
     """The answer is what follows the last mark, or all of it without a mark."""
-    answer = F.coalesce(field(df, "answer"), F.lit(""))
-    return samples(df, text(df, "question"), strip(F.substring_index(answer, "#### ", -1)), "chat")
+    answer = F.coalesce(field(raw, "answer"), F.lit(""))
+    return text(raw, "question"), strip(F.substring_index(answer, "#### ", -1)), "chat"
 
 
-@register_adapter("mmlu")
-def indexed_choice(df: DataFrame) -> DataFrame:
-    answer = field(df, "answer", "int").cast("int")
-    target = strip(F.get(field(df, "choices", "array<string>"), answer))
-    return samples(df, text(df, "question"), target, "chat")
+@register_single_adapter("mmlu")
+def indexed_choice(raw: Raw) -> Sample:
+    answer = field(raw, "answer", "int").cast("int")
+    target = strip(F.get(field(raw, "choices", "array<string>"), answer))
+    return text(raw, "question"), target, "chat"
 
 
-@register_adapter("hellaswag")
-def labelled_ending(df: DataFrame) -> DataFrame:
+@register_single_adapter("hellaswag")
+def labelled_ending(raw: Raw) -> Sample:
     """The index comes as a text."""
-    label = field(df, "label").cast("string").try_cast("int")
-    return samples(df, text(df, "ctx"), strip(F.get(field(df, "endings", "array<string>"), label)), "chat")
+    label = field(raw, "label").cast("string").try_cast("int")
+    return text(raw, "ctx"), strip(F.get(field(raw, "endings", "array<string>"), label)), "chat"
 
 
-@register_adapter("stem")
-def text_choice(df: DataFrame) -> DataFrame:
+@register_single_adapter("stem")
+def text_choice(raw: Raw) -> Sample:
     """Rows whose choices are pictures are left out."""
-    shown = df.filter(~F.coalesce(field(df, "pic_choice", "boolean"), F.lit(False)))
-    index = field(df, "answer_idx", "int").cast("int")
-    target = strip(F.get(field(df, "choices", "array<string>"), index))
-    return samples(shown, text(df, "problem"), target, "chat")
+    shown = ~F.coalesce(field(raw, "pic_choice", "boolean"), F.lit(False))
+    index = field(raw, "answer_idx", "int").cast("int")
+    target = strip(F.get(field(raw, "choices", "array<string>"), index))
+    return F.when(shown, text(raw, "problem")), target, "chat"
 
 
-@register_adapter("arc_easy", "arc_challenge")
-def keyed_choice(df: DataFrame) -> DataFrame:
+@register_single_adapter("arc_easy", "arc_challenge")
+def keyed_choice(raw: Raw) -> Sample:
     """The answer key is looked up among the labels, the choice stands at the same place."""
-    choices = field(df, "choices", "struct<text:array<string>,label:array<string>>")
-    place = F.array_position(choices["label"], field(df, "answerKey")) - 1
-    return samples(df, text(df, "question"), strip(F.get(choices["text"], place.cast("int"))), "chat")
+    choices = field(raw, "choices", "struct<text:array<string>,label:array<string>>")
+    place = F.array_position(choices["label"], field(raw, "answerKey")) - 1
+    return text(raw, "question"), strip(F.get(choices["text"], place.cast("int"))), "chat"
 
 
-@register_adapter("mathqa")
-def lettered_option(df: DataFrame) -> DataFrame:
+@register_single_adapter("mathqa")
+def lettered_option(raw: Raw) -> Sample:
     """Options like "a ) text": the last one with the wanted letter; without any usable option the letter itself."""
-    correct = F.lower(text(df, "correct"))
-    options = field(df, "options", "array<string>")
-    if "options" in df.columns and not isinstance(df.schema["options"].dataType, T.ArrayType):
+    correct = F.lower(text(raw, "correct"))
+    options = field(raw, "options", "array<string>")
+    if "options" in raw.columns and not isinstance(raw.schema["options"].dataType, T.ArrayType):
         options = F.lit(None).cast("array<string>")
     parsed = F.filter(F.transform(options, strip), lambda o: (F.length(o) > 2) & F.lower(o).rlike("^[a-e]"))
     wanted = last_where(parsed, lambda o: F.lower(F.substring(o, 1, 1)) == correct)
     found = strip(F.substring(wanted, 3, 1 << 30))
     usable = F.coalesce(F.size(parsed), F.lit(0)) > 0
     target = F.when(correct != "", F.when(usable, found).otherwise(correct))
-    return samples(df, text(df, "Problem"), target, "chat")
+    return text(raw, "Problem"), target, "chat"
 
 
-@register_adapter("strategyqa")
-def yes_no(df: DataFrame) -> DataFrame:
-    return samples(df, text(df, "question"), strip(python_bool(field(df, "answer", "boolean"))), "chat")
+@register_single_adapter("strategyqa")
+def yes_no(raw: Raw) -> Sample:
+    return text(raw, "question"), strip(python_bool(field(raw, "answer", "boolean"))), "chat"
 
 
-@register_adapter("apps")
-def first_solution(df: DataFrame) -> DataFrame:
-    solution = strip(F.get(field(df, "solutions", "array<string>"), F.lit(0)))
-    return samples(df, text(df, "problem"), solution, "code")
+@register_single_adapter("apps")
+def first_solution(raw: Raw) -> Sample:
+    solution = strip(F.get(field(raw, "solutions", "array<string>"), F.lit(0)))
+    return text(raw, "problem"), solution, "code"
 
 
-@register_adapter("codecontests")
-def first_nested_solution(df: DataFrame) -> DataFrame:
-    solutions = field(df, "solutions", "struct<solution:array<string>>")["solution"]
-    return samples(df, text(df, "description"), strip(F.get(solutions, F.lit(0))), "code")
+@register_single_adapter("codecontests")
+def first_nested_solution(raw: Raw) -> Sample:
+    solutions = field(raw, "solutions", "struct<solution:array<string>>")["solution"]
+    return text(raw, "description"), strip(F.get(solutions, F.lit(0))), "code"
 
 
-@register_adapter("natural_questions", "nq_open")
-def first_answer(df: DataFrame) -> DataFrame:
+@register_single_adapter("natural_questions", "nq_open")
+def first_answer(raw: Raw) -> Sample:
     """The answer is a list or a text; a field that can be either comes as Variant."""
-    answer = field(df, "answer")
-    kind = df.schema["answer"].dataType if "answer" in df.columns else T.StringType()
+    answer = field(raw, "answer")
+    kind = raw.schema["answer"].dataType if "answer" in raw.columns else T.StringType()
     if isinstance(kind, T.ArrayType):
         answer = F.get(answer, F.lit(0))
     elif isinstance(kind, T.VariantType):
         answer = first_or_self(answer)
-    return samples(df, text(df, "question"), strip(answer), "chat")
+    return text(raw, "question"), strip(answer), "chat"
 
 
-@register_adapter("ultrafeedback")
-def last_assistant(df: DataFrame) -> DataFrame:
+@register_single_adapter("ultrafeedback")
+def last_assistant(raw: Raw) -> Sample:
     """The last assistant message that has content; or the field itself where it is a text."""
-    prompt = text(df, "prompt")
-    chosen = field(df, "chosen", "array<struct<role:string,content:string>>")
-    kind = df.schema["chosen"].dataType if "chosen" in df.columns else T.ArrayType(T.StringType())
+    prompt = text(raw, "prompt")
+    chosen = field(raw, "chosen", "array<struct<role:string,content:string>>")
+    kind = raw.schema["chosen"].dataType if "chosen" in raw.columns else T.ArrayType(T.StringType())
     if isinstance(kind, T.VariantType):
         messages = F.try_variant_get(chosen, "$", "array<struct<role:string,content:string>>")
         plain = F.try_variant_get(chosen, "$", "string")
@@ -223,20 +257,20 @@ def last_assistant(df: DataFrame) -> DataFrame:
         answer = _last_content(chosen)
     else:
         answer = chosen
-    return samples(df, prompt, strip(answer), task_of(prompt))
+    return prompt, strip(answer), task_of(prompt)
 
 
 def _last_content(messages: Column) -> Column:
     return last_where(messages, lambda m: (m["role"] == "assistant") & has_text(m["content"]))["content"]
 
 
-@register_adapter("wikiqa")
-def first_positive(df: DataFrame) -> DataFrame:
+@register_single_adapter("wikiqa")
+def first_positive(raw: Raw) -> Sample:
     """The first answer labelled 1, as it is."""
     zipped = zip_shortest(
-        field(df, "answers", "array<string>"), field(df, "labels", "array<int>"), ("answer", "label")
+        field(raw, "answers", "array<string>"), field(raw, "labels", "array<int>"), ("answer", "label")
     )
-    return samples(df, text(df, "question"), first_where(zipped, lambda p: p["label"] == 1)["answer"], "chat")
+    return text(raw, "question"), first_where(zipped, lambda p: p["label"] == 1)["answer"], "chat"
 
 
 @register_adapter("daily_dialog")
@@ -311,18 +345,46 @@ def row_adapter(generate: Callable[[dict], Iterable[dict]]) -> Adapter:
     return adapter
 
 
+def adapt_beside(df: DataFrame, raws: Sequence[tuple[str, int, Column]]) -> DataFrame:
+    """Samples of datasets that share one raw table, with their dataset's name and place, from one reading of it.
+
+    ``raws`` has each dataset's name, its place and its raw row as a struct of the table's columns. The samples of a row
+    stay together: a text that several datasets use is read and stripped once, and lies in files next to its copies,
+    where their compression finds them.
+    """
+    rows = df.select(*[row.alias(f"_{seq}") for _, seq, row in raws])
+    beside = []
+    for name, seq, _ in raws:
+        raw = Nested(f"_{seq}", rows.schema[f"_{seq}"].dataType)
+        context, target, task = SINGLE_ADAPTERS[name](raw)
+        beside.append(
+            F.struct(
+                F.lit(name).alias("dataset"),
+                F.lit(seq).alias("seq"),
+                field(raw, SOURCE_ID).cast("string").alias(SOURCE_ID),
+                F.lit(0).alias("sample_no"),
+                context.alias("context"),
+                target.alias("target"),
+                (F.lit(task) if isinstance(task, str) else task).alias("task"),
+            )
+        )
+    several = rows.select(F.array(*beside).alias("_samples")).select(F.inline("_samples"))
+    return several.filter(has_text("context") & has_text("target"))
+
+
+def labelled(part: DataFrame, name: str, seq: int) -> DataFrame:
+    """Samples with their dataset's name and its place in the order of datasets."""
+    return part.select(
+        F.lit(name).alias("dataset"),
+        F.lit(seq).alias("seq"),
+        F.col(SOURCE_ID).cast("string").alias(SOURCE_ID),
+        "sample_no",
+        "context",
+        "target",
+        "task",
+    )
+
+
 def union_corpus(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """All samples with their dataset's name and its place in the given order."""
-    labelled = [
-        part.select(
-            F.lit(name).alias("dataset"),
-            F.lit(seq).alias("seq"),
-            F.col(SOURCE_ID).cast("string").alias(SOURCE_ID),
-            "sample_no",
-            "context",
-            "target",
-            "task",
-        )
-        for seq, (name, part) in enumerate(parts)
-    ]
-    return reduce(DataFrame.unionByName, labelled)
+    return reduce(DataFrame.unionByName, [labelled(part, name, seq) for seq, (name, part) in enumerate(parts)])

@@ -23,10 +23,18 @@ from corpusloom.operators import (
     vectors,
     windows,
 )
-from corpusloom.operators.adapters import ADAPTERS, adapt, row_adapter, union_corpus
+from corpusloom.operators.adapters import (
+    ADAPTERS,
+    SINGLE_ADAPTERS,
+    adapt,
+    adapt_beside,
+    labelled,
+    row_adapter,
+    union_corpus,
+)
 from corpusloom.operators.blocks import ordinals
 from corpusloom.plans import corpus
-from corpusloom.plans.views import SHAPES, epochs, table, view
+from corpusloom.plans.views import SHAPES, epochs, raw_row, table, view
 from corpusloom.session import cut_lineage, fresh_path, spread
 from corpusloom.sources import catalog, tables
 from corpusloom.streaming import groups, streams
@@ -54,6 +62,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Queries that run one adapter over a view: the view, and the adapter's columns that it has under another name.
+ADAPTED: dict[str, tuple[str, dict[str, str]]] = {}
+
+
 def adapted(key: str, name: str, shape: str, **renamed: str) -> None:
     """A query that runs one adapter over a view; ``renamed`` maps the adapter's columns to the view's."""
 
@@ -62,6 +74,7 @@ def adapted(key: str, name: str, shape: str, **renamed: str) -> None:
         return adapt(name, raw)
 
     QUERIES[key] = run
+    ADAPTED[key] = (shape, renamed)
 
 
 def joined(c: Column | str) -> Column:
@@ -680,10 +693,22 @@ ADAPTER_QUERIES = {
 
 @query
 def set_corpus_all(spark, sf_dir):
-    """Every adapter's samples, in the order of training."""
+    """Every adapter's samples; ``seq`` is the dataset's place in the order of training.
+
+    Datasets with one sample per row of a table are adapted in one pass over it, the others one by one.
+    """
     if set(ADAPTER_QUERIES) != set(ADAPTERS):
         raise ValueError("an adapter without a raw table")
-    return union_corpus([(n, QUERIES[ADAPTER_QUERIES[n]](spark, sf_dir)) for n in catalog.training_order(list(ADAPTERS))])
+    parts, shared = [], {}
+    for seq, name in enumerate(catalog.training_order(list(ADAPTERS))):
+        key = ADAPTER_QUERIES[name]
+        if key in ADAPTED and name in SINGLE_ADAPTERS:
+            shape, renamed = ADAPTED[key]
+            shared.setdefault(SHAPES[shape][0], []).append((name, seq, raw_row(shape, **renamed)))
+        else:
+            parts.append(labelled(QUERIES[key](spark, sf_dir), name, seq))
+    passes = [adapt_beside(table(spark, sf_dir, source), raws) for source, raws in shared.items()]
+    return reduce(DataFrame.unionByName, passes + parts)
 
 
 @query

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -224,6 +224,13 @@ def view(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: table(spark, sf_dir, source).selectExpr(*expressions)
 
 
+def raw_row(name: str, **renamed: str) -> Column:
+    """The view's row as a struct of its table's columns; ``renamed`` maps new names to the view's."""
+    names = {v: k for k, v in renamed.items()}
+    fields = [e.rpartition(" AS ") for e in SHAPES[name][1]]
+    return F.struct(*[F.expr(value or column).alias(names.get(column, column)) for value, _, column in fields])
+
+
 def view_sql(name: str) -> str:
     """The view as DuckDB SQL."""
     source, expressions, other = SHAPES[name]

@@ -4,7 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import filters
-from corpusloom.operators.adapters import ADAPTERS, adapt, register_adapter, row_adapter, union_corpus
+from corpusloom.operators.adapters import (
+    ADAPTERS,
+    SINGLE_ADAPTERS,
+    adapt,
+    adapt_beside,
+    register_adapter,
+    row_adapter,
+    union_corpus,
+)
 from tests.conftest import rows
 
 NAMES = (
@@ -216,3 +224,48 @@ def test_union_counts_add_up(spark):
     part = adapt("bbh", df)
     union = union_corpus([("x", part), ("y", part)])
     assert rows(union.select("dataset", "seq")) == [("x", 0), ("y", 1)]
+
+
+def test_beside_equals_one_by_one(spark):
+    texts, answers = [" q ", "", None, "\t", "Write CODE"], [(0, True), (1, False), (-1, None)]
+    cases = [(a, b, [a, b, "z"], k, p) for a in texts for b in texts for k, p in answers]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id long, a string, b string, list array<string>, k int, p boolean")
+    fields = {
+        "bbh": ["a AS input", "b AS target"],
+        "mbpp": ["a AS text", "b AS code"],
+        "alpaca": ["a AS instruction", "b AS input", "a AS output"],
+        "dolly": ["a AS instruction", "b AS context", "b AS response"],
+        "mmlu": ["a AS question", "list AS choices", "k AS answer"],
+        "stem": ["a AS problem", "list AS choices", "k AS answer_idx", "p AS pic_choice"],
+        "sciq": ["a AS question", "b AS correct_answer"],  # without its support
+        "wikiqa": ["a AS question", "list AS answers", "array(k, 1) AS labels"],
+        "mathqa": ["a AS Problem", "list AS options", "b AS correct"],
+        "owasp": ["a AS context", "b AS target"],
+    }
+    raws = [(name, seq, ["id AS source_id", *exprs]) for seq, (name, exprs) in enumerate(fields.items())]
+    alone = union_corpus([(name, adapt(name, df.selectExpr(*exprs))) for name, _, exprs in raws])
+    beside = adapt_beside(df, [(name, seq, F.struct(*map(F.expr, exprs))) for name, seq, exprs in raws])
+    assert rows(beside) == rows(alone)
+    assert beside.dtypes == alone.dtypes
+    assert {r["dataset"] for r in beside.collect()} == set(fields)
+
+
+def test_beside_keeps_copies_together(spark, tmp_path):
+    """Files with a text's samples for eight datasets are not eight times as large."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.md5(F.concat_ws("-", "id", i)))
+    df = spark.range(2_000, numPartitions=1).select("id", F.array_join(words, " ").alias("text"))
+    row = F.struct(F.col("id").alias("source_id"), F.col("text").alias("input"), F.lit("t").alias("target"))
+    sizes = []
+    for n in (1, 8):
+        adapt_beside(df, [("bbh", seq, row) for seq in range(n)]).write.parquet(str(tmp_path / str(n)))
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(n)).glob("*.parquet")))
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_own_adapter_replaces_a_single_one(spark):
+    before, single = ADAPTERS["bbh"], SINGLE_ADAPTERS["bbh"]
+    register_adapter("bbh")(lambda df: before(df).withColumn("target", F.lit("own")))
+    try:
+        assert "bbh" not in SINGLE_ADAPTERS
+    finally:
+        ADAPTERS["bbh"], SINGLE_ADAPTERS["bbh"] = before, single

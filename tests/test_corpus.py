@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import os
+
+import pytest
+
 from corpusloom.plans import corpus
+from corpusloom.plans.queries import QUERIES
 from corpusloom.session import fresh_path
 from corpusloom.sources import catalog
 from tests.conftest import rows
@@ -80,3 +85,12 @@ def test_score(spark):
     )
     card = [(r["dataset"], r["score"]) for r in corpus.score(spark, answers).collect()]
     assert card == [("alpaca", 0.0), ("mmlu", 0.5), ("mbpp", 0.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_all_datasets_read_shared_tables_once(spark):
+    """One pass over documents for its 15 datasets with a sample per row, and one for the labelled ones."""
+    plan = QUERIES["set_corpus_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line]
+    assert sum("n_chars#" in line for line in scans) == 2, scans
+    assert sum("o_orderkey#" in line for line in scans) == 1, scans
