@@ -349,8 +349,8 @@ def adapt_beside(df: DataFrame, raws: Sequence[tuple[str, int, Column]]) -> Data
     """Samples of datasets that share one raw table, with their dataset's name and place, from one reading of it.
 
     ``raws`` has each dataset's name, its place and its raw row as a struct of the table's columns. The samples of a row
-    stay together: a text that several datasets use is read and stripped once, and lies in files next to its copies,
-    where their compression finds them.
+    stay together: a text that several datasets use is read once and lies in files next to its copies, where their
+    compression finds them.
     """
     rows = df.select(*[row.alias(f"_{seq}") for _, seq, row in raws])
     beside = []
@@ -368,7 +368,8 @@ def adapt_beside(df: DataFrame, raws: Sequence[tuple[str, int, Column]]) -> Data
                 (F.lit(task) if isinstance(task, str) else task).alias("task"),
             )
         )
-    several = rows.select(F.array(*beside).alias("_samples")).select(F.inline("_samples"))
+    # never empty; the plain inline would filter by the array's size first and work out every sample twice
+    several = rows.select(F.inline_outer(F.array(*beside)))
     return several.filter(has_text("context") & has_text("target"))
 
 

@@ -248,6 +248,8 @@ def test_beside_equals_one_by_one(spark):
     assert rows(beside) == rows(alone)
     assert beside.dtypes == alone.dtypes
     assert {r["dataset"] for r in beside.collect()} == set(fields)
+    plan = beside._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(dataset, bbh") == 1, plan  # worked out once
 
 
 def test_beside_keeps_copies_together(spark, tmp_path):
